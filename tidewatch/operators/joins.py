@@ -27,5 +27,5 @@ def lookup_join(
     if small.limit(max_rows + 1).count() <= max_rows:
         return big.join(F.broadcast(small), keys, "left")
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")

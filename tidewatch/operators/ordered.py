@@ -51,12 +51,12 @@ def running_totals(
     ranges = (
         df.groupBy(*by, F.pmod(hashed, F.lit(slots)).alias("_slot"))
         .agg(
-            F.min(F.struct(hashed.alias("h"), F.col(order_col).alias("v"))).alias("_pick"),
+            F.min_by(F.col(order_col), hashed).alias("_pick"),
             *[F.sum(m).alias(f"_sum_{m}") for m in measures],
         )
         .groupBy(*by)
         .agg(
-            F.array_sort(F.collect_set("_pick.v")).alias("_points"),
+            F.array_sort(F.collect_set("_pick")).alias("_points"),
             *[F.sum(f"_sum_{m}").alias(f"all_{m}") for m in measures],
         )
         .withColumn(
@@ -71,18 +71,15 @@ def running_totals(
     joined = df.join(ranges, by) if by else df.join(ranges)
     value = F.col(order_col)
     head = F.size(F.filter("_heads", lambda p: p < value)).alias("_head")
+    skipped = F.greatest(F.col("_head") - 1, F.lit(0)) * step
+    position = skipped + F.size(F.filter(F.slice("_points", skipped + 1, F.lit(step)), lambda p: p < value))
+    # A group that sums to nothing is one range. The test also keeps the totals
+    # in every branch below, so that Spark reuses the shuffles.
+    nonzero = sum((F.abs(F.col(f"all_{m}")) for m in measures[1:]), F.abs(F.col(f"all_{measures[0]}"))) > 0
     placed = joined.select("*", head).select(
         *df.columns,
         *[f"all_{m}" for m in measures],
-        (
-            F.greatest(F.col("_head") - 1, F.lit(0)) * step
-            + F.size(
-                F.filter(
-                    F.slice("_points", F.greatest(F.col("_head") - 1, F.lit(0)) * step + 1, F.lit(step)),
-                    lambda p: p < value,
-                )
-            )
-        ).alias("_range"),
+        F.when(nonzero, position).otherwise(F.lit(0)).alias("_range"),
     )
     inside = Window.partitionBy(*by, "_range").orderBy(order_col)
     local = placed.select("*", *[F.sum(m).over(inside).alias(f"_local_{m}") for m in measures])
@@ -121,103 +118,48 @@ def nan_to_null(value: Column) -> Column:
     return F.nanvl(value, F.lit(None).cast("double"))
 
 
-# percentile_approx returns a value whose rank is within N/SKETCH_ACCURACY.
-SKETCH_ACCURACY = 10_000
-BRACKET = 3.0 / SKETCH_ACCURACY
-
-
 def quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], approx: bool = False
 ) -> DataFrame:
     """Quantiles with linear interpolation, one row per ``(column, prob)``.
 
-    Exact and without a full sort: a mergeable sketch brackets each quantile,
-    the second pass keeps only values inside a bracket and counts the rest, and
-    the few kept values are ranked. ``approx=True`` stops after the sketch.
+    Exact: values are counted (combined map-side), the distinct values ranked
+    range by range, and the two rows around each position kept. ``approx=True``
+    uses Spark's mergeable sketch instead and shuffles no values.
     """
     probs = list(probs)
     columns = list(columns)
-    source = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
     if approx:
-        picked = source.agg(
-            *[F.percentile_approx(c, probs, F.lit(SKETCH_ACCURACY)).alias(c) for c in columns]
-        )
+        clean = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
+        picked = clean.agg(*[F.percentile_approx(c, probs, F.lit(10_000)).alias(c) for c in columns])
         rows = [
-            F.struct(
-                F.lit(c).alias("column"), F.lit(p).alias("prob"), F.get(c, F.lit(i)).alias("value")
-            )
+            F.struct(F.lit(c).alias("column"), F.lit(p).alias("prob"), F.get(c, F.lit(i)).alias("value"))
             for c in columns
             for i, p in enumerate(probs)
         ]
         return picked.select(F.inline(F.array(*rows)))
 
-    edges: list[float] = []
-    for p in probs:
-        edges += [max(0.0, p - BRACKET), min(1.0, p + BRACKET)]
-    sketch = source.agg(
-        *[F.percentile_approx(c, edges, F.lit(SKETCH_ACCURACY)).alias(c) for c in columns]
-    ).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("e")) for c in columns])))
-    brackets = sketch.select(
-        "column",
-        *[F.get("e", F.lit(2 * i)).alias(f"lo{i}") for i in range(len(probs))],
-        *[F.get("e", F.lit(2 * i + 1)).alias(f"hi{i}") for i in range(len(probs))],
-    )
-    value = F.col("value")
-    within = F.lit(False)
-    last_above = F.lit(float("-inf"))
-    for i in range(len(probs)):
-        within = within | value.between(F.col(f"lo{i}"), F.col(f"hi{i}"))
-        last_above = F.greatest(last_above, F.when(value > F.col(f"hi{i}"), F.col(f"hi{i}")))
-    places = (
-        unpivot_numeric(source, columns)
-        .where(value.isNotNull())
-        .join(F.broadcast(brackets), "column")  # one row per named column
-        .select("column", "value", within.alias("within"), last_above.alias("above"))
-        .groupBy(
-            "column", F.when(F.col("within"), value).otherwise(F.col("above")).alias("at"), "within"
-        )
-        .agg(
-            F.count("*").alias("n"),
-            F.min("value").alias("lowest"),
-            F.max("value").alias("highest"),
-        )
-        .select(
-            "column", F.struct("at", (~F.col("within")).alias("between")).alias("place"), "n", "lowest", "highest"
-        )
+    counts = (
+        unpivot_numeric(df, columns)
+        .where(F.col("value").isNotNull())
+        .groupBy("column", "value")
+        .agg(F.count("*").alias("n"))
     )
-    ranked = running_totals(places, "place", ["n"], by=["column"])
-    wanted = ranked.select(
-        "column",
-        "lowest",
-        "highest",
-        F.col("place.between").alias("between"),
-        (F.col("run_n") - F.col("n")).alias("first"),
-        (F.col("run_n") - 1).alias("last"),
-        F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob"),
-        F.col("all_n").alias("total"),
-    ).withColumn("position", F.col("prob") * (F.col("total") - 1))
-
-    def at(index: Column) -> Column:
-        hit = index.between(F.col("first"), F.col("last"))
-        value = (
-            F.when(~F.col("between") | (index == F.col("first")), F.col("lowest"))
-            .when(index == F.col("last"), F.col("highest"))
-            .otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-        )
-        return F.max(F.when(hit, value))
-
-    low, high = F.floor("position"), F.ceil("position")
+    first, last = F.col("run_n") - F.col("n"), F.col("run_n") - 1  # 0-based ranks of the value
+    position = F.col("prob") * (F.col("all_n") - 1)
+    low, high = F.floor(position), F.ceil(position)
+    at_low, at_high = low.between(first, last), high.between(first, last)
     return (
-        wanted.where(low.between(F.col("first"), F.col("last")) | high.between(F.col("first"), F.col("last")))
-        .groupBy("column", "prob", "position")
-        .agg(at(low).alias("low"), at(high).alias("high"))
-        .select(
-            "column",
-            "prob",
-            (F.col("low") + (F.col("position") - F.floor("position")) * (F.col("high") - F.col("low"))).alias(
-                "value"
-            ),
+        running_totals(counts, "value", ["n"], by=["column"])
+        .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+        .where(at_low | at_high)
+        .groupBy("column", "prob")
+        .agg(
+            F.max(position - low).alias("part"),
+            F.max(F.when(at_low, F.col("value"))).alias("low"),
+            F.max(F.when(at_high, F.col("value"))).alias("high"),
         )
+        .select("column", "prob", (F.col("low") + F.col("part") * (F.col("high") - F.col("low"))).alias("value"))
     )
 
 

@@ -184,7 +184,7 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFram
         )
         .agg(F.count("*").alias("n"))
     )
-    grid = spread.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("bigint"))
+    grid = spread.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))
     return grid.join(counts, ["column", "bin"], "left").select(
         "column",
         "bin",

@@ -1,0 +1,11 @@
+"""All registered queries."""
+
+from tidewatch.plans import catalog, cleaning
+
+
+def all_queries():
+    return dict(catalog.QUERIES)
+
+
+def all_oracles():
+    return dict(catalog.ORACLES)

@@ -32,8 +32,9 @@ def subscribers(spark: SparkSession, folder: str, asof: str = ASOF, horizon: int
         .groupBy("o_custkey")
         .agg(
             F.min(F.when(past, F.col("o_orderdate"))).alias("first_order"),
-            F.avg(F.when(past, F.col("o_totalprice"))).alias("mean_price"),
-            F.sum(F.when(past, F.col("o_totalprice"))).alias("sum_price"),
+            F.count_if(past).alias("n_orders"),
+            # whole cents: the sum does not depend on the order of the rows
+            F.sum(F.when(past, F.round(F.col("o_totalprice") * 100).cast("bigint"))).alias("cents"),
             F.max((~past).cast("int")).alias("came_back"),
         )
         .where(F.col("first_order").isNotNull())
@@ -44,8 +45,8 @@ def subscribers(spark: SparkSession, folder: str, asof: str = ASOF, horizon: int
         F.floor(F.datediff(F.lit(asof).cast("date"), F.to_date("first_order")) / DAYS_PER_MONTH)
         .cast("double")
         .alias("tenure"),
-        F.round(F.col("mean_price") / 1000, 4).alias("MonthlyCharges"),
-        F.round(F.col("sum_price") / 1000, 4).alias("TotalCharges"),
+        (F.expr("cents div n_orders") / 100000).alias("MonthlyCharges"),
+        (F.col("cents") / 100000).alias("TotalCharges"),
         F.col("c_mktsegment").alias("Contract"),
         (1 - F.col("came_back")).cast("int").alias("Churn"),
         "c_name",
@@ -88,9 +89,9 @@ RAW_FIELDS = {
         "c_nationkey", "Electronic check", "Mailed check", "Bank transfer (automatic)", "Credit card (automatic)", "Cash"
     ),
     "MonthlyCharges": "CASE WHEN c_acctbal < -800 THEN '' "
-    "ELSE CAST(CAST(round(MonthlyCharges * 4, 4) AS DECIMAL(14,4)) AS STRING) END",
+    "ELSE CAST(CAST(round(MonthlyCharges * 4, 5) AS DECIMAL(14,5)) AS STRING) END",
     "TotalCharges": "CASE WHEN c_nationkey = 3 THEN ' ' WHEN c_nationkey = 4 THEN 'n/a' WHEN c_acctbal < -700 "
-    "THEN '-12.5' ELSE CAST(CAST(round(TotalCharges * 4, 4) AS DECIMAL(14,4)) AS STRING) END",
+    "THEN '-12.5' ELSE CAST(CAST(round(TotalCharges * 4, 5) AS DECIMAL(14,5)) AS STRING) END",
 }
 
 
