@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tidewatch.plans import catalog, cleaning
+from tidewatch.plans import catalog, cleaning, drift
 
 
 def all_queries():
