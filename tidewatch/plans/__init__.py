@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tidewatch.plans import catalog, cleaning, drift
+from tidewatch.plans import business, catalog, cleaning, drift, evaluation  # noqa: F401
 
 
 def all_queries():

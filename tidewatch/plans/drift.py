@@ -19,7 +19,7 @@ from tidewatch.plans.inputs import (
     scored_subscribers,
     shipped_before_after,
 )
-from tidewatch.session import scratch_path
+from tidewatch.session import materialize, scratch_path
 from tidewatch.sources import prediction_log
 from tidewatch.sources.tables import raw_subscribers, subscribers, table
 
@@ -298,7 +298,7 @@ def _sql_psi(source: str, expected: str, by: str = "") -> str:
     """PSI of the three subscriber columns against the default baselines."""
     key = f"{by}, " if by else ""
     parts = " UNION ALL ".join(f"""SELECT {key}'{c}' AS c, "{c}" AS v FROM {source}""" for c in NUMBERS)
-    share = "1e0 / (n_bins + 1)" if expected == "uniform" else "(CASE WHEN b = n_bins THEN 1e0 ELSE hi_p END) - lo_p"
+    share = "1e0 / (n_bins + 1)" if expected == "uniform" else "(CASE WHEN bins.b = n_bins THEN 1e0 ELSE hi_p END) - lo_p"
     return f"""
 base(c, mn, mx, p10, p25, p50, p75, p90) AS (VALUES {BASE_VALUES}),
 pts AS (SELECT c, unnest([mn, p10, p25, p50, p75, p90, mx]) AS e, unnest([0e0, 0.1e0, 0.25e0, 0.5e0, 0.75e0, 0.9e0, 1e0]) AS q
@@ -357,7 +357,7 @@ def _(spark, folder):
       round(avg(CASE WHEN p > 0.8e0 THEN 1e0 ELSE 0e0 END), 6) AS high_confidence_rate,
       round(avg(CASE WHEN p < 0.2e0 THEN 1e0 ELSE 0e0 END), 6) AS low_confidence_rate,
       CAST(2 AS BIGINT) AS feature_count, round((count(*) - count(known_status)) / (count(*) * 2e0), 6) AS missing_rate,
-      round(avg(o_totalprice), 6) AS mean_price
+      round(ln(avg(o_totalprice)), 6) AS log_mean_price
     FROM l GROUP BY 1, 2""",
 )
 def _(spark, folder):
@@ -371,7 +371,7 @@ def _(spark, folder):
         "probability_stats.*",
         "input_stats.feature_count",
         "input_stats.missing_rate",
-        F.element_at("input_stats.numeric_feature_means", "o_totalprice").alias("mean_price"),
+        F.ln(F.element_at("input_stats.numeric_feature_means", "o_totalprice")).alias("log_mean_price"),
     )
 
 
@@ -509,11 +509,13 @@ alerts AS (
     printf('Unusually high churn risk detected: %.1f%% high risk customers', high_risk_rate * 100),
     'Investigate business conditions and customer behavior' FROM mon WHERE high_risk_rate > 0.2e0
 ),
-lastb AS (SELECT max(ts) AS asof FROM mon)"""
+lastb AS (SELECT max(ts) AS last_ts FROM mon)"""
 
 
 def _monitored(spark, folder):
-    rows = scoring.batch_numbers(scored_subscribers(spark, folder), "customer_id", BATCH)
+    scored = scored_subscribers(spark, folder).select("customer_id", *NUMBERS, "churn_probability", "Churn")
+    # Read by the drift, distribution and performance branches, so computed once.
+    rows = materialize(scoring.batch_numbers(scored, "customer_id", BATCH))
     result = monitoring.monitor_batches(
         rows, "batch_number", drift.default_baselines(spark), NUMBERS, "churn_probability", "Churn"
     )
@@ -552,7 +554,7 @@ def _asof(metrics):
     "e16_dashboard",
     f"""WITH {MONITOR}, recent AS (SELECT * FROM mon ORDER BY ts DESC LIMIT 100)
     SELECT (SELECT count(*) FROM mon) AS total_monitored_batches,
-      (SELECT count(*) FROM alerts, lastb WHERE severity = 'HIGH' AND ts > asof - INTERVAL 24 HOUR AND ts <= asof) AS active_alerts,
+      (SELECT count(*) FROM alerts, lastb WHERE severity = 'HIGH' AND ts > last_ts - INTERVAL 24 HOUR AND ts <= last_ts) AS active_alerts,
       (SELECT count(*) FROM recent WHERE len(drifted) > 0) AS drift_detected_batches,
       (SELECT count(*) FROM recent WHERE degraded) AS performance_issues""",
 )
@@ -564,7 +566,7 @@ def _(spark, folder):
 
 @query(
     "e17_system_health",
-    f"""WITH {MONITOR}, act AS (SELECT * FROM alerts, lastb WHERE severity = 'HIGH' AND ts > asof - INTERVAL 24 HOUR AND ts <= asof),
+    f"""WITH {MONITOR}, act AS (SELECT * FROM alerts, lastb WHERE severity = 'HIGH' AND ts > last_ts - INTERVAL 24 HOUR AND ts <= last_ts),
     s AS (SELECT count(*) AS n_active, CASE WHEN bool_or(severity = 'HIGH') THEN 'CRITICAL' WHEN count(*) > 0 THEN 'WARNING'
       ELSE 'HEALTHY' END AS status FROM act)
     SELECT n_active, status, CASE status WHEN 'CRITICAL' THEN
@@ -696,7 +698,7 @@ def _(spark, folder):
 @query(
     "w5_active_alerts",
     f"""WITH {MONITOR} SELECT batch_number, "type", severity FROM alerts, lastb
-    WHERE ts > asof - INTERVAL 24 HOUR AND ts <= asof""",
+    WHERE ts > last_ts - INTERVAL 24 HOUR AND ts <= last_ts""",
 )
 def _(spark, folder):
     metrics = _monitored(spark, folder)
