@@ -22,12 +22,18 @@ ORDER_WEIGHTS: Mapping[str, float] = {"o_totalprice": 0.000006}
 
 
 def score_linear(
-    df: DataFrame, intercept: float = INTERCEPT, weights: Mapping[str, float] = WEIGHTS, out: str = "churn_probability"
+    df: DataFrame,
+    intercept: float = INTERCEPT,
+    weights: Mapping[str, float] = WEIGHTS,
+    out: str = "churn_probability",
+    digits: int = 6,
 ) -> DataFrame:
-    return df.withColumn(out, C.logistic_score(intercept, weights))
+    return df.withColumn(out, C.logistic_score(intercept, weights, digits))
 
 
-def add_bands(df: DataFrame, p: str = "churn_probability", medium: float = C.MEDIUM_RISK, high: float = C.HIGH_RISK):
+def add_bands(
+    df: DataFrame, p: str = "churn_probability", medium: float = C.MEDIUM_RISK, high: float = C.HIGH_RISK
+) -> DataFrame:
     return df.withColumn("risk_level", C.risk_band(p, medium, high))
 
 

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tidewatch.plans import business, catalog, cleaning, drift, evaluation, learning  # noqa: F401
+from tidewatch.plans import business, catalog, cleaning, drift, evaluation, learning, streams  # noqa: F401
 
 
 def all_queries():
