@@ -11,9 +11,11 @@ from pyspark.sql.window import Window
 from tidewatch.functions.columns import average_spend, divide_or_zero, tenure_bucket
 from tidewatch.operators.joins import lookup_join
 from tidewatch.operators.ordered import number_rows
+from tidewatch.session import materialize
 
 MAX_ONE_HOT_LEVELS = 256
 HASH_PREFIX = 4  # hex digits: 65,536 equal slices of the hash range
+MAX_CLASSES = 10_000  # cut points are broadcast, so the classes of a split must be few
 
 
 def features_and_target(df: DataFrame, configured: Sequence[str], target: str) -> DataFrame:
@@ -111,9 +113,11 @@ def stratified_parts(df: DataFrame, label: str, key: str, parts: Sequence[float]
     not shuffled, they are compared with the cut hashes of their class.
     """
     hashed = df.select(F.col(label).alias("_label"), hash_position(key).alias("_hash"))
-    slices = hashed.groupBy("_label", F.substring("_hash", 1, HASH_PREFIX).alias("_slice")).agg(
-        F.count("*").alias("_n")
+    slices = materialize(
+        hashed.groupBy("_label", F.substring("_hash", 1, HASH_PREFIX).alias("_slice")).agg(F.count("*").alias("_n"))
     )
+    if slices.select("_label").distinct().limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
     # At most 65,536 slices per class.
     order = Window.partitionBy("_label").orderBy("_slice")
     totals = Window.partitionBy("_label")
@@ -133,7 +137,6 @@ def stratified_parts(df: DataFrame, label: str, key: str, parts: Sequence[float]
         )
         .select("_label", "_slice", "_cut", (F.col("_rank") - F.col("_before")).alias("_nth"))
     )
-    # One row per class and cut; classes are few.
     inside = hashed.withColumn("_slice", F.substring("_hash", 1, HASH_PREFIX)).join(
         F.broadcast(cuts), ["_label", "_slice"]
     )

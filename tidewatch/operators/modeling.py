@@ -29,6 +29,8 @@ from tidewatch.operators.evaluation import ranking_metrics
 from tidewatch.operators.features import stratified_folds
 from tidewatch.operators.validation import cell_findings
 
+MAX_LEVELS = 10_000  # a category's levels become model metadata
+
 # The tuning grid of the boosted trees.
 TREE_COUNTS = [100, 200]
 TREE_DEPTHS = [3, 5, 7]
@@ -58,7 +60,11 @@ def fit_preprocessor(train: DataFrame, numeric: Sequence[str], categorical: Sequ
     for c in categorical:
         indexer = StringIndexer(
             inputCol=c, outputCol=f"_index_{c}", handleInvalid="keep", stringOrderType="alphabetDesc"
-        ).fit(train)
+        )
+        levels = train.select(c).distinct().limit(MAX_LEVELS + 1).count()
+        if levels > MAX_LEVELS:
+            raise ValueError(f"{c} has more than {MAX_LEVELS} levels; encode it by target means instead")
+        indexer = indexer.fit(train)
         kept = list(range(len(indexer.labels) - 1))
         stages += [indexer, OneHotEncoder(inputCol=f"_index_{c}", outputCol=f"_hot_{c}", dropLast=True)]
         if kept:

@@ -146,16 +146,30 @@ def quantiles(
         .agg(F.count("*").alias("n"))
     )
     first, last = F.col("run_n") - F.col("n"), F.col("run_n") - 1  # 0-based ranks of the value
-    position = F.col("prob") * (F.col("all_n") - 1)
-    low, high = F.floor(position), F.ceil(position)
-    at_low, at_high = low.between(first, last), high.between(first, last)
+
+    def position(prob: Column) -> Column:
+        return prob * (F.col("all_n") - 1)
+
+    def holds(prob: Column) -> tuple[Column, Column]:
+        return (
+            F.floor(position(prob)).between(first, last),
+            F.ceil(position(prob)).between(first, last),
+        )
+
+    # Most values hold no wanted rank: they are dropped before the rows multiply.
+    wanted = F.lit(False)
+    for p in probs:
+        at_low, at_high = holds(F.lit(float(p)))
+        wanted = wanted | at_low | at_high
+    at_low, at_high = holds(F.col("prob"))
     return (
         running_totals(counts, "value", ["n"], by=["column"])
+        .where(wanted)
         .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
         .where(at_low | at_high)
         .groupBy("column", "prob")
         .agg(
-            F.max(position - low).alias("part"),
+            F.max(position(F.col("prob")) - F.floor(position(F.col("prob")))).alias("part"),
             F.max(F.when(at_low, F.col("value"))).alias("low"),
             F.max(F.when(at_high, F.col("value"))).alias("high"),
         )

@@ -79,12 +79,39 @@ def value_counts(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()
     return df.select(*keep, F.inline(F.array(*pairs))).groupBy(*keep, "column", "value").agg(F.count("*").alias("n"))
 
 
+def _cell(df: DataFrame, name: str, position: int) -> Column:
+    """A cell as (column position, whole number, float, text), so that no number is printed to be compared."""
+    kind, c = df.schema[name].dataType, F.col(name)
+    whole, real, text = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        whole = c.cast("bigint")
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        whole = F.unix_micros(c.cast("timestamp"))
+    elif isinstance(kind, T.DateType):
+        whole = F.unix_date(c).cast("bigint")
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        real = nan_to_null(c.cast("double"))
+    else:
+        text = c.cast("string")
+    return F.struct(
+        F.lit(position).alias("position"), whole.alias("whole"), real.alias("real"), text.alias("text")
+    )
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
     """Distinct non-null values per column."""
     if approx:
         wide = df.agg(*[F.approx_count_distinct(c).alias(f"d_{c}") for c in columns])
         return wide.select(_as_rows(columns, ("d", "n_distinct")))
-    return value_counts(df, columns).groupBy("column").agg(F.count("value").alias("n_distinct"))
+    present = F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull()
+    counts = (
+        df.select(F.inline(F.array(*[_cell(df, c, i) for i, c in enumerate(columns)])))
+        .distinct()
+        .groupBy("position")
+        .agg(F.count_if(present).alias("n_distinct"))
+    )
+    names = F.array(*[F.lit(c) for c in columns])
+    return counts.select(F.get(names, F.col("position")).alias("column"), "n_distinct")
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
