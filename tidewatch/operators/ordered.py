@@ -145,34 +145,37 @@ def quantiles(
         .groupBy("column", "value")
         .agg(F.count("*").alias("n"))
     )
-    first, last = F.col("run_n") - F.col("n"), F.col("run_n") - 1  # 0-based ranks of the value
-
-    def position(prob: Column) -> Column:
-        return prob * (F.col("all_n") - 1)
-
-    def holds(prob: Column) -> tuple[Column, Column]:
-        return (
-            F.floor(position(prob)).between(first, last),
-            F.ceil(position(prob)).between(first, last),
-        )
-
-    # Most values hold no wanted rank: they are dropped before the rows multiply.
+    # A value covers the 0-based ranks run_n - n .. run_n - 1; position p lies between
+    # the ranks floor(p) and ceil(p).
+    first, after = F.col("run_n") - F.col("n"), F.col("run_n")
+    at = [F.lit(float(p)) * (F.col("all_n") - 1) for p in probs]
+    hits = F.filter(
+        F.array(
+            *[
+                F.when(
+                    (p > first - 1) & (p < after),
+                    F.struct(
+                        F.lit(float(prob)).alias("prob"),
+                        (p - F.floor(p)).alias("part"),
+                        F.when(p >= first, F.col("value")).alias("low"),
+                        F.when(p <= after - 1, F.col("value")).alias("high"),
+                    ),
+                )
+                for prob, p in zip(probs, at)
+            ]
+        ),
+        lambda h: h.isNotNull(),
+    )
+    # Most values cover no wanted rank: they are dropped before the rows multiply.
     wanted = F.lit(False)
-    for p in probs:
-        at_low, at_high = holds(F.lit(float(p)))
-        wanted = wanted | at_low | at_high
-    at_low, at_high = holds(F.col("prob"))
+    for p in at:
+        wanted = wanted | ((p > first - 1) & (p < after))
     return (
         running_totals(counts, "value", ["n"], by=["column"])
         .where(wanted)
-        .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .where(at_low | at_high)
+        .select("column", F.inline(hits))
         .groupBy("column", "prob")
-        .agg(
-            F.max(position(F.col("prob")) - F.floor(position(F.col("prob")))).alias("part"),
-            F.max(F.when(at_low, F.col("value"))).alias("low"),
-            F.max(F.when(at_high, F.col("value"))).alias("high"),
-        )
+        .agg(F.max("part").alias("part"), F.max("low").alias("low"), F.max("high").alias("high"))
         .select("column", "prob", (F.col("low") + F.col("part") * (F.col("high") - F.col("low"))).alias("value"))
     )
 

@@ -19,7 +19,7 @@ from tidewatch.functions.schema import Field
 from tidewatch.operators import drift, monitoring
 from tidewatch.operators.scoring import add_bands
 from tidewatch.operators.validation import split_requests
-from tidewatch.session import scratch_path
+from tidewatch.session import scratch_path, use_utc
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -27,6 +27,7 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: i
 
     The pattern matches a table kept as one file as well as a folder of files.
     """
+    use_utc(spark)
     path = f"{folder}/{name}.parquet*"
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     reader = spark.readStream.schema(schema)
