@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import divide_or_zero
 from tidewatch.functions.probability import chi_square_p_value, ks_p_value
-from tidewatch.operators.ordered import nan_to_null, running_totals, unpivot_numeric
-from tidewatch.operators.quality import describe_numeric, distinct_counts, is_missing, quantile_columns, value_counts
+from tidewatch.operators.ordered import moments, quantiles_of, running_totals, unpivot_numeric, value_table
+from tidewatch.operators.quality import describe_numeric, spread_quantiles, value_counts
 
 P_VALUE_LIMIT = 0.05
 PSI_LIMIT = 0.1
@@ -64,18 +64,9 @@ def reference_stats(df: DataFrame, numeric: Sequence[str], categorical: Sequence
 
 def baseline_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean, sample std, min, max and five quantiles per column."""
-    clean = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
-    moments = (
-        unpivot_numeric(clean, columns)
-        .groupBy("column")
-        .agg(
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        )
-    )
-    return moments.join(quantile_columns(clean, columns, BASELINE_PROBS), "column")
+    values = value_table(df, columns)
+    points = spread_quantiles(quantiles_of(values, list(BASELINE_PROBS.values())), BASELINE_PROBS)
+    return moments(values).drop("count").join(points, "column")
 
 
 def default_baselines(spark: SparkSession) -> DataFrame:
@@ -88,27 +79,39 @@ def ks_test(
     """Two-sample Kolmogorov-Smirnov test for all columns at once."""
     columns = _shared(reference, current, columns)
     longform = unpivot_numeric(_tagged(reference, current, columns), columns, keep=["is_current"])
-    cur = F.col("is_current")
-    counts = (
-        longform.where(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count_if(~cur).alias("ref"), F.count_if(cur).alias("cur"))
+    cur, value = F.col("is_current"), F.col("value")
+    # Missing values stay in as one row per column. Ranks, means and missing
+    # rates all read this one shuffle, so each table is scanned once.
+    counts = longform.groupBy("column", "value").agg(
+        F.count_if(~cur).alias("rows_ref"), F.count_if(cur).alias("rows_cur")
+    ).withColumns(
+        {
+            "ref": F.when(value.isNotNull(), F.col("rows_ref")).otherwise(F.lit(0)),
+            "cur": F.when(value.isNotNull(), F.col("rows_cur")).otherwise(F.lit(0)),
+        }
     )
     gap = F.abs(F.col("run_ref") / F.col("all_ref") - F.try_divide(F.col("run_cur"), F.col("all_cur")))
     distance = (
-        running_totals(counts, "value", ["ref", "cur"], by=["column"])
+        running_totals(counts.select("column", "value", "ref", "cur"), "value", ["ref", "cur"], by=["column"])
         .where(F.col("all_ref") > 0)
         .groupBy("column")
         .agg(F.max(gap).alias("d"))
     )
-    sides = longform.groupBy("column").agg(
-        F.count(F.when(~cur, F.col("value"))).alias("n_ref"),
-        F.count(F.when(cur, F.col("value"))).alias("n_cur"),
-        F.count_if(~cur).alias("rows_ref"),
-        F.count_if(cur).alias("rows_cur"),
-        F.avg(F.when(~cur, F.col("value"))).alias("reference_mean"),
-        F.avg(F.when(cur, F.col("value"))).alias("current_mean"),
-        F.stddev_samp(F.when(~cur, F.col("value"))).alias("std_ref"),
+    sides = counts.groupBy("column").agg(
+        F.sum("ref").alias("n_ref"),
+        F.sum("cur").alias("n_cur"),
+        F.sum("rows_ref").alias("rows_ref"),
+        F.sum("rows_cur").alias("rows_cur"),
+        F.try_divide(F.sum(value * F.col("ref")), F.sum("ref").cast("double")).alias("reference_mean"),
+        F.try_divide(F.sum(value * F.col("cur")), F.sum("cur").cast("double")).alias("current_mean"),
+    )
+    spread = (
+        counts.join(F.broadcast(sides.select("column", "reference_mean")), "column")  # one row per column
+        .groupBy("column")
+        .agg(F.sum(F.col("ref") * F.pow(value - F.col("reference_mean"), F.lit(2.0))).alias("squares"))
+    )
+    sides = sides.join(F.broadcast(spread), "column").withColumn(
+        "std_ref", F.when(F.col("n_ref") > 1, F.sqrt(F.col("squares") / (F.col("n_ref") - 1)))
     )
     empty = F.col("n_cur") == 0
     joined = sides.join(distance, "column", "left").withColumns(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.session import materialize
 
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 SALTS = 64
 
 

@@ -27,7 +27,6 @@ from tidewatch.functions.schema import Field
 from tidewatch.operators.cleaning import sanitize
 from tidewatch.operators.evaluation import ranking_metrics
 from tidewatch.operators.features import stratified_folds
-from tidewatch.operators.validation import cell_findings
 
 MAX_LEVELS = 10_000  # a category's levels become model metadata
 
@@ -198,8 +197,12 @@ def load_pipeline(path: str) -> PipelineModel:
 
 
 def score(model, df: DataFrame, fields: Sequence[Field] | None = None) -> DataFrame:
-    """Input columns, label and probability in one pass; sanitized first when a field rule is broken."""
-    if fields is not None and not cell_findings(df, fields).where(F.col("severity") == "error").isEmpty():
+    """Input columns, label and probability in one pass.
+
+    With ``fields`` the input is sanitized on the way; that leaves cells within
+    the rules alone, so no pass is spent on finding out whether it is needed.
+    """
+    if fields is not None:
         df = sanitize(df, fields)
     scored = with_probability(model.transform(df))
     return scored.select(*df.columns, F.col("prediction").cast("int").alias("prediction"), "churn_probability")

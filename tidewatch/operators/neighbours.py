@@ -172,7 +172,7 @@ def nearest_neighbours(
     )
     by_vector = distinct.select("v", F.col("ids")[0].alias("qid")).join(lists, "qid").select("v", "near")
     others = F.slice(F.filter("near", lambda n: n["id"] != F.col("id")), 1, k)
-    return lookup_join(points, by_vector, ["v"]).select(
+    return lookup_join(points, by_vector, ["v"], max_rows=50_000).select(
         F.col("id").alias(key),
         F.transform(
             others, lambda n: F.struct(n["id"].alias("id"), F.sqrt(n["d2"]).alias("distance"), n["v"].alias("v"))

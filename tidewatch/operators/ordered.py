@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 MIN_SLOTS = 16
 MAX_SLOTS = 4096
+MAX_GROUPS = 1000
 
 
 def range_slots(spark: SparkSession) -> int:
@@ -36,7 +37,8 @@ def running_totals(
 
     ``df`` holds one row per (``by``, ``order_col``): aggregate first, so a hot
     value is a single row. ``by`` must have few distinct groups (metric
-    columns, classes, models); each group may be arbitrarily large.
+    columns, classes, models; more than MAX_GROUPS fail); each group may be
+    arbitrarily large.
 
     The split points are the values with the smallest hash in each of
     ``slots`` hash slots: an even sample of the distinct values that is the
@@ -67,6 +69,10 @@ def running_totals(
             ),
         )
     )
+    if [c for c in by if c != "column"]:  # a schema bounds the number of its columns
+        groups = F.count("*").over(Window.partitionBy())
+        too_many = F.raise_error(F.lit(f"more than {MAX_GROUPS} groups in {by}"))
+        ranges = ranges.withColumn("_points", F.when(groups <= MAX_GROUPS, F.col("_points")).otherwise(too_many))
     ranges = F.broadcast(ranges)  # at most `slots` values for each of the few groups
     joined = df.join(ranges, by) if by else df.join(ranges)
     value = F.col(order_col)
@@ -118,33 +124,66 @@ def nan_to_null(value: Column) -> Column:
     return F.nanvl(value, F.lit(None).cast("double"))
 
 
+def value_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, value, n)`` of the non-missing numbers, combined map-side."""
+    return (
+        unpivot_numeric(df, columns)
+        .where(F.col("value").isNotNull())
+        .groupBy("column", "value")
+        .agg(F.count("*").alias("n"))
+    )
+
+
+def moments(values: DataFrame) -> DataFrame:
+    """``(column, count, mean, std, min, max)`` from a value table, with the sample deviation.
+
+    Reads the same shuffle as the quantiles of the table, so the source is scanned once.
+    """
+    n, value = F.col("n"), F.col("value")
+    first = values.groupBy("column").agg(
+        F.sum(n).alias("count"),
+        (F.sum(value * n) / F.sum(n)).alias("mean"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+    )
+    spread = (
+        values.join(F.broadcast(first), "column")  # one row per column
+        .groupBy("column")
+        .agg(F.sum(n * F.pow(value - F.col("mean"), F.lit(2.0))).alias("squares"))
+    )
+    return first.join(F.broadcast(spread), "column").select(
+        "column",
+        "count",
+        "mean",
+        F.when(F.col("count") > 1, F.sqrt(F.col("squares") / (F.col("count") - 1))).alias("std"),
+        "min",
+        "max",
+    )
+
+
 def quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], approx: bool = False
 ) -> DataFrame:
     """Quantiles with linear interpolation, one row per ``(column, prob)``.
 
     Exact: values are counted (combined map-side), the distinct values ranked
-    range by range, and the two rows around each position kept. ``approx=True``
+    range by range, and the rows around each position kept. ``approx=True``
     uses Spark's mergeable sketch instead and shuffles no values.
     """
-    probs = list(probs)
-    columns = list(columns)
-    if approx:
-        clean = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
-        picked = clean.agg(*[F.percentile_approx(c, probs, F.lit(10_000)).alias(c) for c in columns])
-        rows = [
-            F.struct(F.lit(c).alias("column"), F.lit(p).alias("prob"), F.get(c, F.lit(i)).alias("value"))
-            for c in columns
-            for i, p in enumerate(probs)
-        ]
-        return picked.select(F.inline(F.array(*rows)))
-
-    counts = (
-        unpivot_numeric(df, columns)
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("n"))
-    )
+    if not approx:
+        return quantiles_of(value_table(df, columns), probs)
+    clean = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
+    picked = clean.agg(*[F.percentile_approx(c, list(probs), F.lit(10_000)).alias(c) for c in columns])
+    rows = [
+        F.struct(F.lit(c).alias("column"), F.lit(p).alias("prob"), F.get(c, F.lit(i)).alias("value"))
+        for c in columns
+        for i, p in enumerate(probs)
+    ]
+    return picked.select(F.inline(F.array(*rows)))
+
+
+def quantiles_of(values: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles of a value table."""
     # A value covers the 0-based ranks run_n - n .. run_n - 1; position p lies between
     # the ranks floor(p) and ceil(p).
     first, after = F.col("run_n") - F.col("n"), F.col("run_n")
@@ -171,7 +210,7 @@ def quantiles(
     for p in at:
         wanted = wanted | ((p > first - 1) & (p < after))
     return (
-        running_totals(counts, "value", ["n"], by=["column"])
+        running_totals(values, "value", ["n"], by=["column"])
         .where(wanted)
         .select("column", F.inline(hits))
         .groupBy("column", "prob")

@@ -11,7 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidewatch.operators.ordered import nan_to_null, quantiles, unpivot_numeric
+from tidewatch.operators.ordered import (
+    moments,
+    nan_to_null,
+    quantiles,
+    quantiles_of,
+    unpivot_numeric,
+    value_table,
+)
+
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
 def columns_of(df: DataFrame, kind: type[T.DataType]) -> list[str]:
@@ -115,26 +124,27 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False)
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, sample std, min, quartiles, max per column."""
-    clean = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
-    aggs = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    wide = clean.agg(*[fn(c).alias(f"{name}_{c}") for c in columns for name, fn in aggs.items()])
-    moments = wide.select(_as_rows(columns, *[(name, name) for name in aggs]))
-    return moments.join(quartile_row_per_column(clean, columns), "column", "left").select(
-        "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
+    """count, mean, sample std, min, quartiles, max per column, from one scan."""
+    values = value_table(df, columns)
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    points = spread_quantiles(quantiles_of(values, list(QUARTILES.values())), QUARTILES)
+    return (
+        names.join(moments(values), "column", "left")  # empty columns keep a row
+        .join(points, "column", "left")
+        .select("column", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min", "q25", "q50", "q75", "max")
     )
 
 
-def quantile_columns(df: DataFrame, columns: Sequence[str], names: dict[str, float]) -> DataFrame:
-    """One row per column with a quantile in each named output column."""
-    q = quantiles(df, columns, list(names.values()))
-    return q.groupBy("column").agg(
+def spread_quantiles(rows: DataFrame, names: dict[str, float]) -> DataFrame:
+    """``(column, prob, value)`` rows as one row per column with named quantiles."""
+    return rows.groupBy("column").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name) for name, p in names.items()]
     )
 
 
-def quartile_row_per_column(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return quantile_columns(df, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+def quantile_columns(df: DataFrame, columns: Sequence[str], names: dict[str, float]) -> DataFrame:
+    """One row per column with a quantile in each named output column."""
+    return spread_quantiles(quantiles(df, columns, list(names.values())), names)
 
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
@@ -158,7 +168,7 @@ def completeness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def iqr_bounds(df: DataFrame, columns: Sequence[str], width: float) -> DataFrame:
     iqr = F.col("q75") - F.col("q25")
-    return quartile_row_per_column(df, columns).select(
+    return quantile_columns(df, columns, QUARTILES).select(
         "column", (F.col("q25") - width * iqr).alias("low"), (F.col("q75") + width * iqr).alias("high")
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,11 +29,15 @@ class ModelRegistry:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
-        for name, schema in (("model_versions", VERSION_SCHEMA), ("champion_log", CHAMPION_SCHEMA)):
-            spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.folder}/{name}")
 
     def _read(self, name: str, schema) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        """A registry table; empty before its first row."""
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
 
     def versions(self) -> DataFrame:
         """The newest registration of each version."""
