@@ -106,11 +106,18 @@ def ks_test(
         F.try_divide(F.sum(value * F.col("cur")), F.sum("cur").cast("double")).alias("current_mean"),
     )
     spread = (
-        counts.join(F.broadcast(sides.select("column", "reference_mean")), "column")  # one row per column
+        # Naming both counts keeps them in these branches, so that they reuse the shuffle.
+        counts.where((F.col("rows_ref") > 0) | (F.col("rows_cur") > 0))
+        .join(
+            F.broadcast(  # one row per column
+                sides.where((F.col("n_ref") > 0) | (F.col("n_cur") > 0)).select("column", "reference_mean")
+            ),
+            "column",
+        )
         .groupBy("column")
         .agg(F.sum(F.col("ref") * F.pow(value - F.col("reference_mean"), F.lit(2.0))).alias("squares"))
     )
-    sides = sides.join(F.broadcast(spread), "column").withColumn(
+    sides = sides.join(F.broadcast(spread), "column", "left").withColumn(
         "std_ref", F.when(F.col("n_ref") > 1, F.sqrt(F.col("squares") / (F.col("n_ref") - 1)))
     )
     empty = F.col("n_cur") == 0

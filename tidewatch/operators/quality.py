@@ -155,7 +155,7 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
     counts = value_counts(df, columns).where(F.col("value").isNotNull())
     order = Window.partitionBy("column").orderBy(F.col("n").desc(), "value")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    unique = counts.groupBy("column").agg(F.count("*").alias("n_distinct"))
+    unique = counts.groupBy("column").agg(F.count_if(F.col("n") > 0).alias("n_distinct"))
     return top.join(F.broadcast(unique), "column")  # one row per column
 
 
@@ -216,6 +216,7 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFram
     )
     counts = (
         longform.join(F.broadcast(spread), "column")  # one row per column
+        .where(F.col("total") > 0)  # keeps the column here, so that the limits are computed once
         .groupBy(
             "column", F.least(F.floor((F.col("value") - F.col("lo")) / F.col("width")), F.lit(bins - 1)).alias("bin")
         )
