@@ -41,3 +41,13 @@ def test_quantiles_skip_missing(spark):
     rows = quantiles(df, ["a", "b"], [0.5]).collect()
     assert [(r.column, r.value) for r in rows] == [("a", 2.0)]
     assert quantiles(df, ["a"], [0.5], approx=True).first().value in (1.0, 3.0)
+
+
+def test_too_many_groups_fail(spark, monkeypatch):
+    from tidewatch.operators import ordered
+
+    monkeypatch.setattr(ordered, "MAX_GROUPS", 2)
+    df = spark.createDataFrame([(g, 1.0, 1) for g in "abc"], "g string, v double, n int")
+    assert running_totals(df.where("g < 'c'"), "v", ["n"], by=["g"]).count() == 2
+    with pytest.raises(Exception, match="more than 2 groups"):
+        running_totals(df, "v", ["n"], by=["g"]).collect()

@@ -216,7 +216,7 @@ def _(spark, folder):
       CASE WHEN c THEN 'Negative values found in TotalCharges' END,
       CASE WHEN d THEN 'Tenure values > 100 months found' END,
       CASE WHEN e THEN 'Monthly charges > $1000 found' END,
-      CASE WHEN r > 0.1e0 THEN printf('High missing value ratio: %.1f%%', r * 100) END], lambda x: x IS NOT NULL) AS l FROM m)
+      CASE WHEN r > 0.1e0 THEN printf('High missing value ratio: %.1f%%', round(r * 100, 1)) END], lambda x: x IS NOT NULL) AS l FROM m)
     SELECT len(l) = 0 AS valid, array_to_string(l, '; ') AS issues, round(1 - r, 6) AS quality_score FROM i""",
 )
 def _(spark, folder):

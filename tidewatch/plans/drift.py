@@ -417,6 +417,7 @@ def _(spark, folder):
     return _performance(spark, folder)
 
 
+# Percentages in messages are rounded half up, as Spark's format_string does.
 CHECKS = f"""
 quality AS (
   SELECT (SELECT avg(r) FROM (SELECT (count(*) - count(l_discount)) / CAST(count(*) AS DOUBLE) AS r FROM gappy
@@ -425,11 +426,11 @@ quality AS (
     (SELECT sum(c - 1) / CAST(sum(c) AS DOUBLE) FROM (SELECT count(*) AS c FROM gappy
       GROUP BY l_discount, l_tax, l_returnflag)) AS dup
 ),
-q AS (SELECT 'data_quality' AS "check", CASE WHEN missing > 0.5e0 THEN printf('High missing data rate: %.1f%%', missing * 100)
-  WHEN dup > 0.1e0 THEN printf('High duplicate rate: %.1f%%', dup * 100) END AS problem,
+q AS (SELECT 'data_quality' AS "check", CASE WHEN missing > 0.5e0 THEN printf('High missing data rate: %.1f%%', round(missing * 100, 1))
+  WHEN dup > 0.1e0 THEN printf('High duplicate rate: %.1f%%', round(dup * 100, 1)) END AS problem,
   'Data quality within acceptable bounds' AS fine FROM quality),
 r AS (SELECT 'prediction_distribution' AS "check", CASE WHEN rate < 0.05e0 OR rate > 0.5e0 THEN
-  printf('Unusual prediction distribution: %.1f%% positive rate', rate * 100) END AS problem,
+  printf('Unusual prediction distribution: %.1f%% positive rate', round(rate * 100, 1)) END AS problem,
   'Prediction distribution normal' AS fine FROM (SELECT avg(CASE WHEN p >= 0.5e0 THEN 1e0 ELSE 0e0 END) AS rate FROM order_scores)),
 g AS (SELECT 'performance_degradation' AS "check", CASE WHEN max(CASE WHEN degraded THEN recent - accuracy END) IS NOT NULL
   THEN printf('Accuracy dropped by %.3f', max(CASE WHEN degraded THEN recent - accuracy END)) END AS problem,
@@ -504,9 +505,9 @@ alerts AS (
     'Data drift detected in features: ' || array_to_string(drifted, ', ') AS message, 'Consider model retraining' AS action_required
   FROM mon WHERE len(drifted) > 0
   UNION ALL SELECT batch_number, ts, 'PERFORMANCE_DEGRADATION', CASE WHEN amount > 0.1e0 THEN 'HIGH' ELSE 'MEDIUM' END,
-    printf('Model performance degraded by %.3f', amount), 'Investigate and potentially retrain model' FROM mon WHERE degraded
+    printf('Model performance degraded by %.3f', round(amount, 3)), 'Investigate and potentially retrain model' FROM mon WHERE degraded
   UNION ALL SELECT batch_number, ts, 'HIGH_RISK_SPIKE', 'HIGH',
-    printf('Unusually high churn risk detected: %.1f%% high risk customers', high_risk_rate * 100),
+    printf('Unusually high churn risk detected: %.1f%% high risk customers', round(high_risk_rate * 100, 1)),
     'Investigate business conditions and customer behavior' FROM mon WHERE high_risk_rate > 0.2e0
 ),
 lastb AS (SELECT max(ts) AS last_ts FROM mon)"""
