@@ -18,6 +18,12 @@ CAMPAIGN_COST = 75.0
 CAMPAIGN_SUCCESS = 0.6
 TEST_SHARE = 0.2
 
+# Report lines.
+CONTACT_LINE = "Immediately contact %d high-risk customers"
+CAMPAIGN_LINE = "Deploy retention campaigns for %d medium-risk customers"
+BUDGET_LINE = "Allocate $%s for intervention programs"
+RETURN_LINE = "Expected ROI: %.0f%% ($%s net benefit)"
+
 
 def _band(name: str) -> Column:
     return F.count_if(F.col("risk_level") == name)
@@ -91,16 +97,10 @@ def action_items(report: DataFrame) -> DataFrame:
     """The business report as text lines."""
     money = lambda c: F.format_number(F.col(c), 0)
     lines = F.array(
-        F.format_string("Immediately contact %d high-risk customers", F.col("high_risk_customers")),
-        F.format_string("Deploy retention campaigns for %d medium-risk customers", F.col("medium_risk_customers")),
-        F.concat(F.lit("Allocate $"), money("intervention_cost"), F.lit(" for intervention programs")),
-        F.concat(
-            F.lit("Expected ROI: "),
-            F.format_string("%.0f", F.col("roi_percentage")),
-            F.lit("% ($"),
-            money("net_benefit"),
-            F.lit(" net benefit)"),
-        ),
+        F.format_string(CONTACT_LINE, F.col("high_risk_customers")),
+        F.format_string(CAMPAIGN_LINE, F.col("medium_risk_customers")),
+        F.format_string(BUDGET_LINE, money("intervention_cost")),
+        F.format_string(RETURN_LINE, F.col("roi_percentage"), money("net_benefit")),
     )
     return report.select(F.posexplode(lines).alias("line", "text"))
 

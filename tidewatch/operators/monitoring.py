@@ -14,9 +14,35 @@ from tidewatch.operators.evaluation import threshold_performance
 from tidewatch.operators.ordered import nan_to_null
 from tidewatch.operators.quality import duplicate_rows, is_missing, null_profile, quantile_columns
 
+# Retention, history and thresholds.
 LOG_ENTRIES = 1000
 HISTORY_BATCHES = 10
 ACCURACY_DROP = 0.05
+DASHBOARD_BATCHES = 100
+ALERT_HOURS = 24
+MANY_FEATURES = 2
+LARGE_DROP = 0.1
+HIGH_RISK_SPIKE = 0.2
+MAX_MISSING_RATE = 0.5
+MAX_DUPLICATE_RATE = 0.1
+POSITIVE_RATE_RANGE = (0.05, 0.5)
+
+# Message formats, actions and recommendations.
+DRIFT_MESSAGE = "Data drift detected in features: %s"
+DRIFT_ACTION = "Consider model retraining"
+DEGRADED_MESSAGE = "Model performance degraded by %.3f"
+DEGRADED_ACTION = "Investigate and potentially retrain model"
+SPIKE_MESSAGE = "Unusually high churn risk detected: %.1f%% high risk customers"
+SPIKE_ACTION = "Investigate business conditions and customer behavior"
+MISSING_MESSAGE = "High missing data rate: %.1f%%"
+DUPLICATE_MESSAGE = "High duplicate rate: %.1f%%"
+QUALITY_FINE = "Data quality within acceptable bounds"
+RATE_MESSAGE = "Unusual prediction distribution: %.1f%% positive rate"
+RATE_FINE = "Prediction distribution normal"
+CRITICAL_ADVICE = "Immediate action required - investigate alerts and consider model rollback"
+WARNING_ADVICE = "Monitor closely and prepare for potential intervention"
+HEALTHY_ADVICE = "System operating normally"
+
 CHUNK = 100_000  # batches per task when degradation is computed on dense batch numbers
 
 
@@ -132,7 +158,7 @@ def newest_per_group(df: DataFrame, by: Sequence[str], ts: str, n: int) -> DataF
     return df.withColumn("_row", F.row_number().over(order)).where(F.col("_row") <= n).drop("_row")
 
 
-def within_hours(df: DataFrame, ts: str, asof: Column, hours: int = 24) -> DataFrame:
+def within_hours(df: DataFrame, ts: str, asof: Column, hours: int = ALERT_HOURS) -> DataFrame:
     """Rows strictly newer than ``asof`` minus the window, and not after ``asof``."""
     return df.where((F.col(ts) > asof - F.expr(f"INTERVAL {hours} HOURS")) & (F.col(ts) <= asof))
 
@@ -162,7 +188,7 @@ def volume_trend(log: DataFrame, ts: str, *tie: str) -> DataFrame:
     )
 
 
-def recent_stats(log: DataFrame, asof: Column, hours: int = 24) -> DataFrame:
+def recent_stats(log: DataFrame, asof: Column, hours: int = ALERT_HOURS) -> DataFrame:
     """Totals over the last hours; the positive rate is averaged over batches, not rows."""
     recent = within_hours(newest(log, "timestamp", LOG_ENTRIES, "model_version"), "timestamp", asof, hours)
     totals = recent.agg(
@@ -203,22 +229,24 @@ def data_quality_check(df: DataFrame) -> DataFrame:
     nulls = null_profile(df).agg((F.avg("pct_missing") / 100).alias("missing_rate"))
     copies = duplicate_rows(df).select(divide_or_zero(F.col("n_duplicates"), F.col("n_rows")).alias("duplicate_rate"))
     problem = F.when(
-        F.col("missing_rate") > 0.5, F.format_string("High missing data rate: %.1f%%", F.col("missing_rate") * 100)
+        F.col("missing_rate") > MAX_MISSING_RATE, F.format_string(MISSING_MESSAGE, F.col("missing_rate") * 100)
     ).when(
-        F.col("duplicate_rate") > 0.1, F.format_string("High duplicate rate: %.1f%%", F.col("duplicate_rate") * 100)
+        F.col("duplicate_rate") > MAX_DUPLICATE_RATE, F.format_string(DUPLICATE_MESSAGE, F.col("duplicate_rate") * 100)
     )
     return nulls.join(F.broadcast(copies)).select(  # one row each
-        *_check("data_quality", problem, "Data quality within acceptable bounds")
+        *_check("data_quality", problem, QUALITY_FINE)
     )
 
 
-def prediction_rate_check(df: DataFrame, p: str, low: float = 0.05, high: float = 0.5) -> DataFrame:
+def prediction_rate_check(
+    df: DataFrame, p: str, low: float = POSITIVE_RATE_RANGE[0], high: float = POSITIVE_RATE_RANGE[1]
+) -> DataFrame:
     rate = df.agg(F.avg(hard_label(p)).alias("rate"))
     problem = F.when(
         (F.col("rate") < low) | (F.col("rate") > high),
-        F.format_string("Unusual prediction distribution: %.1f%% positive rate", F.col("rate") * 100),
+        F.format_string(RATE_MESSAGE, F.col("rate") * 100),
     )
-    return rate.select(*_check("prediction_distribution", problem, "Prediction distribution normal"))
+    return rate.select(*_check("prediction_distribution", problem, RATE_FINE))
 
 
 def degradation_check(history: DataFrame, by: Sequence[str], order: str) -> DataFrame:
@@ -271,29 +299,27 @@ def alerts(metrics: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
                 F.size(drifted) > 0,
                 alert(
                     "DATA_DRIFT",
-                    F.when(F.size(drifted) > 2, F.lit("HIGH")).otherwise(F.lit("MEDIUM")),
-                    F.concat(F.lit("Data drift detected in features: "), F.array_join(drifted, ", ")),
-                    "Consider model retraining",
+                    F.when(F.size(drifted) > MANY_FEATURES, F.lit("HIGH")).otherwise(F.lit("MEDIUM")),
+                    F.format_string(DRIFT_MESSAGE, F.array_join(drifted, ", ")),
+                    DRIFT_ACTION,
                 ),
             ),
             F.when(
                 F.col("degraded"),
                 alert(
                     "PERFORMANCE_DEGRADATION",
-                    F.when(F.col("degradation_amount") > 0.1, F.lit("HIGH")).otherwise(F.lit("MEDIUM")),
-                    F.format_string("Model performance degraded by %.3f", F.col("degradation_amount")),
-                    "Investigate and potentially retrain model",
+                    F.when(F.col("degradation_amount") > LARGE_DROP, F.lit("HIGH")).otherwise(F.lit("MEDIUM")),
+                    F.format_string(DEGRADED_MESSAGE, F.col("degradation_amount")),
+                    DEGRADED_ACTION,
                 ),
             ),
             F.when(
-                F.col("high_risk_rate") > 0.2,
+                F.col("high_risk_rate") > HIGH_RISK_SPIKE,
                 alert(
                     "HIGH_RISK_SPIKE",
                     F.lit("HIGH"),
-                    F.format_string(
-                        "Unusually high churn risk detected: %.1f%% high risk customers", F.col("high_risk_rate") * 100
-                    ),
-                    "Investigate business conditions and customer behavior",
+                    F.format_string(SPIKE_MESSAGE, F.col("high_risk_rate") * 100),
+                    SPIKE_ACTION,
                 ),
             ),
         )
@@ -311,7 +337,7 @@ def route_alerts(found: DataFrame) -> DataFrame:
     )
 
 
-def active_alerts(found: DataFrame, asof: Column, hours: int = 24) -> DataFrame:
+def active_alerts(found: DataFrame, asof: Column, hours: int = ALERT_HOURS) -> DataFrame:
     """Alerts younger than ``hours`` at ``asof``."""
     return within_hours(found, "timestamp", asof, hours)
 
@@ -324,20 +350,15 @@ def system_health(active: DataFrame) -> DataFrame:
         .otherwise(F.lit("HEALTHY"))
         .alias("status"),
     )
-    return status.withColumn(
-        "recommendation",
-        F.when(
-            F.col("status") == "CRITICAL",
-            F.lit("Immediate action required - investigate alerts and consider model rollback"),
-        )
-        .when(F.col("status") == "WARNING", F.lit("Monitor closely and prepare for potential intervention"))
-        .otherwise(F.lit("System operating normally")),
+    advice = F.create_map(
+        *[F.lit(text) for text in ("CRITICAL", CRITICAL_ADVICE, "WARNING", WARNING_ADVICE, "HEALTHY", HEALTHY_ADVICE)]
     )
+    return status.withColumn("recommendation", F.element_at(advice, F.col("status")))
 
 
 def dashboard(metrics: DataFrame, stored: DataFrame, ts: str, asof: Column, *tie: str) -> DataFrame:
-    """Summary over all batches, the newest 100 of them, and the active alerts."""
-    recent = newest(metrics, ts, 100, *tie).agg(
+    """Summary over all batches, the newest of them, and the active alerts."""
+    recent = newest(metrics, ts, DASHBOARD_BATCHES, *tie).agg(
         F.count_if(F.size("drifted_features") > 0).alias("drift_detected_batches"),
         F.count_if("degraded").alias("performance_issues"),
     )

@@ -23,8 +23,8 @@ from tidewatch.session import materialize
 
 CELL_POINTS = 10_000
 SAMPLE_PER_CELL = 16
-MAX_DEPTH = 16  # at most 65,536 cells and about a million sampled points on the driver
-CHUNK = 256
+MAX_DEPTH = 16  # at most 65,536 cells; the driver then holds about two million sampled points
+DISTANCES = 2_000_000  # size of one block of distances in a task
 
 
 class Cells:
@@ -75,8 +75,9 @@ def _closest(queries: np.ndarray, qids: np.ndarray, cell: pd.DataFrame, k: int)
     points = np.stack(cell["v"].to_numpy())
     ids = cell["ids"].to_numpy()
     found = []
-    for lo in range(0, len(queries), CHUNK):
-        q = queries[lo : lo + CHUNK]
+    chunk = max(1, DISTANCES // len(points))
+    for lo in range(0, len(queries), chunk):
+        q = queries[lo : lo + chunk]
         d2 = np.zeros((len(q), len(points)))
         for axis in range(q.shape[1]):
             d2 += (q[:, None, axis] - points[None, :, axis]) ** 2
@@ -115,8 +116,9 @@ def nearest_neighbours(
     wanted = SAMPLE_PER_CELL * 2**depth
     share = min(1.0, 2 * wanted / max(1, total))
     sampled = distinct.where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    rows = sampled.select("v").limit(2 * wanted + 1000).collect() if depth else []
-    cells = Cells(np.array([r["v"] for r in rows], dtype=float).reshape(len(rows), len(features)), depth)
+    axes = [F.get("v", F.lit(i)).alias(f"x{i}") for i in range(len(features))]
+    sample = sampled.select(*axes).limit(2 * wanted + 1000).toPandas().to_numpy() if depth else np.empty((0, len(features)))
+    cells = Cells(sample, depth)
 
     @F.pandas_udf("bigint")
     def cell_of(v: pd.Series) -> pd.Series:

@@ -12,10 +12,20 @@ from tidewatch.functions.schema import BOOLEAN, CATEGORICAL, NUMERIC, STRING, Fi
 from tidewatch.operators.ordered import unpivot_numeric
 from tidewatch.operators.quality import iqr_bounds, is_missing, value_counts
 
+# Warning limits.
 HIGH_CARDINALITY = 50
 LONG_TEXT = 1000
 OUTLIER_SHARE = 0.05
 
+# Limits and messages of the checks on a scoring input.
+MAX_TENURE = 100
+MAX_MONTHLY = 1000
+MAX_MISSING_RATIO = 0.1
+NEGATIVE_MESSAGE = "Negative values found in %s"
+TENURE_MESSAGE = "Tenure values > 100 months found"
+MONTHLY_MESSAGE = "Monthly charges > $1000 found"
+RATIO_MESSAGE = "High missing value ratio: %.1f%%"
+
 
 def _finding(field: str, rule: str, severity: str, n: Column) -> Column:
     return F.struct(
@@ -197,18 +207,18 @@ def batch_rules(df: DataFrame) -> DataFrame:
     missing = sum((F.count_if(is_missing(df, c)) for c in columns[1:]), F.count_if(is_missing(df, columns[0])))
     wide = df.agg(
         *[F.coalesce(F.bool_or(F.col(c) < 0), F.lit(False)).alias(f"neg_{c}") for c in columns],
-        F.coalesce(F.bool_or(F.col("tenure") > 100), F.lit(False)).alias("long_tenure"),
-        F.coalesce(F.bool_or(F.col("MonthlyCharges") > 1000), F.lit(False)).alias("high_bill"),
+        F.coalesce(F.bool_or(F.col("tenure") > MAX_TENURE), F.lit(False)).alias("long_tenure"),
+        F.coalesce(F.bool_or(F.col("MonthlyCharges") > MAX_MONTHLY), F.lit(False)).alias("high_bill"),
         F.coalesce(F.try_divide(missing, F.count("*") * F.lit(len(columns))), F.lit(0.0)).alias("missing_ratio"),
     )
     issues = F.array_compact(
         F.array(
-            *[F.when(F.col(f"neg_{c}"), F.lit(f"Negative values found in {c}")) for c in columns],
-            F.when(F.col("long_tenure"), F.lit("Tenure values > 100 months found")),
-            F.when(F.col("high_bill"), F.lit("Monthly charges > $1000 found")),
+            *[F.when(F.col(f"neg_{c}"), F.lit(NEGATIVE_MESSAGE % c)) for c in columns],
+            F.when(F.col("long_tenure"), F.lit(TENURE_MESSAGE)),
+            F.when(F.col("high_bill"), F.lit(MONTHLY_MESSAGE)),
             F.when(
-                F.col("missing_ratio") > 0.1,
-                F.format_string("High missing value ratio: %.1f%%", F.col("missing_ratio") * 100),
+                F.col("missing_ratio") > MAX_MISSING_RATIO,
+                F.format_string(RATIO_MESSAGE, F.col("missing_ratio") * 100),
             ),
         )
     )
