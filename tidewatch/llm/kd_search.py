@@ -171,14 +171,15 @@ def top_k(
     home = materialize(placed.groupBy("dim", "shard").applyInPandas(at_home, OUT))
     kth = home.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
     if shards > 1:
-        travelling = asked.join(kth, asked.id == kth.query_id, "left").select(
+        travelling = asked.join(kth.withColumnRenamed("query_id", "id"), "id", "left").select(
             "id", "v", "dim", "block", F.col("shard").alias("home"),
             F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(LEAST)).alias("known"),
         )
         everywhere = travelling.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(
             "shard <> home"
         )
-        for_each_block = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        renewed = placed.select(*[F.col(c).alias(c) for c in ("id", "v", "dim", "shard")])
+        for_each_block = renewed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
         def away(key: tuple, queries: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
             if not len(queries) or not len(part):
