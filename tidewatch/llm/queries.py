@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import kd_search, line_rules, url_rules
+from tidewatch.llm import kd_search, line_rules, sentencepieces, stock_packing, token_store, url_rules
 from tidewatch.llm.common import documents
 from tidewatch.sources.tables import table
 
@@ -135,3 +135,25 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 )
 def op10_kd_search(spark: SparkSession, folder: str) -> DataFrame:
     return kd_search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def tokenizer(name: str) -> str:
+    """A file of the public tokenizers; the library only ever gets its path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op4_stock_packing")
+def op4_stock_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return stock_packing.pack(documents(spark, folder), tokenizer("byte_bpe_50k.json"))
+
+
+@query("op6_sentencepieces")
+def op6_sentencepieces(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepieces.round_trip(documents(spark, folder), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op7_token_store")
+def op7_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    return token_store.round_trip(documents(spark, folder), tokenizer("word_bpe_49k.json"))
