@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import kd_search, line_rules, sentencepieces, stock_packing, token_store, url_rules
+from tidewatch.llm import (
+    additive_quality,
+    kd_search,
+    license_index,
+    line_rules,
+    sentencepieces,
+    stock_packing,
+    token_store,
+    url_rules,
+    weak_pii,
+)
 from tidewatch.llm.common import documents
 from tidewatch.sources.tables import table
 
@@ -157,3 +167,20 @@ def op6_sentencepieces(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_token_store")
 def op7_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.round_trip(documents(spark, folder), tokenizer("word_bpe_49k.json"))
+
+
+@query("op1_weak_pii")
+def op1_weak_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return weak_pii.find(docs, weak_pii.fit(docs))
+
+
+@query("op5_license_index")
+def op5_license_index(spark: SparkSession, folder: str) -> DataFrame:
+    return license_index.scan(documents(spark, folder))
+
+
+@query("op8_additive_quality")
+def op8_additive_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return additive_quality.score(docs, additive_quality.fit(docs, table(spark, folder, "labels")))
