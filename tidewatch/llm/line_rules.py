@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import free_name
 from tidewatch.session import materialize
 
 LINE_LIMIT = 50  # distinct documents of a host that may share a line
@@ -144,3 +145,19 @@ def judge(
         )
         .withColumn("kept", ~F.col("base_failed") & ~depleted)
     )
+
+
+def keep_good(docs: DataFrame, line_limit: int = LINE_LIMIT, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
+    """The documents that pass, all columns as they are. The verdict depends on text and host, so it is joined on these."""
+    key, host = free_name(docs, "line_key"), free_name(docs, "line_host")
+    marked = docs.withColumn(key, F.md5(F.coalesce("text", F.lit("")))).withColumn(
+        host, F.coalesce(F.col("source"), F.lit(""))
+    )
+    good = (
+        judge(marked, [key, host], line_limit, min_left_percent)
+        .where("kept")
+        .select(F.col(f"`{key}`").alias("_key"), F.col(f"`{host}`").alias("_host"))
+        .distinct()
+    )
+    same = (F.col(f"`{key}`") == F.col("_key")) & (F.col(f"`{host}`") == F.col("_host"))
+    return marked.join(good, same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
