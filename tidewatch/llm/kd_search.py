@@ -30,6 +30,7 @@ SHARD_ROWS = 16_384
 QUERY_ROWS = 1_024  # queries that meet a shard in one task
 LEAF_ROWS = 64
 OUT = "query_id long, vec_id long, score long"
+LEAST, MOST = -(2**63) + 1, 2**63 - 1  # ends of the scores; no score is below LEAST
 
 
 def whole_components(vector: Column, scale: int) -> Column:
@@ -113,18 +114,13 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
     if most < 2**53:
         return np.rint(a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a.astype(object) @ b.T.astype(object)
-
-
-LEAST, MOST = -(2**63) + 1, 2**63 - 1
+    return np.minimum(np.maximum(a.astype(object) @ b.T.astype(object), LEAST), MOST)
 
 
 def _found(tree: Tree, part: pd.DataFrame, k: int) -> pd.DataFrame:
     queries = np.stack([np.asarray(v, np.int64) for v in part["v"]])
     rows = list(tree.search(part["id"].to_numpy(), queries, k, part["known"].to_numpy()))
-    out = pd.DataFrame(rows, columns=["query_id", "vec_id", "score"], dtype=object)
-    out["score"] = [min(max(s, LEAST), MOST) for s in out["score"]]
-    return out.astype("int64")
+    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"], dtype=object).astype("int64")
 
 
 def _tree(part: pd.DataFrame) -> Tree:
