@@ -16,8 +16,8 @@ Recursion. Small regions hand out their pairs for the exact test. Larger regions
 which near copies fill, are merged where they overlap; each such region takes a few of
 its texts as pivots of a second level. Texts within eps of a pivot are one component
 and need no further test among themselves; only the texts beyond are joined, exactly,
-against the whole region in blocks of bounded size, stopping at the first link to each
-component. No pair within a group of near copies is written out.
+against the whole region in blocks of bounded size. Links that join nothing new are not
+written, so no pairs of a group of near copies are.
 
 Shingles are compared by 64-bit hashes, sets by 128-bit digests of these.
 
@@ -45,8 +45,7 @@ from tidewatch.session import materialize
 
 WORDS = 4
 PERCENT = 85
-COMMON = 8  # counted occurrences that make a shingle common
-COMMON_SHINGLES = 200_000  # length of the list of common shingles, 1.6 MB: it only affects speed
+COMMON_SHINGLES = 500_000  # length of the list of common shingles, 4 MB: it only affects speed
 COUNT_SHINGLES = 1 << 20  # shingles a task counts at a time
 SMALL = 8  # texts of a region that are paired directly
 PIVOTS = 4  # texts a merged region takes as pivots
@@ -109,7 +108,7 @@ def common_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
         yield count()
 
     counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "s").limit(COMMON_SHINGLES).toPandas()
+    top = counted.orderBy(F.desc("n"), "s").limit(COMMON_SHINGLES).select("s").toPandas()
     return top["s"].to_numpy(np.int64)[::-1].copy()
 
 
@@ -213,19 +212,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
+        trees = Forest()
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a, b = root(a), root(b)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-        pairs = [(x, root(x)) for x in list(parent)]
+                trees.join(a, b)
+        pairs = [(x, trees.root(x)) for x in list(trees.parent)]
         pairs = [(x, r) for x, r in pairs if x != r]
         node, top = zip(*pairs) if pairs else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(top, pa.int64())], ["node", "root"])
@@ -259,7 +250,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     firsts = wanted.select(F.col("first").alias("_first")).distinct()
     texts = texts.join(firsts, F.col("first").eqNullSafe(F.col("_first")), "left_semi")
     found = texts.select("text").mapInArrow(run, "digest binary, set array<long>")
-    return found.join(wanted.select("cid", "digest"), "digest").groupBy("cid").agg(F.any_value("set").alias("set"))
+    once = found.groupBy("digest").agg(F.any_value("set").alias("set"))
+    return wanted.select("cid", "digest").join(once, "digest").select("cid", "set")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -271,91 +263,108 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.where(F.expr(f"100 * i >= {percent} * (n + m - i)")).select("a", "b")
 
 
-def block_links(some: pd.DataFrame, others: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Links from ``some`` texts to ``others``, at most one for two components that are not yet joined.
+class Forest:
+    """Union-find over numbers."""
 
-    Both have cid, comp and set. An index of the other texts' shingles counts every
-    intersection exactly.
-    """
-    parent: dict[int, int] = {}
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
 
-    def root(x: int) -> int:
+    def root(self, x: int) -> int:
+        parent = self.parent
         while parent.setdefault(x, x) != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    sizes = np.array([len(s) for s in others["set"]], np.int64)
-    values = np.concatenate([np.asarray(s, np.int64) for s in others["set"]])
-    owner = np.repeat(np.arange(len(others)), sizes)
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def region_links(part: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links that join the texts of one or two blocks of a merged region (columns cid, pivot, block, set).
+
+    Every text is held against the pivots first. The largest component that this gives
+    needs no test within itself; all other texts are held against all texts, by an index of
+    shingles that counts intersections exactly. With two blocks these are links across them.
+    """
+    ids, blocks = part["cid"].to_numpy(), part["block"].to_numpy()
+    sets = [np.asarray(s, np.int64) for s in part["set"]]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
-    ids, comps = others["cid"].to_numpy(), others["comp"].to_numpy()
-    links = []
-    for cid, comp, found in zip(some["cid"], some["comp"], some["set"]):
-        found = np.asarray(found, np.int64)
-        lo, hi = np.searchsorted(values, found, "left"), np.searchsorted(values, found, "right")
+    forest, links = Forest(), []
+
+    def linked(at: int) -> np.ndarray:
+        """Rows within eps of a row, itself included."""
+        lo, hi = (np.searchsorted(values, sets[at], side) for side in ("left", "right"))
         n = hi - lo
-        if not n.sum():
-            continue
         places = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        common = np.bincount(owner[places], minlength=len(others))
-        near = np.flatnonzero(100 * common >= percent * (sizes + len(found) - common))
-        for at in near[np.unique(comps[near], return_index=True)[1]].tolist():
-            a, b = root(int(comp)), root(int(comps[at]))
-            if a != b:
-                parent[a] = b
-                links.append((int(cid), int(ids[at])))
+        common = np.bincount(owner[places], minlength=len(sets))
+        return np.flatnonzero(100 * common >= percent * (sizes + sizes[at] - common))
+
+    for at in np.flatnonzero(part["pivot"].to_numpy()).tolist():
+        for other in linked(at).tolist():
+            if forest.join(int(ids[at]), int(ids[other])):
+                links.append((int(ids[at]), int(ids[other])))
+    roots = np.array([forest.root(int(i)) for i in ids])
+    found, n = np.unique(roots, return_counts=True)
+    across = blocks.min() != blocks.max()
+    for at in np.flatnonzero(roots != found[n.argmax()]).tolist():
+        for other in linked(at).tolist():
+            if not (across and blocks[at] == blocks[other]) and forest.join(int(ids[at]), int(ids[other])):
+                links.append((int(ids[at]), int(ids[other])))
     return links
 
 
-def _joined(some: DataFrame, others: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Links between ``some`` and ``others`` (g, cid, comp, set) of each merged region, in blocks of bounded size."""
-    blocked = lambda rows, n: rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.col(n)))
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    totals = some.groupBy("g").agg(F.ceil(F.sum(F.size("set")) / BLOCK_SHINGLES).alias("own"))
-    left = blocked(some.join(totals, "g").join(sizes, "g"), "own").select(
-        "g", F.col("block").alias("p"), upto("blocks").alias("q"), "cid", "comp", "set"
-    )
-    right = blocked(others.join(totals, "g").join(sizes, "g"), "blocks").select(
-        F.col("g").alias("g"), upto("own").alias("p"), F.col("block").alias("q"),
-        F.col("cid").alias("cid"), F.col("comp").alias("comp"), F.col("set").alias("set"),
-    )
+def _merged(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Large regions (a of region b) merged where they overlap, and dealt to tasks that each see two blocks at most.
 
-    def run(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        links = block_links(x, y, percent) if len(x) and len(y) else []
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    keys = ["g", "p", "q"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "a long, b long")
-
-
-def _region_links(members: DataFrame, sets: DataFrame, sure: DataFrame, percent: int) -> DataFrame:
-    """Links within the large regions. ``members``: a of region b; ``sure``: links known from pairs."""
+    Rows g, p, q, cid, pivot, block. A text of block k goes to the tasks (k, j) of all blocks j, a
+    pivot to every task of its region.
+    """
     pivot = members.groupBy("b").agg(F.min("a").alias("low"))
-    overlaps = members.join(pivot, "b").where("a <> low").select(F.col("a"), F.col("low").alias("b")).distinct()
-    merged = components(overlaps)
-    grouped = merged.select(F.col("node").alias("cid"), F.col("root").alias("g")).unionByName(
+    overlaps = members.join(pivot, "b").where("a <> low").select("a", F.col("low").alias("b")).distinct()
+    merged = materialize(components(overlaps))
+    texts = merged.select(F.col("node").alias("cid"), F.col("root").alias("g")).unionByName(
         merged.select(F.col("root").alias("cid"), F.col("root").alias("g")).distinct()
     )
-    rows = materialize(grouped.join(sets, "cid").withColumn("comp", F.col("cid")).select("g", "cid", "comp", "set"))
-    sizes = rows.groupBy("g").agg(F.ceil(F.sum(F.size("set")) / BLOCK_SHINGLES).alias("blocks"))
-    ranked = rows.select("g", "cid", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("cid"))).alias("k"))
-    pivots = rows.join(ranked.where(F.col("k") <= PIVOTS).select("g", "cid"), ["g", "cid"])
-    first = materialize(_joined(_fresh(pivots), rows, sizes, percent).unionByName(sure))
-    near = components(first)
-    placed = rows.drop("comp").join(near.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "g", "cid", F.coalesce("root", "cid").alias("comp"), "set"
+    sized = materialize(texts.join(classes.select("cid", "n"), "cid"))
+    blocks = sized.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("cid"), "cid"))
+    pivots = sized.select("g", "cid", rank.alias("k")).where(F.col("k") <= PIVOTS).select("cid", F.lit(True).alias("pivot"))
+    dealt = (
+        sized.join(blocks, "g")
+        .join(pivots, "cid", "left")
+        .select(
+            "g", "cid", F.coalesce("pivot", F.lit(False)).alias("pivot"), "blocks",
+            F.pmod(F.xxhash64(F.lit(1), "cid"), F.col("blocks")).alias("block"),
+        )
     )
-    placed = materialize(placed)
-    counted = placed.groupBy("g", "comp").agg(F.count("*").alias("n"))
-    main = counted.groupBy("g").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    beyond = placed.join(main, "g").where("comp <> main").select("g", "cid", "comp", "set")
-    return first.unionByName(_joined(_fresh(beyond), placed, sizes, percent))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    tasks = dealt.select("*", upto(F.col("blocks")).alias("j")).select(
+        "*", F.least("block", "j").alias("p"), F.greatest("block", "j").alias("q")
+    )
+    own = tasks.select("g", "p", "q", "cid", "pivot", "block")
+    # Pivots of regions with more than two blocks also go where their own block doesn't.
+    more = (
+        dealt.where(F.col("pivot") & (F.col("blocks") > 1))
+        .select("*", upto(F.col("blocks")).alias("p"))
+        .select("*", F.explode(F.sequence("p", F.col("blocks") - 1)).alias("q"))
+        .where("p <> block and q <> block")
+        .select("g", "p", "q", "cid", "pivot", F.col("p").alias("block"))
+    )
+    return own.unionByName(more)
+
+
+def _region_links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within the large regions."""
 
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(region_links(part, percent), columns=["a", "b"], dtype="int64")
 
-def _fresh(rows: DataFrame) -> DataFrame:
-    """The same rows under columns of their own, for joins with where they come from."""
-    return rows.select(*[F.col(c).alias(c) for c in rows.columns])
+    return dealt.join(sets, "cid").groupBy("g", "p", "q").applyInPandas(run, "a long, b long")
 
 
 def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -368,12 +377,11 @@ def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tup
         .withColumn("cid", F.monotonically_increasing_id())
     )
     met = materialize(regions(classes, percent))
-    pairs = met.where("not member").select("a", "b").distinct()
-    members = met.where("member").select("a", "b")
-    wanted = pairs.select("a").union(pairs.select("b")).union(members.select("a")).distinct().withColumnRenamed("a", "cid")
+    pairs = materialize(met.where("not member").select("a", "b").distinct())
+    dealt = _merged(met.where("member").select("a", "b"), classes)
+    wanted = pairs.select("a").union(pairs.select("b")).union(dealt.select("cid")).distinct().withColumnRenamed("a", "cid")
     sets = materialize(_sets(docs, classes.join(wanted, "cid").select("cid", "first", "digest"), words))
-    sure = _verified(pairs, sets, percent)
-    links = _region_links(members, sets, sure, percent)
+    links = _verified(pairs, sets, percent).unionByName(_region_links(dealt, sets, percent))
     roots = components(links)
     placed = classes.select("cid", "digest", "first").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     placed = materialize(placed.select("digest", "first", F.coalesce("root", "cid").alias("root")))
