@@ -73,3 +73,14 @@ def test_ks_p_value(spark):
     df = spark.createDataFrame([(0.0, 50, 60), (1.0, 50, 60), (0.136, 200, 200)], "d double, a int, b int")
     p = [r.p for r in df.select(ks_p_value(F.col("d"), F.col("a"), F.col("b")).alias("p")).collect()]
     assert p[0] == 1.0 and p[1] < 1e-9 and abs(p[2] - 0.0495) < 2e-3
+
+
+def test_chi_square_of_many_categories(spark):
+    # for so many degrees of freedom the statistic is close to normal: mean d, deviation sqrt(2 d)
+    rows = [(float(d + z * (2 * d) ** 0.5), d) for d in (20_001, 20_000_000) for z in (-2.0, 0.0, 2.0)]
+    df = spark.createDataFrame(rows, "x double, d long")
+    got = [r.p for r in df.select(chi_square_p_value(F.col("x"), F.col("d")).alias("p")).collect()]
+    assert all(abs(p - q) < 4e-3 for p, q in zip(got, [0.97725, 0.5, 0.02275] * 2))
+    edge = spark.createDataFrame([(10_100.0, 9_999), (10_100.0, 10_000), (10_100.0, 10_001)], "x double, d long")
+    near = [r.p for r in edge.select(chi_square_p_value(F.col("x"), F.col("d")).alias("p")).collect()]
+    assert max(near) - min(near) < 0.01

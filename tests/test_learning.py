@@ -147,3 +147,14 @@ def test_models(spark, labelled, tmp_path):
 
 def test_default_grid():
     assert len(modeling.default_grid(modeling.boosted())) == 36
+
+
+def test_split_of_many_classes(spark):
+    df = spark.range(21_000).select("id", (F.col("id") % 10_500).alias("y"))
+    counts = features.stratified_split(df, "y", "id", 0.5).groupBy("is_train").count().collect()
+    assert {r.is_train: r["count"] for r in counts} == {True: 10_500, False: 10_500}
+
+
+def test_one_hot_entries(spark):
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None), (4, "c")], "id int, c string")
+    assert {tuple(r) for r in features.one_hot_entries(df, "c", "id").collect()} == {(1, 0), (4, 1)}

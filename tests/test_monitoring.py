@@ -125,3 +125,16 @@ def test_rolling_and_throughput(spark, log):
     assert max(r.total_predictions for r in rows) == 10
     empty = monitoring.throughput(spark.createDataFrame([], "batch_size bigint, seconds double")).first()
     assert tuple(empty) == (0, 0.0, 0.0)
+
+
+def test_recent_stats_count_every_batch_of_the_window(spark):
+    log = spark.range(1500).select(
+        (F.lit("2026-02-09 00:00:00").cast("timestamp_ntz") + F.expr("make_dt_interval(0, 0, 0, id)")).alias("timestamp"),
+        F.lit("v").alias("model_version"),
+        F.expr("id div 750 + 1").alias("batch_size"),
+        F.struct(F.lit(0.25).alias("positive_rate")).alias("prediction_stats"),
+    )
+    row = monitoring.recent_stats(log, F.lit("2026-02-09 12:00:00").cast("timestamp_ntz")).first()
+    assert (row.batch_count, row.total_predictions, row.prediction_volume_trend) == (1500, 2250, "increasing")
+    halves = monitoring.volume_trend(log, "timestamp", "model_version").first()
+    assert (halves.batch_count, halves.first_half, halves.second_half) == (1500, 1.0, 2.0)

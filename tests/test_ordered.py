@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -43,11 +44,8 @@ def test_quantiles_skip_missing(spark):
     assert quantiles(df, ["a"], [0.5], approx=True).first().value in (1.0, 3.0)
 
 
-def test_too_many_groups_fail(spark, monkeypatch):
-    from tidewatch.operators import ordered
-
-    monkeypatch.setattr(ordered, "MAX_GROUPS", 2)
-    df = spark.createDataFrame([(g, 1.0, 1) for g in "abc"], "g string, v double, n int")
-    assert running_totals(df.where("g < 'c'"), "v", ["n"], by=["g"]).count() == 2
-    with pytest.raises(Exception, match="more than 2 groups"):
-        running_totals(df, "v", ["n"], by=["g"]).collect()
+def test_any_number_of_groups(spark):
+    df = spark.range(3300).select((F.col("id") % 1100).alias("g"), F.col("id").cast("double").alias("v"), F.lit(2).alias("n"))
+    rows = running_totals(df, "v", ["n"], by=["g"]).collect()
+    assert len(rows) == 3300
+    assert all(r.all_n == 6 and r.run_n == 2 * (int(r.v) // 1100 + 1) for r in rows)

@@ -15,7 +15,6 @@ from tidewatch.session import materialize
 
 MAX_ONE_HOT_LEVELS = 256
 HASH_PREFIX = 4  # hex digits: 65,536 equal slices of the hash range
-MAX_CLASSES = 10_000  # cut points are broadcast, so the classes of a split must be few
 
 
 def features_and_target(df: DataFrame, configured: Sequence[str], target: str) -> DataFrame:
@@ -77,7 +76,7 @@ def one_hot(df: DataFrame, column: str, max_levels: int = MAX_ONE_HOT_LEVELS) ->
     """0/1 columns for all sorted levels but the first; null gives all zeros.
 
     The levels become column names, so they are read on the driver; more than
-    ``max_levels`` is an error (use the vector encoder of the model pipeline).
+    ``max_levels`` is an error (``one_hot_entries`` takes any number).
     """
     found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(max_levels + 1).collect()
     if len(found) > max_levels:
@@ -87,6 +86,19 @@ def one_hot(df: DataFrame, column: str, max_levels: int = MAX_ONE_HOT_LEVELS) ->
     return df.select(*[c for c in df.columns if c != column], *flags)
 
 
+def one_hot_entries(df: DataFrame, column: str, key: str) -> DataFrame:
+    """``(key, index)`` of the flags that ``one_hot`` would set, for any number of levels.
+
+    The index counts the sorted levels from 0 without the first; rows of the first level
+    or without one have no entry. Levels are joined on, never read on the driver.
+    """
+    return (
+        label_encode(df, column, "_code")
+        .where(F.col("_code") > 0)
+        .select(key, (F.col("_code") - 1).alias("index"))
+    )
+
+
 def encode(df: DataFrame, columns: Sequence[str], method: str = "onehot") -> DataFrame:
     for c in columns:
         if method == "onehot":
@@ -116,8 +128,6 @@ def stratified_parts(df: DataFrame, label: str, key: str, parts: Sequence[float]
     slices = materialize(
         hashed.groupBy("_label", F.substring("_hash", 1, HASH_PREFIX).alias("_slice")).agg(F.count("*").alias("_n"))
     )
-    if slices.select("_label").distinct().limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
     # At most 65,536 slices per class.
     order = Window.partitionBy("_label").orderBy("_slice")
     totals = Window.partitionBy("_label")
@@ -137,9 +147,8 @@ def stratified_parts(df: DataFrame, label: str, key: str, parts: Sequence[float]
         )
         .select("_label", "_slice", "_cut", (F.col("_rank") - F.col("_before")).alias("_nth"))
     )
-    inside = hashed.withColumn("_slice", F.substring("_hash", 1, HASH_PREFIX)).join(
-        F.broadcast(cuts), ["_label", "_slice"]
-    )
+    # A few cuts a class: Spark broadcasts them as long as the classes are few.
+    inside = hashed.withColumn("_slice", F.substring("_hash", 1, HASH_PREFIX)).join(cuts, ["_label", "_slice"])
     nth = Window.partitionBy("_label", "_cut").orderBy("_hash")
     limits = (
         inside.withColumn("_row", F.row_number().over(nth))
@@ -151,7 +160,7 @@ def stratified_parts(df: DataFrame, label: str, key: str, parts: Sequence[float]
     )
     position = hash_position(key)
     part = F.size(F.filter(F.coalesce("_limits", F.array().cast("array<string>")), lambda h: h < position))
-    return df.join(F.broadcast(limits), label, "left").select(*df.columns, part.alias(out))
+    return df.join(limits, label, "left").select(*df.columns, part.alias(out))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, train_share: float = 0.8) -> DataFrame:

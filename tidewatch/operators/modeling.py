@@ -28,6 +28,7 @@ from tidewatch.operators.cleaning import sanitize
 from tidewatch.operators.evaluation import ranking_metrics
 from tidewatch.operators.features import stratified_folds
 
+MAX_TREE_DEPTH = 30  # Spark's own limit
 MAX_LEVELS = 10_000  # a category's levels become model metadata
 
 # The tuning grid of the boosted trees.
@@ -90,8 +91,13 @@ def logistic(rows: int, label: str = "label") -> LogisticRegression:
     )
 
 
-def forest(trees: int = 100, label: str = "label", seed: int = 42) -> RandomForestClassifier:
-    return RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, seed=seed)
+def forest(
+    trees: int = 100, label: str = "label", seed: int = 42, max_depth: int = MAX_TREE_DEPTH
+) -> RandomForestClassifier:
+    """Trees as deep as Spark grows them; pass a smaller ``max_depth`` for very large tables."""
+    return RandomForestClassifier(
+        featuresCol="features", labelCol=label, numTrees=trees, seed=seed, maxDepth=max_depth
+    )
 
 
 def boosted(rounds: int = 100, label: str = "label", seed: int = 42) -> GBTClassifier:

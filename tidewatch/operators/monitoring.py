@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tidewatch.functions.columns import HIGH_RISK, MEDIUM_RISK, divide_or_zero, hard_label
 from tidewatch.operators.drift import psi, psi_report
 from tidewatch.operators.evaluation import threshold_performance
-from tidewatch.operators.ordered import nan_to_null
+from tidewatch.operators.ordered import nan_to_null, running_totals
 from tidewatch.operators.quality import duplicate_rows, is_missing, null_profile, quantile_columns
 
 # Retention, history and thresholds.
@@ -148,6 +148,10 @@ def degradation(
     )
 
 
+def divide_or_null(a: Column, b: Column) -> Column:
+    return F.when(b != 0, a / b)
+
+
 def newest(df: DataFrame, ts: str, n: int, *tie: str) -> DataFrame:
     """The newest n rows (Spark keeps only n per task before the merge)."""
     return df.orderBy(F.col(ts).desc(), *[F.col(c).desc() for c in tie]).limit(n)
@@ -164,21 +168,22 @@ def within_hours(df: DataFrame, ts: str, asof: Column, hours: int = ALERT_HOURS)
 
 
 def volume_trend(log: DataFrame, ts: str, *tie: str) -> DataFrame:
-    """Mean batch size of the second half of a log against the first half.
+    """Mean batch size of the second half of a log against the first half, over all its rows.
 
-    The log is at most LOG_ENTRIES rows, so ordering it in one task is safe.
+    Rows of equal time and ties are added up first and share their places evenly, so
+    a log of any length is numbered range by range.
     """
-    order = Window.orderBy(ts, *tie)
-    placed = newest(log, ts, LOG_ENTRIES, *tie).select(
-        "batch_size",
-        F.row_number().over(order).alias("i"),
-        F.count("*").over(Window.partitionBy()).alias("n"),
+    at = log.groupBy(F.struct(ts, *tie).alias("_at")).agg(
+        F.count("*").alias("_rows"), F.sum("batch_size").alias("_size")
     )
-    first = F.col("i") <= F.floor(F.col("n") / 2)
-    return placed.agg(
-        F.count("*").alias("batch_count"),
-        F.avg(F.when(first, F.col("batch_size"))).alias("first_half"),
-        F.avg(F.when(~first, F.col("batch_size"))).alias("second_half"),
+    half = F.floor(F.col("all__rows") / 2)
+    before = F.col("run__rows") - F.col("_rows")
+    in_first = F.greatest(F.lit(0), F.least(F.col("_rows"), half - before))
+    mean_size = F.col("_size") / F.col("_rows")
+    return running_totals(at, "_at", ["_rows"]).agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("batch_count"),
+        divide_or_null(F.sum(mean_size * in_first), F.sum(in_first)).alias("first_half"),
+        divide_or_null(F.sum(mean_size * (F.col("_rows") - in_first)), F.sum(F.col("_rows") - in_first)).alias("second_half"),
     ).withColumn(
         "prediction_volume_trend",
         F.when(F.col("batch_count") < 2, F.lit("insufficient_data"))
@@ -189,8 +194,8 @@ def volume_trend(log: DataFrame, ts: str, *tie: str) -> DataFrame:
 
 
 def recent_stats(log: DataFrame, asof: Column, hours: int = ALERT_HOURS) -> DataFrame:
-    """Totals over the last hours; the positive rate is averaged over batches, not rows."""
-    recent = within_hours(newest(log, "timestamp", LOG_ENTRIES, "model_version"), "timestamp", asof, hours)
+    """Totals over the last hours, however many batches they hold; the positive rate is averaged over batches, not rows."""
+    recent = within_hours(log, "timestamp", asof, hours)
     totals = recent.agg(
         F.lit(hours).cast("bigint").alias("time_window_hours"),
         F.coalesce(F.sum("batch_size"), F.lit(0)).alias("total_predictions"),

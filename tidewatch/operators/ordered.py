@@ -17,7 +17,6 @@ from pyspark.sql.window import Window
 
 MIN_SLOTS = 16
 MAX_SLOTS = 4096
-MAX_GROUPS = 1000
 
 
 def range_slots(spark: SparkSession) -> int:
@@ -36,8 +35,7 @@ def running_totals(
     """Add inclusive running sums ``run_<m>`` and group totals ``all_<m>``.
 
     ``df`` holds one row per (``by``, ``order_col``): aggregate first, so a hot
-    value is a single row. ``by`` must have few distinct groups (metric
-    columns, classes, models; more than MAX_GROUPS fail); each group may be
+    value is a single row. ``by`` may have any number of groups, each
     arbitrarily large.
 
     The split points are the values with the smallest hash in each of
@@ -69,11 +67,11 @@ def running_totals(
             ),
         )
     )
-    if [c for c in by if c != "column"]:  # a schema bounds the number of its columns
-        groups = F.count("*").over(Window.partitionBy())
-        too_many = F.raise_error(F.lit(f"more than {MAX_GROUPS} groups in {by}"))
-        ranges = ranges.withColumn("_points", F.when(groups <= MAX_GROUPS, F.col("_points")).otherwise(too_many))
-    ranges = F.broadcast(ranges)  # at most `slots` values for each of the few groups
+    # A schema bounds its columns, so their split points may be broadcast; those of other
+    # groups are joined by key, whichever way suits their number.
+    few = not [c for c in by if c != "column"]
+    if few:
+        ranges = F.broadcast(ranges)  # at most `slots` values for each column
     joined = df.join(ranges, by) if by else df.join(ranges)
     value = F.col(order_col)
     head = F.size(F.filter("_heads", lambda p: p < value)).alias("_head")
@@ -99,7 +97,7 @@ def running_totals(
             *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_before_{m}") for m in measures],
         )
     )
-    return local.join(F.broadcast(offsets), [*by, "_range"]).select(
+    return local.join(F.broadcast(offsets) if few else offsets, [*by, "_range"]).select(
         *df.columns,
         *[(F.col(f"_local_{m}") + F.col(f"_before_{m}")).alias(f"run_{m}") for m in measures],
         *[f"all_{m}" for m in measures],

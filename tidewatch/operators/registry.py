@@ -43,7 +43,7 @@ class ModelRegistry:
         """The newest registration of each version."""
         latest = self._read("model_versions", VERSION_SCHEMA)
         whole = F.struct(*latest.columns)
-        return latest.groupBy("version").agg(F.max_by(whole, F.col("created")).alias("r")).select("r.*")
+        return latest.groupBy("version").agg(F.max_by(whole, F.struct("created", "model_path")).alias("r")).select("r.*")
 
     def register(self, rows: DataFrame) -> None:
         """Append version rows; columns not given stay null."""
@@ -71,7 +71,7 @@ class ModelRegistry:
         )
 
     def _pointer(self) -> DataFrame:
-        return self._read("champion_log", CHAMPION_SCHEMA).agg(F.max_by("version", "set_at").alias("champion"))
+        return self._read("champion_log", CHAMPION_SCHEMA).agg(F.max_by("version", F.struct("set_at", "version")).alias("champion"))
 
     def flagged(self) -> DataFrame:
         """All versions with ``is_champion``."""

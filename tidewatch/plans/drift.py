@@ -640,7 +640,7 @@ def _(spark, folder):
 
 
 RECENT = f"""{LOG},
-recent AS (SELECT *, row_number() OVER (ORDER BY ts, model_version) AS i, count(*) OVER () AS c FROM kept
+recent AS (SELECT *, row_number() OVER (ORDER BY ts, model_version) AS i, count(*) OVER () AS c FROM log
   WHERE ts > {LAST} - INTERVAL 720 HOUR AND ts <= {LAST}),
 halves AS (SELECT count(*) AS c, avg(CASE WHEN i <= floor(c / 2) THEN batch_size END) AS a,
   avg(CASE WHEN i > floor(c / 2) THEN batch_size END) AS b FROM recent)"""
@@ -674,7 +674,7 @@ def _(spark, folder):
 
 @query(
     "w3_volume_trend",
-    f"""WITH {LOG}, k AS (SELECT *, row_number() OVER (ORDER BY ts, model_version) AS i, count(*) OVER () AS c FROM kept),
+    f"""WITH {LOG}, k AS (SELECT *, row_number() OVER (ORDER BY ts, model_version) AS i, count(*) OVER () AS c FROM log),
     h AS (SELECT count(*) AS c, avg(CASE WHEN i <= floor(c / 2) THEN batch_size END) AS a,
       avg(CASE WHEN i > floor(c / 2) THEN batch_size END) AS b FROM k)
     SELECT CAST(c AS BIGINT) AS batch_count, round(a, 6) AS first_half, round(b, 6) AS second_half,
