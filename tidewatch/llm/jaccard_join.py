@@ -12,7 +12,8 @@ inequality a partner within eps can only lie in regions of the first
 these: linked texts meet in the region of their first common shingle. Any order is
 exact; a bounded list of common shingles only keeps regions small.
 
-Recursion. Small regions hand out their pairs for the exact test. Larger regions,
+Recursion. Small regions hand out their pairs; those whose windows leave it possible
+are tested exactly. Larger regions,
 which near copies fill, are merged where they overlap; each such region takes a few of
 its texts as pivots of a second level. Texts within eps of a pivot are one component
 and need no further test among themselves; only the texts beyond are joined, exactly,
@@ -254,6 +255,21 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return wanted.select("cid", "digest").join(once, "digest").select("cid", "set")
 
 
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may link as far as their windows tell.
+
+    Of the window that ends first, in the global order, every shared shingle is in both
+    windows; all other shared shingles lie beyond it.
+    """
+    left = classes.select(F.col("cid").alias("a"), F.col("n").alias("n"), F.col("window").alias("x"))
+    right = classes.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("window").alias("y"))
+    met = pairs.join(left, "a").join(right, "b").select(
+        "a", "b", "n", "m", F.size(F.array_intersect("x", "y")).alias("i"),
+        F.greatest(F.col("n") - F.size("x"), F.col("m") - F.size("y")).alias("beyond"),
+    )
+    return met.where(F.expr(f"100 * (i + beyond) >= {percent} * (n + m - i - beyond)")).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that link, by the exact sizes of intersection and union."""
     left = sets.select(F.col("cid").alias("a"), F.col("set").alias("x"))
@@ -377,7 +393,7 @@ def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tup
         .withColumn("cid", F.monotonically_increasing_id())
     )
     met = materialize(regions(classes, percent))
-    pairs = materialize(met.where("not member").select("a", "b").distinct())
+    pairs = materialize(possible(met.where("not member").select("a", "b").distinct(), classes, percent))
     dealt = _merged(met.where("member").select("a", "b"), classes)
     wanted = pairs.select("a").union(pairs.select("b")).union(dealt.select("cid")).distinct().withColumnRenamed("a", "cid")
     sets = materialize(_sets(docs, classes.join(wanted, "cid").select("cid", "first", "digest"), words))
