@@ -32,14 +32,18 @@ def test_folds(spark):
         assert sum(counts) == total and max(counts) - min(counts) <= 1
 
 
-def test_lookup_join_salted_equals_broadcast(spark):
+def test_lookup_join_shuffled_equals_broadcast(spark):
     big = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string")).alias("k"))
     small = spark.range(40).select(F.col("id").cast("string").alias("k"), "id").withColumnRenamed("id", "v").unionByName(
         spark.createDataFrame([("hot", 99)], "k string, v bigint")
     )
     plain = joins.lookup_join(big, small, ["k"]).orderBy("id").collect()
-    salted = joins.lookup_join(big, small, ["k"], max_rows=0, salts=8).select("k", "id", "v").orderBy("id").collect()
-    assert len(plain) == 2000 and [tuple(r) for r in plain] == [tuple(r) for r in salted]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        shuffled = joins.lookup_join(big, small, ["k"]).orderBy("id").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plain) == 2000 and plain == shuffled
 
 
 def test_target_encoding_learns_on_train_only(spark):

@@ -138,3 +138,15 @@ def test_recent_stats_count_every_batch_of_the_window(spark):
     assert (row.batch_count, row.total_predictions, row.prediction_volume_trend) == (1500, 2250, "increasing")
     halves = monitoring.volume_trend(log, "timestamp", "model_version").first()
     assert (halves.batch_count, halves.first_half, halves.second_half) == (1500, 1.0, 2.0)
+
+
+def test_a_failing_check_is_reported(spark):
+    def broken():
+        raise RuntimeError("no connection\nmore")
+
+    fine = lambda: spark.createDataFrame([(True, "ok", None)], "passed boolean, message string, severity string")
+    rows = {r.check: r for r in monitoring.health_check(spark, {"a": fine, "b": broken, "c": fine}).collect()}
+    assert rows["a"].passed and rows["c"].passed and not rows["b"].passed
+    assert (rows["b"].severity, rows["b"].message) == ("error", "Check failed: RuntimeError: no connection")
+    status = monitoring.overall_status(monitoring.health_check(spark, {"a": fine, "b": broken})).first()
+    assert status.overall_status == "unhealthy"

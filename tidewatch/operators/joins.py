@@ -5,27 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidewatch.session import materialize
 
-BROADCAST_ROWS = 200_000
-SALTS = 64
-
-
-def lookup_join(
-    big: DataFrame, small: DataFrame, keys: Sequence[str], max_rows: int = BROADCAST_ROWS, salts: int = SALTS
-) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join to a table with unique keys.
 
-    The lookup table is computed once and counted. Up to ``max_rows`` rows it
-    is broadcast; beyond that the join is salted, so that the rows of a hot key
-    spread over ``salts`` tasks.
+    Spark broadcasts the lookup table as long as its size in bytes allows; beyond
+    that the adaptive plan splits the rows of hot keys over several tasks.
     """
-    keys = list(keys)
-    small = materialize(small)
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(small), keys, "left")
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")
+    return big.join(small, list(keys), "left")

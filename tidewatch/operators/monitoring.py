@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,6 +16,8 @@ from tidewatch.operators.quality import duplicate_rows, is_missing, null_profile
 
 # Retention, history and thresholds.
 LOG_ENTRIES = 1000
+CHECK_SCHEMA = "check string, passed boolean, message string, severity string"
+CHECK_FAILED = "Check failed: %s: %s"
 HISTORY_BATCHES = 10
 ACCURACY_DROP = 0.05
 DASHBOARD_BATCHES = 100
@@ -274,13 +276,21 @@ def overall_status(checks: DataFrame) -> DataFrame:
     )
 
 
-def health_check(checks: dict[str, DataFrame]) -> DataFrame:
-    """Union of named checks; the caller may plug in any table of the same shape."""
-    union = None
-    for name, rows in checks.items():
-        rows = rows.withColumn("check", F.lit(name))
-        union = rows if union is None else union.unionByName(rows)
-    return union
+def health_check(spark: SparkSession, checks: Mapping[str, Callable[[], DataFrame]]) -> DataFrame:
+    """Run named checks; the caller may plug in any function that returns a table of the same shape.
+
+    A check that raises becomes a failed row of severity ``error`` with the message of
+    its exception, and the others go on. Checks have one row, so each is read as it runs.
+    """
+    rows = []
+    for name, check in checks.items():
+        try:
+            found = check().select("passed", "message", "severity").collect()
+            rows += [(name, *r) for r in found]
+        except Exception as error:  # a broken check is a finding, not the end of the report
+            first_line = str(error).strip().split("\n")[0]
+            rows.append((name, False, CHECK_FAILED % (type(error).__name__, first_line[:200]), "error"))
+    return spark.createDataFrame(rows, CHECK_SCHEMA)
 
 
 # Alerts

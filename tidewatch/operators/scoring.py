@@ -95,7 +95,7 @@ def batch_numbers(df: DataFrame, key: str, size: int = 1000) -> DataFrame:
 
 
 def outreach_list(df: DataFrame, key: str) -> DataFrame:
-    """Customers to contact, most urgent first."""
-    return df.where("intervention_recommended").orderBy(
-        F.col("priority_score").desc(), F.col("MonthlyCharges").desc(), key
-    )
+    """Customers to contact, most urgent first, with their ``place`` from 1; places are found range by range."""
+    urgency = F.struct(-F.col("priority_score"), -F.col("MonthlyCharges"), key)
+    listed = df.where("intervention_recommended").withColumn("_urgency", urgency)
+    return number_rows(listed, "_urgency", "place").drop("_urgency").orderBy("place")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewatch.functions import columns as C
 from tidewatch.operators import impact, registry
@@ -280,10 +281,12 @@ def _(spark, folder):
 @query(
     "t1_compare_versions",
     f"""WITH {VERSIONS} SELECT version, 'fixed-weight logistic' AS model_type, '2000-08-01 00:00:00' AS created,
-    round(recall, 6) AS test_recall, version = '{CHAMPION}' AS is_champion FROM mv""",
+    round(recall, 6) AS test_recall, version = '{CHAMPION}' AS is_champion,
+    row_number() OVER (ORDER BY recall DESC, version) AS place FROM mv""",
 )
 def _(spark, folder):
-    return _registry(spark, folder).compare("test_recall")
+    place = F.row_number().over(Window.orderBy(F.col("test_recall").desc(), "version"))  # one row a version
+    return _registry(spark, folder).compare("test_recall").withColumn("place", place)
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewatch.functions import columns as C
 from tidewatch.functions.schema import SUBSCRIBER_FIELDS
@@ -12,7 +13,7 @@ from tidewatch.plans.catalog import BUSINESS, GAPPY, ORDER_SCORES, PARSED, RAW,
 from tidewatch.plans.inputs import (
     NUMBERS,
     business_subscribers,
-    events_first_last,
+    events_halves,
     gappy_lineitem,
     parsed_subscribers,
     scored_orders,
@@ -28,8 +29,8 @@ SHIPPED = f"""{GAPPY},
 tagged AS (SELECT *, l_shipdate >= TIMESTAMP '1998-07-01' AS cur FROM gappy)"""
 EVENTS = """
 ev AS (
-  SELECT false AS cur, event_type, value FROM events WHERE ts < TIMESTAMP '2024-01-11' AND event_type <> 'signup'
-  UNION ALL SELECT true, nullif(event_type, 'error'), value FROM events WHERE ts >= TIMESTAMP '2024-01-21'
+  SELECT ts >= TIMESTAMP '2024-01-16' AS cur, event_type || ' ' || CAST(CAST(floor(value / 25) AS BIGINT) AS VARCHAR) AS event_type,
+    value FROM events
 )"""
 CATEGORY_COUNTS = f"""{EVENTS},
 cc AS (SELECT event_type AS value, count(*) FILTER (NOT cur) AS ref, count(*) FILTER (cur) AS now FROM ev GROUP BY 1),
@@ -60,7 +61,7 @@ def _(spark, folder):
     CAST(now AS BIGINT) AS cur FROM cc""",
 )
 def _(spark, folder):
-    return drift.category_counts(*events_first_last(spark, folder), ["event_type"])
+    return drift.category_counts(*events_halves(spark, folder), ["event_type"])
 
 
 @query(
@@ -81,7 +82,7 @@ def _(spark, folder):
     WHERE ref = 0 AND now > 0""",
 )
 def _(spark, folder):
-    return drift.new_categories(*events_first_last(spark, folder), ["event_type"])
+    return drift.new_categories(*events_halves(spark, folder), ["event_type"])
 
 
 @query(
@@ -270,7 +271,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     # The statistic is about 1e16 here (categories the reference lacks), so its logarithm is compared.
-    result = drift.chi_square_test(*events_first_last(spark, folder), ["event_type"])
+    result = drift.chi_square_test(*events_halves(spark, folder), ["event_type"])
     return result.withColumn("log_statistic", F.ln("statistic")).drop("statistic")
 
 
@@ -470,16 +471,28 @@ def _(spark, folder):
     ELSE 'healthy' END AS overall_status FROM checks""",
 )
 def _(spark, folder):
-    checks = monitoring.health_check(
-        {
-            "data_quality": _quality_check(spark, folder),
-            "prediction_distribution": monitoring.prediction_rate_check(scored_orders(spark, folder), "p"),
-            "performance_degradation": monitoring.degradation_check(
-                _performance(spark, folder), ["model_version"], "batch_month"
-            ),
-        }
-    )
-    return monitoring.overall_status(checks)
+    return monitoring.overall_status(monitoring.health_check(spark, _checks(spark, folder)))
+
+
+def _checks(spark, folder):
+    return {
+        "data_quality": lambda: _quality_check(spark, folder),
+        "prediction_distribution": lambda: monitoring.prediction_rate_check(scored_orders(spark, folder), "p"),
+        "performance_degradation": lambda: monitoring.degradation_check(
+            _performance(spark, folder), ["model_version"], "batch_month"
+        ),
+    }
+
+
+@query(
+    "e13b_status_with_failing_check",
+    f"""WITH {GAPPY}, {ORDER_SCORES}, {PERFORMANCE}, {CHECKS} SELECT CAST(count(*) + 1 AS BIGINT) AS n_checks,
+    CAST(count(*) FILTER (NOT passed) + 1 AS BIGINT) AS n_alerts, 'unhealthy' AS overall_status FROM checks""",
+)
+def _(spark, folder):
+    """A check over a table that isn't there is reported, and the others still run."""
+    checks = _checks(spark, folder) | {"archive": lambda: monitoring.data_quality_check(table(spark, folder, "no_such_table"))}
+    return monitoring.overall_status(monitoring.health_check(spark, checks))
 
 
 # Batch monitor over numbered chunks of the subscriber table.
@@ -736,7 +749,8 @@ def _(spark, folder):
 # Sorts, limits, set operations
 
 
-@query("t3_preview", """SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice FROM orders
+@query("t3_preview", """SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice,
+    row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders
     ORDER BY o_totalprice DESC, o_orderkey LIMIT 50""")
 def _(spark, folder):
     return (
@@ -744,17 +758,20 @@ def _(spark, folder):
         .select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
         .orderBy(F.col("o_totalprice").desc(), "o_orderkey")
         .limit(50)
+        .withColumn("place", F.row_number().over(Window.orderBy(F.col("o_totalprice").desc(), "o_orderkey")))  # 50 rows
     )
 
 
 @query(
     "t4_outreach_list",
     f"""WITH {BUSINESS} SELECT customer_id, CAST(priority_score AS BIGINT) AS priority_score,
-    round("MonthlyCharges", 6) AS "MonthlyCharges" FROM business WHERE intervention_recommended""",
+    round("MonthlyCharges", 6) AS "MonthlyCharges",
+    row_number() OVER (ORDER BY priority_score DESC, "MonthlyCharges" DESC, customer_id) AS place
+    FROM business WHERE intervention_recommended""",
 )
 def _(spark, folder):
     return scoring.outreach_list(business_subscribers(spark, folder), "customer_id").select(
-        "customer_id", "priority_score", "MonthlyCharges"
+        "customer_id", "priority_score", "MonthlyCharges", "place"
     )
 
 
@@ -772,7 +789,7 @@ def _(spark, folder):
 
 @query("u2_category_union", f"""WITH {EVENTS} SELECT DISTINCT event_type AS value FROM ev""")
 def _(spark, folder):
-    first, last = events_first_last(spark, folder)
+    first, last = events_halves(spark, folder)
     return first.select(F.col("event_type").alias("value")).union(last.select("event_type")).distinct()
 
 
@@ -781,7 +798,7 @@ def _(spark, folder):
     f"""WITH {EVENTS} SELECT event_type AS value FROM ev WHERE cur EXCEPT SELECT event_type FROM ev WHERE NOT cur""",
 )
 def _(spark, folder):
-    first, last = events_first_last(spark, folder)
+    first, last = events_halves(spark, folder)
     return last.select(F.col("event_type").alias("value")).subtract(first.select("event_type"))
 
 
@@ -795,5 +812,5 @@ def _(spark, folder):
     f"""WITH {EVENTS} SELECT event_type AS value FROM ev WHERE cur INTERSECT SELECT event_type FROM ev WHERE NOT cur""",
 )
 def _(spark, folder):
-    first, last = events_first_last(spark, folder)
+    first, last = events_halves(spark, folder)
     return last.select(F.col("event_type").alias("value")).intersect(first.select("event_type"))

@@ -12,9 +12,10 @@ from tidewatch.sources.tables import table
 
 # Binary: was the order fulfilled (status F), scored by its price.
 BINARY = f"{ORDER_SCORES}, b AS (SELECT actual AS y, CASE WHEN p >= 0.5e0 THEN 1 ELSE 0 END AS h, p AS s FROM order_scores)"
-# Multi-class: the label of a vector against the largest of its first ten coordinates.
+# Multi-class: the label of a vector against the largest of ten sums over its coordinates.
 MULTI = """
-m0 AS (SELECT vec_id, CAST(label AS BIGINT) AS y, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS sc FROM embeddings),
+m0 AS (SELECT vec_id, CAST(label AS BIGINT) AS y, list_transform(range(10), lambda c: round(list_sum(
+  list_transform(range(c + 1, len(embedding) + 1, 10), lambda i: CAST(embedding[i] AS DOUBLE))), 6)) AS sc FROM embeddings),
 b AS (SELECT *, CAST(list_position(sc, list_max(sc)) - 1 AS BIGINT) AS h FROM m0)"""
 CLASSES = """
 k AS (SELECT y AS class FROM b UNION SELECT h FROM b),

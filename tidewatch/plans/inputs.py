@@ -17,6 +17,7 @@ from tidewatch.sources.tables import order_features, raw_subscribers, subscriber
 
 NUMBERS = ["tenure", "MonthlyCharges", "TotalCharges"]
 SPLIT_DATE = "1998-07-01 00:00:00"
+MIDDLE_DATE = "2024-01-16 00:00:00"
 
 
 def scored_subscribers(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,19 +57,32 @@ def shipped_before_after(spark: SparkSession, folder: str) -> tuple[DataFrame, D
     return rows.where(F.col("l_shipdate") < limit), rows.where(F.col("l_shipdate") >= limit)
 
 
-def events_first_last(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Events of the first and of the last ten days; the reference lacks signups."""
-    rows = table(spark, folder, "events").select("ts", "event_type", "value", "user_id")
-    first = rows.where(F.col("ts") < F.lit("2024-01-11").cast("timestamp_ntz"))
-    last = rows.where(F.col("ts") >= F.lit("2024-01-21").cast("timestamp_ntz"))
-    return first.where(F.col("event_type") != "signup"), last.withColumn(
-        "event_type", F.nullif("event_type", F.lit("error"))
+def events_halves(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All events, cut at the middle of the month, with type and whole-number class of value as one category.
+
+    Rare classes of value turn up in one half alone, so new and vanished categories are real ones.
+    """
+    rows = table(spark, folder, "events").select(
+        "ts",
+        F.concat_ws(" ", "event_type", F.floor(F.col("value") / 25).cast("string")).alias("event_type"),
+        "value",
+        "user_id",
     )
+    middle = F.lit(MIDDLE_DATE).cast("timestamp_ntz")
+    return rows.where(F.col("ts") < middle), rows.where(F.col("ts") >= middle)
 
 
 def class_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Ten class scores per vector, the true label and the class with the largest score."""
+    """Ten class scores per vector, the true label and the class with the largest score.
+
+    The score of class c adds up every tenth component from the c-th on, so the
+    whole vector counts; six decimals make sums independent of their order.
+    """
+    vector = F.col("embedding").cast("array<double>")
+    score = lambda c: F.round(
+        F.aggregate(F.filter(vector, lambda x, i: i % 10 == c), F.lit(0.0), lambda a, x: a + x), 6
+    )
     rows = table(spark, folder, "embeddings").select(
-        "vec_id", "label", F.slice("embedding", 1, 10).cast("array<double>").alias("scores")
+        "vec_id", "label", F.array(*[score(c) for c in range(10)]).alias("scores")
     )
     return rows.withColumn("pred", F.array_position("scores", F.array_max("scores")) - 1)
