@@ -111,13 +111,13 @@ def test_components(spark):
 
 def test_windows_hold_a_common_shingle():
     rng = np.random.default_rng(0)
-    order = jj.Order(rng.permutation(500)[:60].astype(np.int64))
+    order = jj.Order(jj.folded(rng.permutation(500)[:60].astype(np.int64)))
     for _ in range(300):
         x = np.unique(rng.integers(0, 500, rng.integers(1, 80)))
         y = np.unique(np.concatenate([rng.permutation(x)[: max(1, int(len(x) * 0.95))], rng.integers(0, 500, 2)]))
         both = len(np.intersect1d(x, y))
         if 100 * both >= 85 * (len(x) + len(y) - both):
-            a, b = (set(order.window(s, jj.window_length(len(s))).tolist()) for s in (x, y))
+            a, b = (set(order.window(s, 85).tolist()) for s in (x, y))
             assert a & b
 
 

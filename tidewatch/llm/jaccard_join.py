@@ -12,13 +12,14 @@ inequality a partner within eps can only lie in regions of the first
 these: linked texts meet in the region of their first common shingle. Any order is
 exact; a bounded list of common shingles only keeps regions small.
 
-Recursion. Small regions hand out their pairs; those whose windows leave it possible
-are tested exactly. Larger regions,
-which near copies fill, are merged where they overlap; each such region takes a few of
-its texts as pivots of a second level. Texts within eps of a pivot are one component
-and need no further test among themselves; only the texts beyond are joined, exactly,
-against the whole region in blocks of bounded size. Links that join nothing new are not
-written, so no pairs of a group of near copies are.
+Recursion. Small regions hand out their pairs, of which only those stay whose windows leave a
+link possible. The texts of larger regions are copied once more, now in an order that
+puts the pivots of these regions last. What is still large then is filled by near copies.
+Pairs and large regions that overlap are merged; each merged region takes a few of its
+texts as pivots of a second level. Texts within eps of a pivot are one component and need
+no further test among themselves; only the texts beyond are joined, exactly, against the
+whole region in blocks of bounded size. Links that join nothing new are not written, so
+no pairs of a group of near copies are.
 
 Shingles are compared by 64-bit hashes, sets by 128-bit digests of these.
 
@@ -32,7 +33,7 @@ each keep their row; an empty table gives an empty result; other columns pass th
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,7 +48,8 @@ from tidewatch.session import materialize
 WORDS = 4
 PERCENT = 85
 COMMON_SHINGLES = 500_000  # length of the list of common shingles, 4 MB: it only affects speed
-COUNT_SHINGLES = 1 << 20  # shingles a task counts at a time
+COUNT_SHINGLES = 1 << 22  # shingles a task counts at a time: 32 MB
+BITS = 1 << 22  # of the map that keeps most unwanted texts from being read again: 512 KB
 SMALL = 8  # texts of a region that are paired directly
 PIVOTS = 4  # texts a merged region takes as pivots
 BLOCK_SHINGLES = 1 << 20  # shingles of a block of texts: 8 MB
@@ -84,7 +86,7 @@ def window_length(n: int, percent: int = PERCENT) -> int:
 
 
 def common_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Common shingles, rarest first. Tasks count blocks of whole sets, copies once, and pass on what repeats."""
+    """Common shingles (folded), rarest first. Tasks count blocks of whole sets, copies once, and pass on what repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, np.ndarray] = {}
@@ -110,27 +112,41 @@ def common_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
 
     counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "s").limit(COMMON_SHINGLES).select("s").toPandas()
-    return top["s"].to_numpy(np.int64)[::-1].copy()
+    return folded(top["s"].to_numpy(np.int64)[::-1].copy())
+
+
+def folded(found: np.ndarray) -> np.ndarray:
+    """Shingles as 32-bit numbers: texts that share a shingle share its number."""
+    return found.view(np.uint64).astype(np.uint32).view(np.int32)
 
 
 class Order:
-    """The global order of pivots: shingles by hash, the common ones last, rarest of them first."""
+    """The global order of pivots: shingles by hash, the common ones last, rarest of them first.
+
+    ``common`` lists folded shingles; of two places of one shingle the later counts.
+    """
 
     def __init__(self, common: np.ndarray) -> None:
-        self.rank = np.argsort(common, kind="stable")
-        self.values = common[self.rank]
+        self.values, back = np.unique(common[::-1], return_index=True)
+        self.rank = len(common) - 1 - back
 
-    def window(self, found: np.ndarray, length: int) -> np.ndarray:
+    def first(self, found: np.ndarray, length: int) -> np.ndarray:
+        """The first shingles of a sorted set."""
         if not len(self.values):
             return found[:length]
-        at = np.minimum(np.searchsorted(self.values, found), len(self.values) - 1)
-        last = self.values[at] == found
+        numbers = folded(found)
+        at = np.minimum(np.searchsorted(self.values, numbers), len(self.values) - 1)
+        last = self.values[at] == numbers
         plain = found[~last]
         if len(plain) >= length:
             return plain[:length]
         common = found[last][np.argsort(self.rank[at[last]], kind="stable")]
         return np.concatenate([plain, common[: length - len(plain)]])
 
+    def window(self, found: np.ndarray, percent: int) -> np.ndarray:
+        """The window of a set, folded."""
+        return np.unique(folded(self.first(found, window_length(len(found), percent))))
+
 
 def signed(docs: DataFrame, common: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per document: id, digest of its text, set size, digest of its set, window."""
@@ -145,15 +161,15 @@ def signed(docs: DataFrame, common: np.ndarray, words: int = WORDS, percent: int
                 keys.append(None if text is None else hashlib.md5(text.encode()).digest())
                 sizes.append(len(found))
                 digests.append(digest(found))
-                windows.append(order.window(found, window_length(len(found), percent)))
+                windows.append(order.window(found, percent))
             columns = [
                 batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                pa.array(windows, pa.list_(pa.int64())),
+                pa.array(windows, pa.list_(pa.int32())),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n", "digest", "window"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    return texts.mapInArrow(run, "doc_id long, text_key binary, n long, digest binary, window array<long>")
+    return texts.mapInArrow(run, "doc_id long, text_key binary, n long, digest binary, window array<int>")
 
 
 def regions(classes: DataFrame, percent: int = PERCENT, small: int = SMALL) -> DataFrame:
@@ -238,21 +254,34 @@ def components(edges: DataFrame) -> DataFrame:
             return links
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(cid, n, set) of the wanted classes, worked out again from one text of each."""
+def _again(
+    docs: DataFrame, wanted: DataFrame, prepare: Callable[[], Callable[[np.ndarray], np.ndarray]], out: str, kind: str, words: int
+) -> DataFrame:
+    """(cid, out) of the wanted classes (cid, first, digest): what ``prepare()`` makes of the shingles of a text of each.
+
+    A bit map over the hashes of the wanted ids, of fixed size, lets a task skip most
+    other texts; the join on the digest is what decides.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)).cast("int")
+    used = wanted.select(bucket(F.col("first")).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
+    bits = np.zeros(BITS, bool)
+    bits[used] = True
+    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            found = [shingles(t, words) for t in batch.column(0).to_pylist()]
-            columns = [pa.array(map(digest, found), pa.binary()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["digest", "set"])
+        open_bits, work = np.unpackbits(packed.value).view(bool), prepare()
+        numbers = pa.list_(pa.int64() if kind == "long" else pa.int32())
+        for batch in batches:
+            batch = batch.filter(pa.array(open_bits[batch.column(0).to_numpy()]))
+            for part in chunks(iter([batch])):
+                found = [shingles(t, words) for t in part.column(1).to_pylist()]
+                columns = [pa.array([digest(x) for x in found], pa.binary()), pa.array([work(x) for x in found], numbers)]
+                yield pa.RecordBatch.from_arrays(columns, ["digest", out])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("first"), F.col("text").cast("string"))
-    firsts = wanted.select(F.col("first").alias("_first")).distinct()
-    texts = texts.join(firsts, F.col("first").eqNullSafe(F.col("_first")), "left_semi")
-    found = texts.select("text").mapInArrow(run, "digest binary, set array<long>")
-    once = found.groupBy("digest").agg(F.any_value("set").alias("set"))
-    return wanted.select("cid", "digest").join(once, "digest").select("cid", "set")
+    texts = docs.select(bucket(F.col("doc_id").cast("long")).alias("bit"), F.col("text").cast("string"))
+    found = texts.mapInArrow(run, f"digest binary, {out} array<{kind}>")
+    once = found.groupBy("digest").agg(F.any_value(out).alias(out))
+    return wanted.select("cid", "digest").join(once, "digest").select("cid", out)
 
 
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -261,8 +290,10 @@ def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     Of the window that ends first, in the global order, every shared shingle is in both
     windows; all other shared shingles lie beyond it.
     """
-    left = classes.select(F.col("cid").alias("a"), F.col("n").alias("n"), F.col("window").alias("x"))
-    right = classes.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("window").alias("y"))
+    inside = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cid")
+    needed = classes.select("cid", "n", "window").join(inside, "cid", "left_semi")
+    left = needed.select(F.col("cid").alias("a"), F.col("n").alias("n"), F.col("window").alias("x"))
+    right = needed.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("window").alias("y"))
     met = pairs.join(left, "a").join(right, "b").select(
         "a", "b", "n", "m", F.size(F.array_intersect("x", "y")).alias("i"),
         F.greatest(F.col("n") - F.size("x"), F.col("m") - F.size("y")).alias("beyond"),
@@ -270,15 +301,6 @@ def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return met.where(F.expr(f"100 * (i + beyond) >= {percent} * (n + m - i - beyond)")).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link, by the exact sizes of intersection and union."""
-    left = sets.select(F.col("cid").alias("a"), F.col("set").alias("x"))
-    right = sets.select(F.col("cid").alias("b"), F.col("set").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    held = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), both.alias("i"))
-    return held.where(F.expr(f"100 * i >= {percent} * (n + m - i)")).select("a", "b")
-
-
 class Forest:
     """Union-find over numbers."""
 
@@ -334,15 +356,15 @@ def region_links(part: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def _merged(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Large regions (a of region b) merged where they overlap, and dealt to tasks that each see two blocks at most.
+def _merged(pairs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs and large regions (a of region b) merged where they overlap, and dealt to tasks that see two blocks at most.
 
     Rows g, p, q, cid, pivot, block. A text of block k goes to the tasks (k, j) of all blocks j, a
     pivot to every task of its region.
     """
     pivot = members.groupBy("b").agg(F.min("a").alias("low"))
     overlaps = members.join(pivot, "b").where("a <> low").select("a", F.col("low").alias("b")).distinct()
-    merged = materialize(components(overlaps))
+    merged = materialize(components(pairs.unionByName(overlaps)))
     texts = merged.select(F.col("node").alias("cid"), F.col("root").alias("g")).unionByName(
         merged.select(F.col("root").alias("cid"), F.col("root").alias("g")).distinct()
     )
@@ -375,7 +397,7 @@ def _merged(members: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _region_links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within the large regions."""
+    """Links within the merged regions."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(region_links(part, percent), columns=["a", "b"], dtype="int64")
@@ -383,21 +405,45 @@ def _region_links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.join(sets, "cid").groupBy("g", "p", "q").applyInPandas(run, "a long, b long")
 
 
+def _met(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of small regions that may link, and members of large ones."""
+    met = materialize(regions(classes, percent))
+    pairs = met.where("not member").select("a", "b").distinct()
+    return materialize(possible(pairs, classes, percent)), met.where("member").select("a", "b")
+
+
+def _crowds(members: DataFrame) -> np.ndarray:
+    """The folded shingles of the largest of the large regions, smaller regions first."""
+    top = members.groupBy("b").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "b").limit(COMMON_SHINGLES)
+    return top.select("b").toPandas()["b"].to_numpy(np.int64).astype(np.int32)[::-1]
+
+
 def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Signed documents, and (digest, root, component_id) of every class."""
-    marks = materialize(signed(docs, common_shingles(docs, words), words, percent))
+    common = common_shingles(docs, words)
+    marks = materialize(signed(docs, common, words, percent))
     classes = materialize(
         marks.where("n > 0")
         .groupBy("digest")
         .agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("window").alias("window"))
         .withColumn("cid", F.monotonically_increasing_id())
     )
-    met = materialize(regions(classes, percent))
-    pairs = materialize(possible(met.where("not member").select("a", "b").distinct(), classes, percent))
-    dealt = _merged(met.where("member").select("a", "b"), classes)
-    wanted = pairs.select("a").union(pairs.select("b")).union(dealt.select("cid")).distinct().withColumnRenamed("a", "cid")
-    sets = materialize(_sets(docs, classes.join(wanted, "cid").select("cid", "first", "digest"), words))
-    links = _verified(pairs, sets, percent).unionByName(_region_links(dealt, sets, percent))
+    pairs, members = _met(classes, percent)
+    # The texts of large regions once more, now that the shingles which made them large are known to be common.
+    crowded = materialize(classes.join(members.select(F.col("a").alias("cid")).distinct(), "cid").select("cid", "first", "digest", "n"))
+    order = np.concatenate([common, _crowds(members)])
+    shared = docs.sparkSession.sparkContext.broadcast(order)  # twice COMMON_SHINGLES at most
+
+    def windows() -> Callable[[np.ndarray], np.ndarray]:
+        later = Order(shared.value)
+        return lambda found: later.window(found, percent)
+
+    anew = _again(docs, crowded, windows, "window", "int", words)
+    more, members = _met(materialize(crowded.select("cid", "n").join(anew, "cid")), percent)
+    dealt = materialize(_merged(pairs.unionByName(more), members, classes))
+    wanted = classes.select("cid", "first", "digest").join(dealt.select("cid").distinct(), "cid")
+    sets = _again(docs, wanted, lambda: lambda found: found, "set", "long", words)
+    links = _region_links(dealt, sets, percent)
     roots = components(links)
     placed = classes.select("cid", "digest", "first").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     placed = materialize(placed.select("digest", "first", F.coalesce("root", "cid").alias("root")))
