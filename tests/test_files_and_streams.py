@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidewatch.functions.schema import NUMERIC, Field
-from tidewatch.operators import monitoring
+from tidewatch.operators import drift, monitoring
 from tidewatch.operators.scoring import score_linear
 from tidewatch.session import materialize, scratch_path, shared_folder
 from tidewatch.sources import files, prediction_log
@@ -91,3 +91,40 @@ def test_scored_stream(spark, history):
     scored = jobs.score_stream(stream, lambda rows: score_linear(rows, 0.0, {"accuracy": 1.0}, "p"), "p", "accuracy")
     rows = jobs.run_to_files(scored, spark)
     assert rows.count() == 60 and rows.select("business_impact.retention_priority").distinct().count() >= 1
+
+
+def test_restarted_jobs_go_on_where_they_stopped(spark, history, tmp_path):
+    path, df = history
+    grown = str(tmp_path / "grown")
+
+    def arrive(lo):
+        df.where(F.dayofyear("day").between(lo + 1, lo + 10)).coalesce(1).write.mode("append").parquet(grown)
+
+    folder = str(tmp_path / "job")
+    counts = []
+    for lo in (0, 10, 20):
+        arrive(lo)
+        stream = spark.readStream.schema(df.schema).parquet(grown)
+        counts.append(jobs.run_to_files(stream, spark, folder).count())
+        valid, rejected = jobs.route_valid_rejected(stream, spark, [Field("accuracy", NUMERIC, low=0.8)], f"{folder}-routed")
+    assert counts == [20, 40, 60]
+    assert spark.read.parquet(valid).count() + spark.read.parquet(rejected).count() == 60
+    assert spark.read.parquet(valid).select("batch").distinct().count() == 3
+
+
+def test_monitored_batches_are_compared_with_earlier_ones(spark, tmp_path):
+    path, folder = str(tmp_path / "in"), str(tmp_path / "job")
+    baseline = drift.baseline_stats(spark.range(100).select(F.col("id").cast("double").alias("x")), ["x"])
+    for batch in range(4):
+        right = 18 if batch < 3 else 10  # of 20
+        rows = [("m", float(i), 0.9, int(i < right), dt.datetime(2026, 1, 1 + batch)) for i in range(20)]
+        spark.createDataFrame(rows, "model string, x double, p double, y int, ts timestamp_ntz").coalesce(1).write.mode(
+            "append"
+        ).parquet(path)
+        stream = spark.readStream.schema("model string, x double, p double, y int, ts timestamp_ntz").parquet(path)
+        metrics, alerts = jobs.monitor_stream(stream, spark, baseline, ["x"], ["model"], "p", "ts", "y", folder)
+    got = {r.batch_id: r for r in spark.read.parquet(f"{metrics}/*").collect()}
+    assert [got[i].degraded for i in range(4)] == [False, False, False, True]
+    assert abs(got[3].degradation_amount - 0.4) < 1e-9
+    kinds = {(r.batch_id, r.type) for r in spark.read.parquet(f"{alerts}/*").collect()}
+    assert (3, "PERFORMANCE_DEGRADATION") in kinds and (2, "PERFORMANCE_DEGRADATION") not in kinds

@@ -162,3 +162,14 @@ def test_split_of_many_classes(spark):
 def test_one_hot_entries(spark):
     df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None), (4, "c")], "id int, c string")
     assert {tuple(r) for r in features.one_hot_entries(df, "c", "id").collect()} == {(1, 0), (4, 1)}
+
+
+def test_cells_divide_points_on_a_hot_plane():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(20_000, 3))
+    x[:16_000, 0] = 4.0  # four of five points share the largest value of the widest axis
+    cells = neighbours.Cells(x, 6)
+    sizes = np.bincount(cells.locate(x) - 64, minlength=64)
+    assert sizes.sum() == 20_000 and sizes.max() <= 2 * 20_000 / 64
+    same = neighbours.Cells(np.ones((100, 2)), 3)
+    assert len(np.unique(same.locate(np.ones((5, 2))))) == 1

@@ -104,10 +104,10 @@ def boosted(rounds: int = 100, label: str = "label", seed: int = 42) -> GBTClass
     return GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, seed=seed)
 
 
-def default_grid(estimator: GBTClassifier) -> list[Mapping[Param, object]]:
+def default_grid(estimator: GBTClassifier, rounds: Sequence[int] = TREE_COUNTS) -> list[Mapping[Param, object]]:
     return (
         ParamGridBuilder()
-        .addGrid(estimator.maxIter, TREE_COUNTS)
+        .addGrid(estimator.maxIter, list(rounds))
         .addGrid(estimator.maxDepth, TREE_DEPTHS)
         .addGrid(estimator.stepSize, STEP_SIZES)
         .addGrid(estimator.subsamplingRate, ROW_SHARES)

@@ -24,11 +24,16 @@ from tidewatch.session import materialize
 CELL_POINTS = 10_000
 SAMPLE_PER_CELL = 16
 MAX_DEPTH = 16  # at most 65,536 cells; the driver then holds about two million sampled points
+COPIES_AT_ONCE = 1_000
 DISTANCES = 2_000_000  # size of one block of distances in a task
 
 
 class Cells:
-    """Nested median cuts of the space, learnt from a bounded sample."""
+    """Nested cuts of the space, learnt from a bounded sample.
+
+    A cut lies between two different values, on the axis where it divides the points
+    most evenly, so both sides hold points as long as a cell has two different ones.
+    """
 
     def __init__(self, sample: np.ndarray, depth: int):
         self.depth = depth
@@ -37,12 +42,26 @@ class Cells:
         parts = {1: sample}
         for node in range(1, 2**depth):
             part = parts.pop(node)
-            if len(part):
-                self.axis[node] = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
-                self.cut[node] = np.median(part[:, self.axis[node]])
+            self.axis[node], self.cut[node] = self._cut(part)
             right = part[:, self.axis[node]] > self.cut[node]
             parts[2 * node], parts[2 * node + 1] = part[~right], part[right]
 
+    @staticmethod
+    def _cut(part: np.ndarray) -> tuple[int, float]:
+        best = (0, 0.0, 0, np.inf)  # smaller side, spread, axis, cut; without a cut all points stay left
+        for axis in range(part.shape[1]):
+            values, n = np.unique(part[:, axis], return_counts=True)
+            if len(values) < 2:
+                continue
+            left = np.cumsum(n)[:-1]
+            smaller = np.minimum(left, len(part) - left)
+            at = int(np.argmax(smaller))
+            cut = values[at] + (values[at + 1] - values[at]) / 2
+            if not values[at] <= cut < values[at + 1]:
+                cut = values[at]
+            best = max(best, (int(smaller[at]), float(values[-1] - values[0]), axis, float(cut)))
+        return best[2], best[3]
+
     def locate(self, x: np.ndarray) -> np.ndarray:
         node = np.ones(len(x), dtype=int)
         rows = np.arange(len(x))
@@ -117,7 +136,7 @@ def nearest_neighbours(
     share = min(1.0, 2 * wanted / max(1, total))
     sampled = distinct.where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     axes = [F.get("v", F.lit(i)).alias(f"x{i}") for i in range(len(features))]
-    sample = sampled.select(*axes).limit(2 * wanted + 1000).toPandas().to_numpy() if depth else np.empty((0, len(features)))
+    sample = sampled.select(*axes).toPandas().to_numpy() if depth else np.empty((0, len(features)))
     cells = Cells(sample, depth)
 
     @F.pandas_udf("bigint")
@@ -213,12 +232,15 @@ def oversample_minority(
     # Rows 1..missing % usable get one copy more than the others.
     numbered = number_rows(near, key, "_number")
     copies = F.lit(missing // usable) + (F.col("_number") <= F.lit(missing % usable)).cast("int")
-    drawn = numbered.where(copies > 0).select(
-        key, "neighbours", F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("_copy")
+    # Two steps, so that no row builds a list as long as the classes are uneven.
+    blocks = numbered.withColumn("_copies", copies.cast("bigint")).where("_copies > 0").select(
+        key, "neighbours", "_copies", F.explode(F.expr(f"sequence(1, _copies, {COPIES_AT_ONCE})")).alias("_from")
     )
+    last = F.least(F.col("_copies"), F.col("_from") + (COPIES_AT_ONCE - 1))
+    drawn = blocks.select(key, "neighbours", F.explode(F.sequence("_from", last)).alias("_copy"))
     pick = F.floor(_uniform(f"n{seed}", F.col(key), F.col("_copy")) * F.size("neighbours")) + 1
     synthetic = (
-        drawn.join(base.select(key, *features), key)
+        drawn.join(base.where(F.col(label) == small).select(key, *features), key)
         .withColumn("_other", F.element_at("neighbours", pick.cast("int"))["v"])
         .withColumn("_u", _uniform(f"u{seed}", F.col(key), F.col("_copy")))
         .select(

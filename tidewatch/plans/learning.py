@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tidewatch.functions.schema import REQUEST_FIELDS
 from tidewatch.operators import features, modeling, neighbours
 from tidewatch.operators.registry import ModelRegistry
-from tidewatch.plans.catalog import SCORED, SUBS, query
+from tidewatch.plans.catalog import QUERIES, SCORED, SUBS, query
 from tidewatch.plans.inputs import NUMBERS, scored_subscribers
 from tidewatch.session import materialize, scratch_path
 from tidewatch.sources.tables import ASOF, subscribers, table
@@ -146,84 +145,127 @@ def _(spark, folder):
     )
 
 
-def _trained(spark, folder, kind: str):
-    pre, train, test = _prepared(spark, folder)
-    estimator = {
-        "logistic": modeling.logistic(train.count()),
-        "forest": modeling.forest(),
-        "boosted": modeling.boosted(rounds=20),
-    }[kind]
-    return pre, estimator.fit(train), train, test
+# Fitted once a session and data folder, saved, and loaded by every query that uses it.
+_SAVED: dict[tuple, str] = {}
+
+
+def _once(spark, folder, name: str, save) -> str:
+    """Path of what ``save(path)`` wrote for this name."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _SAVED:
+        path = scratch_path(spark, name)
+        save(path)
+        _SAVED[key] = path
+    return _SAVED[key]
+
+
+def _estimator(kind: str, rows: int):
+    return {"logistic": lambda: modeling.logistic(rows), "forest": modeling.forest, "boosted": modeling.boosted}[kind]()
+
+
+def _pipeline(spark, folder, kind: str = "logistic") -> PipelineModel:
+    """Preprocessor and classifier in one, fitted on the training part."""
+
+    def save(path):
+        pre, train, _ = _prepared(spark, folder)
+        modeling.save_pipeline(modeling.assemble(pre, _estimator(kind, train.count()).fit(train)), path)
+
+    return modeling.load_pipeline(_once(spark, folder, f"model-{kind}", save))
+
+
+def _metrics(spark, folder, kind: str):
+    return modeling.test_metrics(_pipeline(spark, folder, kind), _split(spark, folder)[1])
 
 
 @query("m7_logistic_regression")
 def _(spark, folder):
-    _, model, _, test = _trained(spark, folder, "logistic")
-    return modeling.test_metrics(model, test)
+    return _metrics(spark, folder, "logistic")
 
 
 @query("m8_random_forest")
 def _(spark, folder):
-    _, model, _, test = _trained(spark, folder, "forest")
-    return modeling.test_metrics(model, test)
+    return _metrics(spark, folder, "forest")
 
 
 @query("m9_boosted_trees")
 def _(spark, folder):
-    _, model, _, test = _trained(spark, folder, "boosted")
-    return modeling.test_metrics(model, test)
+    return _metrics(spark, folder, "boosted")
+
+
+def _balanced(spark, folder):
+    """Training rows preprocessed first, then balanced by oversampling in that space; and the test rows."""
+
+    def save(path):
+        pre, train, _ = _prepared(spark, folder)
+        size = len(modeling.feature_names(pre))
+        flat = train.select("label", "customer_id", vector_to_array("features").alias("f"))
+        columns = [f"f{i}" for i in range(size)]
+        flat = flat.select("label", "customer_id", *[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(columns)])
+        rows = neighbours.oversample_minority(materialize(flat), "label", "customer_id", columns)
+        # Synthetic rows get keys of their own below all customers, for the folds.
+        key = F.coalesce("customer_id", -1 - F.monotonically_increasing_id())
+        rows.select("label", key.alias("customer_id"), F.array(*columns).alias("f")).write.parquet(path)
+
+    rows = spark.read.parquet(_once(spark, folder, "balanced", save))
+    _, _, test = _prepared(spark, folder)
+    return rows.select("label", "customer_id", array_to_vector("f").alias("features")), test
 
 
 @query("m10_model_comparison")
 def _(spark, folder):
-    """Logistic regression and forest trained on the balanced training part."""
-    train, test = _split(spark, folder)
-    balanced = materialize(
-        neighbours.oversample_minority(train, "label", "customer_id", NUMBERS).drop("is_synthetic")
-    )
-    pre = modeling.fit_preprocessor(balanced, NUMBERS, [])
-    rows, _ = modeling.compare_models(
-        {"Logistic": modeling.logistic(balanced.count()), "RandomForest": modeling.forest(trees=20),
-         "BoostedTrees": modeling.boosted(rounds=5)},
-        pre.transform(balanced),
-        pre.transform(test),
-    )
-    return rows
+    """Logistic regression, 100 trees and 100 boosting rounds on the balanced training rows."""
+
+    def save(path):
+        balanced, test = _balanced(spark, folder)
+        models = {"Logistic": "logistic", "RandomForest": "forest", "BoostedTrees": "boosted"}
+        estimators = {name: _estimator(kind, balanced.count()) for name, kind in models.items()}
+        modeling.compare_models(estimators, balanced, test)[0].write.parquet(path)
+
+    return spark.read.parquet(_once(spark, folder, "comparison", save))
 
 
-def _tuned(spark, folder):
-    _, train, _ = _prepared(spark, folder)
-    trees = modeling.boosted(rounds=3)
-    grid = ParamGridBuilder().addGrid(trees.maxDepth, [2, 3]).addGrid(trees.stepSize, [0.1, 0.2]).build()
-    return modeling.tune(trees, grid, train, "label", "customer_id", folds=3)
+# The grid has all 36 points; the registered query counts rounds in steps of fifty, as the whole
+# grid of 100 and 200 rounds fits 16,200 trees (see README).
+ROUNDS_PER_STEP = 50
+
+
+def _grid_rows(spark, folder):
+    def save(path):
+        balanced, _ = _balanced(spark, folder)
+        trees = modeling.boosted()
+        grid = modeling.default_grid(trees, [n // ROUNDS_PER_STEP for n in modeling.TREE_COUNTS])
+        tuned = modeling.tune(trees, grid, balanced, "label", "customer_id", folds=3)
+        modeling.grid_results(tuned, spark).write.parquet(path)
+
+    return spark.read.parquet(_once(spark, folder, "grid", save))
 
 
 @query("m11_grid_search")
 def _(spark, folder):
-    results = modeling.grid_results(_tuned(spark, folder), spark)
-    return results.select(
-        F.element_at("parameters", "maxDepth").alias("max_depth"),
-        F.element_at("parameters", "stepSize").alias("step_size"),
-        "mean_score",
-        "std_score",
+    names = {"maxIter": "rounds", "maxDepth": "max_depth", "stepSize": "step_size", "subsamplingRate": "row_share"}
+    return _grid_rows(spark, folder).select(
+        *[F.element_at("parameters", k).alias(v) for k, v in names.items()], "mean_score", "std_score"
     )
 
 
 @query("t5_best_parameters")
 def _(spark, folder):
-    best = modeling.best_parameters(modeling.grid_results(_tuned(spark, folder), spark))
+    best = modeling.best_parameters(_grid_rows(spark, folder))
     return best.select(F.to_json("parameters").alias("parameters"), "mean_score")
 
 
-@query("g9_cross_validation")
-def _(spark, folder):
-    _, train, _ = _prepared(spark, folder)
-    return modeling.cross_validate(modeling.logistic(train.count()), train, "label", "customer_id", folds=5)
+def _folds(spark, folder):
+    def save(path):
+        _, train, _ = _prepared(spark, folder)
+        scores = modeling.cross_validate(modeling.logistic(train.count()), train, "label", "customer_id", folds=5)
+        scores.write.parquet(path)
+
+    return spark.read.parquet(_once(spark, folder, "folds", save))
 
 
-def _pipeline(spark, folder) -> PipelineModel:
-    pre, model, _, _ = _trained(spark, folder, "logistic")
-    return modeling.assemble(pre, model)
+@query("g9_cross_validation")
+def _(spark, folder):
+    return _folds(spark, folder)
 
 
 @query(
@@ -243,19 +285,28 @@ def _(spark, folder):
 
 @query(
     "m12_export_champion",
-    f"""WITH {SUBS} SELECT 'v2.0.0' AS version, CAST(count(*) AS BIGINT) AS n_scored FROM subs""",
+    f"""WITH {SUBS} SELECT 'v2.0.0' AS version, 'boosted trees' AS model_type, CAST(count(*) AS BIGINT) AS n_scored,
+    CAST(count(*) AS BIGINT) AS n_probable FROM subs""",
 )
 def _(spark, folder):
-    """Refit on the training part, register, and score with the champion read back from the registry."""
+    """Refit the best grid point on the balanced rows at full rounds, export it, and score with what the registry returns."""
+    best = modeling.best_parameters(_grid_rows(spark, folder)).first().parameters
+    balanced, _ = _balanced(spark, folder)
+    trees = modeling.boosted(int(best["maxIter"]) * ROUNDS_PER_STEP).copy()
+    trees.setParams(
+        maxDepth=int(best["maxDepth"]), stepSize=float(best["stepSize"]), subsamplingRate=float(best["subsamplingRate"])
+    )
+    pre = _prepared(spark, folder)[0]
     store = ModelRegistry(spark, scratch_path(spark, "registry"))
-    row = subscribers(spark, folder).agg(F.count("*").alias("training_rows")).select(
-        "training_rows", F.lit(ASOF).cast("timestamp_ntz").alias("created"), F.lit("logistic").alias("model_type")
+    row = balanced.agg(F.count("*").alias("training_rows")).select(
+        "training_rows", F.lit(ASOF).cast("timestamp_ntz").alias("created"), F.lit("boosted trees").alias("model_type")
     )
-    store.register_model(_pipeline(spark, folder), row, "v2.0.0", ASOF)
+    store.register_model(modeling.assemble(pre, trees.fit(balanced)), row, "v2.0.0", ASOF)
     champion = modeling.load_pipeline(store.champion_path())
     scored = modeling.score(champion, subscribers(spark, folder).select("customer_id", *NUMBERS, *CATEGORIES))
-    counted = scored.agg(F.count("churn_probability").alias("n_scored"))
-    return store.champion().select("version").join(F.broadcast(counted))  # one row
+    p = F.col("churn_probability")
+    counted = scored.agg(F.count(p).alias("n_scored"), F.count_if(p.between(0, 1)).alias("n_probable"))
+    return store.champion().select("version", "model_type").join(F.broadcast(counted))  # one row
 
 
 @query("m13_scored_table")
@@ -282,7 +333,74 @@ def _(spark, folder):
     return scored_subscribers(spark, folder).select("customer_id", "churn_probability")
 
 
+def _importance(spark, folder, top):
+    model = _pipeline(spark, folder, "forest")
+    return modeling.feature_importance(model.stages[-1], modeling.feature_names(model), spark, top)
+
+
 @query("t2_feature_importance")
 def _(spark, folder):
-    pre, model, _, _ = _trained(spark, folder, "forest")
-    return modeling.feature_importance(model, modeling.feature_names(pre), spark, top=10)
+    return _importance(spark, folder, 10)
+
+
+# Properties that every fit must have, for the fits that SQL cannot repeat.
+
+
+@query(
+    "m13b_scoring_properties",
+    f"""WITH {SUBS}, k(source) AS (VALUES ('logistic'), ('forest'), ('boosted'))
+    SELECT source, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT customer_id) AS BIGINT) AS n_customers,
+      CAST(0 AS BIGINT) AS n_improbable, CAST(0 AS BIGINT) AS n_label_differs, true AS varied FROM k, subs GROUP BY source""",
+)
+def _(spark, folder):
+    """Every customer once, probabilities within [0, 1], and the label says whether it reaches one half."""
+    rows = subscribers(spark, folder).select("customer_id", *NUMBERS, *CATEGORIES)
+    parts = None
+    for kind in ("logistic", "forest", "boosted"):
+        scored = modeling.rich_prediction(_pipeline(spark, folder, kind), rows, [*NUMBERS, *CATEGORIES], ASOF, "v1.0")
+        p = F.col("churn_probability")
+        part = scored.agg(
+            F.lit(kind).alias("source"),
+            F.count("*").alias("n_rows"),
+            F.countDistinct("customer_id").alias("n_customers"),
+            F.count_if(~p.between(0, 1) | p.isNull()).alias("n_improbable"),
+            F.count_if((p > 0.5 + 1e-9) & (F.col("prediction") != 1) | (p < 0.5 - 1e-9) & (F.col("prediction") != 0)).alias(
+                "n_label_differs"
+            ),
+            (F.countDistinct(p) > 10).alias("varied"),
+        )
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
+@query(
+    "m11b_search_properties",
+    """SELECT CAST(36 AS BIGINT) AS n_points, CAST(36 AS BIGINT) AS n_different, true AS within, true AS best_is_largest,
+    CAST(5 AS BIGINT) AS n_folds, true AS mean_fits, CAST(3 AS BIGINT) AS n_models, true AS better_than_chance,
+    true AS importances_sum_to_one FROM (SELECT count(*) FROM orders)""",
+)
+def _(spark, folder):
+    """The whole grid was scored, the best point is its largest, folds, comparison and importances add up."""
+    grid = _grid_rows(spark, folder)
+    best = modeling.best_parameters(grid).select(F.col("mean_score").alias("best"))
+    points = grid.agg(
+        F.count("*").alias("n_points"),
+        F.countDistinct(F.to_json("parameters")).alias("n_different"),
+        F.bool_and(F.col("mean_score").between(0, 1)).alias("within"),
+        F.max("mean_score").alias("largest"),
+    )
+    folds = _folds(spark, folder).agg(
+        F.count("*").alias("n_folds"),
+        (F.abs(F.avg("score") - F.max("mean_score")) < 1e-9).alias("mean_fits"),
+    )
+    models = QUERIES["m10_model_comparison"](spark, folder).agg(
+        F.count("*").alias("n_models"), (F.min("roc_auc") > 0.4).alias("better_than_chance")
+    )
+    shares = _importance(spark, folder, None).agg(
+        (F.abs(F.sum("importance") - 1) < 1e-9).alias("importances_sum_to_one")
+    )
+    joined = points.join(F.broadcast(best)).join(F.broadcast(folds)).join(F.broadcast(models)).join(F.broadcast(shares))
+    return joined.select(  # one row each
+        "n_points", "n_different", "within", (F.col("best") == F.col("largest")).alias("best_is_largest"), "n_folds",
+        "mean_fits", "n_models", "better_than_chance", "importances_sum_to_one",
+    )

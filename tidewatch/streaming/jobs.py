@@ -1,8 +1,9 @@
 """Structured Streaming jobs. Each takes a streaming DataFrame, so any source fits.
 
-State is bounded by watermarks; sinks are files with a checkpoint in the shared
-folder, and ``foreachBatch`` writers are idempotent per batch id, so a restarted
-job neither loses nor repeats rows.
+State is bounded by watermarks; sinks are files with a checkpoint, and ``foreachBatch``
+writers are idempotent per batch id. A job keeps its results and its checkpoint
+under ``folder``: started again with the same folder it goes on where it stopped
+and neither loses nor repeats rows. Without one it works in a fresh folder.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from tidewatch.functions.schema import Field
 from tidewatch.operators import drift, monitoring
 from tidewatch.operators.scoring import add_bands
 from tidewatch.operators.validation import split_requests
-from tidewatch.session import scratch_path, use_utc
+from tidewatch.session import materialize, scratch_path, use_utc
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -41,12 +42,13 @@ def event_time(stream: DataFrame, column: str = "ts", lateness: str = "1 hour")
     return stream.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, lateness)
 
 
-def run_to_files(stream: DataFrame, spark: SparkSession) -> DataFrame:
+def run_to_files(stream: DataFrame, spark: SparkSession, folder: str | None = None) -> DataFrame:
     """Process everything available, append to files, and read them back."""
-    out = scratch_path(spark, "stream-out")
+    folder = folder or scratch_path(spark, "stream")
+    out = f"{folder}/rows"
     job = (
         stream.writeStream.format("parquet")
-        .option("checkpointLocation", scratch_path(spark, "stream-state"))
+        .option("checkpointLocation", f"{folder}/state")
         .option("path", out)
         .outputMode("append")
         .trigger(availableNow=True)
@@ -56,10 +58,10 @@ def run_to_files(stream: DataFrame, spark: SparkSession) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, spark: SparkSession, write: Callable[[DataFrame, int], None]) -> None:
+def run_batches(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None]) -> None:
     job = (
         stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", scratch_path(spark, "stream-state"))
+        .option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True)
         .start()
     )
@@ -76,9 +78,12 @@ def score_stream(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], p:
     )
 
 
-def route_valid_rejected(stream: DataFrame, spark: SparkSession, fields: Sequence[Field]) -> tuple[str, str]:
+def route_valid_rejected(
+    stream: DataFrame, spark: SparkSession, fields: Sequence[Field], folder: str | None = None
+) -> tuple[str, str]:
     """Write valid and rejected records to two folders; returns their paths."""
-    valid_path, rejected_path = scratch_path(spark, "valid"), scratch_path(spark, "rejected")
+    folder = folder or scratch_path(spark, "routed")
+    valid_path, rejected_path = f"{folder}/valid", f"{folder}/rejected"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
@@ -87,7 +92,7 @@ def route_valid_rejected(stream: DataFrame, spark: SparkSession, fields: Sequenc
         rejected.write.mode("overwrite").parquet(f"{rejected_path}/batch={batch_id}")
         batch.unpersist()
 
-    run_batches(stream, spark, write)
+    run_batches(stream, folder, write)
     return valid_path, rejected_path
 
 
@@ -130,8 +135,11 @@ def windowed_stats(
 
 
 def sessions(stream: DataFrame, user: str, value: str, ts: str = "ts", gap: str = "6 hours") -> DataFrame:
-    """Activity per user session; a task merges the sessions of its rows before the shuffle."""
-    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    """Activity per user session.
+
+    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` lets a task
+    merge the sessions of its rows before the shuffle; set it on the session for hot users.
+    """
     return (
         stream.groupBy(user, F.session_window(ts, gap).alias("s"))
         .agg(F.count("*").alias("n_events"), F.sum(value).alias("total_value"))
@@ -153,26 +161,54 @@ def monitor_stream(
     by: Sequence[str],
     p: str,
     ts: str,
+    actual: str | None = None,
+    folder: str | None = None,
 ) -> tuple[str, str]:
-    """Drift, band rates and alerts of each micro-batch; returns the metric and alert folders.
+    """Drift, band rates, performance and alerts of each micro-batch; returns the metric and alert folders.
 
-    ``baseline`` is a small static table (one row per feature).
+    ``baseline`` is a small static table (one row per feature), computed once. With the
+    outcome ``actual`` in the rows each batch also gets its accuracy, compared with the
+    mean of the last ten batches before it that the metric folder holds.
     """
-    metrics_path, alerts_path = scratch_path(spark, "metrics"), scratch_path(spark, "alerts")
+    folder = folder or scratch_path(spark, "monitor")
+    metrics_path, alerts_path = f"{folder}/metrics", f"{folder}/alerts"
+    baseline = materialize(baseline)
+    keys = list(by)
+
+    def accuracies(batch: DataFrame, batch_id: int) -> DataFrame:
+        if actual is None:
+            return batch.select(*keys).distinct().withColumns(
+                {"accuracy": F.lit(None).cast("double"), "recent_accuracy": F.lit(None).cast("double")}
+            )
+        right = (C.hard_label(p) == F.col(actual)).cast("double")
+        now = batch.groupBy(*keys).agg(F.avg(right).alias("accuracy"))
+        if batch_id == 0:
+            return now.withColumn("recent_accuracy", F.lit(None).cast("double"))
+        # Earlier batches alone, so a batch that is written again sees the same history.
+        earlier = spark.read.schema(metric_schema).parquet(f"{metrics_path}/*").where(F.col("batch_id") < batch_id)
+        last = monitoring.newest_per_group(
+            earlier.where("accuracy is not null"), keys, "batch_id", monitoring.HISTORY_BATCHES
+        )
+        return now.join(last.groupBy(*keys).agg(F.avg("accuracy").alias("recent_accuracy")), keys, "left")
+
+    kinds = {c: stream.schema[c].dataType.simpleString() for c in keys}
+    metric_schema = ", ".join([*[f"`{c}` {t}" for c, t in kinds.items()], "batch_id int, accuracy double"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         scores = drift.psi(batch, baseline, features, by=by)
         found = drift.psi_report(scores, by=by)
         rates = batch.groupBy(*by).agg(*monitoring.band_rates(F.col(p)), F.max(ts).alias("timestamp"))
+        fallen = F.coalesce(F.col("accuracy") < F.col("recent_accuracy") - monitoring.ACCURACY_DROP, F.lit(False))
         metrics = (
-            rates.join(found, list(by), "left")
+            rates.join(found, keys, "left")
+            .join(accuracies(batch, batch_id), keys, "left")
             .withColumns(
                 {
                     "drifted_features": F.coalesce("drifted_features", F.array().cast("array<string>")),
-                    "degraded": F.lit(False),
-                    "degradation_amount": F.lit(0.0),
-                    "batch_id": F.lit(batch_id),
+                    "degraded": fallen,
+                    "degradation_amount": F.when(fallen, F.col("recent_accuracy") - F.col("accuracy")).otherwise(F.lit(0.0)),
+                    "batch_id": F.lit(batch_id).cast("int"),
                 }
             )
         )
@@ -183,7 +219,7 @@ def monitor_stream(
         )
         batch.unpersist()
 
-    run_batches(stream, spark, write)
+    run_batches(stream, folder, write)
     return metrics_path, alerts_path
 
 
