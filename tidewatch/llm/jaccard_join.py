@@ -39,6 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,10 +48,10 @@ from tidewatch.session import materialize
 
 WORDS = 4
 PERCENT = 85
-COMMON_SHINGLES = 500_000  # length of the list of common shingles, 4 MB: it only affects speed
-COUNT_SHINGLES = 1 << 22  # shingles a task counts at a time: 32 MB
+COMMON_SHINGLES = 2_000_000  # length of the list of common shingles, 8 MB: it only affects speed
+COUNT_SHINGLES = 1 << 22  # shingles a task counts at a time: 16 MB
 BITS = 1 << 22  # of the map that keeps most unwanted texts from being read again: 512 KB
-SMALL = 8  # texts of a region that are paired directly
+SMALL = 16  # texts of a region that are paired directly
 PIVOTS = 4  # texts a merged region takes as pivots
 BLOCK_SHINGLES = 1 << 20  # shingles of a block of texts: 8 MB
 
@@ -93,7 +94,7 @@ def common_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
         size = 0
 
         def count() -> pa.RecordBatch:
-            values, n = np.unique(np.concatenate([*held.values(), np.empty(0, np.int64)]), return_counts=True)
+            values, n = np.unique(np.concatenate([*held.values(), np.empty(0, np.int32)]), return_counts=True)
             again = n > 1
             return pa.RecordBatch.from_arrays([pa.array(values[again]), pa.array(n[again].astype(np.int64))], ["s", "n"])
 
@@ -102,7 +103,7 @@ def common_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
                 found = shingles(text, words)
                 key = digest(found)
                 if key and key not in held:
-                    held[key] = found
+                    held[key] = np.unique(folded(found))
                     size += len(found)
                 if size >= COUNT_SHINGLES:
                     yield count()
@@ -110,9 +111,9 @@ def common_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
                     size = 0
         yield count()
 
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "s int, n long").groupBy("s").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "s").limit(COMMON_SHINGLES).select("s").toPandas()
-    return folded(top["s"].to_numpy(np.int64)[::-1].copy())
+    return top["s"].to_numpy(np.int32)[::-1].copy()
 
 
 def folded(found: np.ndarray) -> np.ndarray:
@@ -128,7 +129,7 @@ class Order:
 
     def __init__(self, common: np.ndarray) -> None:
         self.values, back = np.unique(common[::-1], return_index=True)
-        self.rank = len(common) - 1 - back
+        self.rank = (len(common) - 1 - back).astype(np.int32)
 
     def first(self, found: np.ndarray, length: int) -> np.ndarray:
         """The first shingles of a sorted set."""
@@ -148,12 +149,24 @@ class Order:
         return np.unique(folded(self.first(found, window_length(len(found), percent))))
 
 
+_ORDERS: dict[int, Order] = {}
+
+
+def order_of(shared: Broadcast) -> Order:
+    """The order of a broadcast list; a Python worker sorts it once."""
+    known = id(shared.value)
+    if known not in _ORDERS:
+        _ORDERS.clear()
+        _ORDERS[known] = Order(shared.value)
+    return _ORDERS[known]
+
+
 def signed(docs: DataFrame, common: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per document: id, digest of its text, set size, digest of its set, window."""
     shared = docs.sparkSession.sparkContext.broadcast(common)  # COMMON_SHINGLES numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Order(shared.value)
+        order = order_of(shared)
         for batch in chunks(batches):
             keys, sizes, digests, windows = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -435,7 +448,7 @@ def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tup
     shared = docs.sparkSession.sparkContext.broadcast(order)  # twice COMMON_SHINGLES at most
 
     def windows() -> Callable[[np.ndarray], np.ndarray]:
-        later = Order(shared.value)
+        later = order_of(shared)
         return lambda found: later.window(found, percent)
 
     anew = _again(docs, crowded, windows, "window", "int", words)
