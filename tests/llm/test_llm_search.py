@@ -111,7 +111,9 @@ def test_components(spark):
 
 def test_windows_hold_a_common_shingle():
     rng = np.random.default_rng(0)
-    order = jj.Order(jj.folded(rng.permutation(500)[:60].astype(np.int64)))
+    levels = np.zeros(jj.LEVELS, np.uint8)
+    levels[rng.permutation(500)[:60]] = rng.integers(1, 255, 60)
+    order = jj.Order(levels)
     for _ in range(300):
         x = np.unique(rng.integers(0, 500, rng.integers(1, 80)))
         y = np.unique(np.concatenate([rng.permutation(x)[: max(1, int(len(x) * 0.95))], rng.integers(0, 500, 2)]))

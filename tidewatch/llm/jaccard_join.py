@@ -10,7 +10,7 @@ a global order of shingles counts, rare shingles before common ones. By the tria
 inequality a partner within eps can only lie in regions of the first
 ``n - ceil(n * PERCENT / 100) + 1`` pivots of a text, its window, so the text is copied to
 these: linked texts meet in the region of their first common shingle. Any order is
-exact; a bounded list of common shingles only keeps regions small.
+exact; a table of fixed size that says how common shingles are only keeps regions small.
 
 Recursion. Small regions hand out their pairs, of which only those stay whose windows leave a
 link possible. The texts of larger regions are copied once more, now in an order that
@@ -39,7 +39,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +47,8 @@ from tidewatch.session import materialize
 
 WORDS = 4
 PERCENT = 85
-COMMON_SHINGLES = 2_000_000  # length of the list of common shingles, 8 MB: it only affects speed
+LEVELS = 1 << 22  # entries of the table that says how common shingles are, 4 MB: it only affects speed
+CROWDED = 128  # level from which a shingle is known to crowd a region
 COUNT_SHINGLES = 1 << 22  # shingles a task counts at a time: 16 MB
 BITS = 1 << 22  # of the map that keeps most unwanted texts from being read again: 512 KB
 SMALL = 16  # texts of a region that are paired directly
@@ -86,8 +86,13 @@ def window_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
 
 
-def common_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Common shingles (folded), rarest first. Tasks count blocks of whole sets, copies once, and pass on what repeats."""
+def folded(found: np.ndarray) -> np.ndarray:
+    """Shingles as 32-bit numbers: texts that share a shingle share its number."""
+    return found.view(np.uint64).astype(np.uint32).view(np.int32)
+
+
+def common_levels(docs: DataFrame, words: int = WORDS) -> np.ndarray:
+    """How common shingles are, by entry of the table. Tasks count blocks of whole sets, copies once, and pass on what repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, np.ndarray] = {}
@@ -111,62 +116,42 @@ def common_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
                     size = 0
         yield count()
 
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "s int, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "s").limit(COMMON_SHINGLES).select("s").toPandas()
-    return top["s"].to_numpy(np.int32)[::-1].copy()
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "s int, n long")
+    return raised(np.zeros(LEVELS, np.uint8), counted, 0)
 
 
-def folded(found: np.ndarray) -> np.ndarray:
-    """Shingles as 32-bit numbers: texts that share a shingle share its number."""
-    return found.view(np.uint64).astype(np.uint32).view(np.int32)
+def raised(levels: np.ndarray, counted: DataFrame, least: int) -> np.ndarray:
+    """The table with the entries of counted shingles (s, n) set to ``least`` plus a logarithm of n. At most LEVELS rows are read."""
+    entry = F.col("s").bitwiseAND(LEVELS - 1).cast("int").alias("entry")
+    found = counted.groupBy(entry).agg(F.sum("n").alias("n")).toPandas()
+    levels = levels.copy()
+    height = np.minimum(4 * np.log2(found["n"].to_numpy(float) + 1), 127).astype(np.uint8)
+    levels[found["entry"].to_numpy(np.int64)] = least + height
+    return levels
 
 
 class Order:
-    """The global order of pivots: shingles by hash, the common ones last, rarest of them first.
+    """The global order of pivots: shingles by the level of their entry, rare ones first, then by hash."""
 
-    ``common`` lists folded shingles; of two places of one shingle the later counts.
-    """
-
-    def __init__(self, common: np.ndarray) -> None:
-        self.values, back = np.unique(common[::-1], return_index=True)
-        self.rank = (len(common) - 1 - back).astype(np.int32)
+    def __init__(self, levels: np.ndarray) -> None:
+        self.levels = levels
 
     def first(self, found: np.ndarray, length: int) -> np.ndarray:
         """The first shingles of a sorted set."""
-        if not len(self.values):
-            return found[:length]
-        numbers = folded(found)
-        at = np.minimum(np.searchsorted(self.values, numbers), len(self.values) - 1)
-        last = self.values[at] == numbers
-        plain = found[~last]
-        if len(plain) >= length:
-            return plain[:length]
-        common = found[last][np.argsort(self.rank[at[last]], kind="stable")]
-        return np.concatenate([plain, common[: length - len(plain)]])
+        level = self.levels[folded(found) & np.int32(LEVELS - 1)]
+        return found[np.argsort(level, kind="stable")[:length]]
 
     def window(self, found: np.ndarray, percent: int) -> np.ndarray:
         """The window of a set, folded."""
         return np.unique(folded(self.first(found, window_length(len(found), percent))))
 
 
-_ORDERS: dict[int, Order] = {}
-
-
-def order_of(shared: Broadcast) -> Order:
-    """The order of a broadcast list; a Python worker sorts it once."""
-    known = id(shared.value)
-    if known not in _ORDERS:
-        _ORDERS.clear()
-        _ORDERS[known] = Order(shared.value)
-    return _ORDERS[known]
-
-
-def signed(docs: DataFrame, common: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def signed(docs: DataFrame, levels: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per document: id, digest of its text, set size, digest of its set, window."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)  # COMMON_SHINGLES numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast(levels)  # LEVELS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = order_of(shared)
+        order = Order(shared.value)
         for batch in chunks(batches):
             keys, sizes, digests, windows = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -425,16 +410,10 @@ def _met(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return materialize(possible(pairs, classes, percent)), met.where("member").select("a", "b")
 
 
-def _crowds(members: DataFrame) -> np.ndarray:
-    """The folded shingles of the largest of the large regions, smaller regions first."""
-    top = members.groupBy("b").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "b").limit(COMMON_SHINGLES)
-    return top.select("b").toPandas()["b"].to_numpy(np.int64).astype(np.int32)[::-1]
-
-
 def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Signed documents, and (digest, root, component_id) of every class."""
-    common = common_shingles(docs, words)
-    marks = materialize(signed(docs, common, words, percent))
+    levels = common_levels(docs, words)
+    marks = materialize(signed(docs, levels, words, percent))
     classes = materialize(
         marks.where("n > 0")
         .groupBy("digest")
@@ -444,11 +423,11 @@ def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tup
     pairs, members = _met(classes, percent)
     # The texts of large regions once more, now that the shingles which made them large are known to be common.
     crowded = materialize(classes.join(members.select(F.col("a").alias("cid")).distinct(), "cid").select("cid", "first", "digest", "n"))
-    order = np.concatenate([common, _crowds(members)])
-    shared = docs.sparkSession.sparkContext.broadcast(order)  # twice COMMON_SHINGLES at most
+    crowds = members.groupBy(F.col("b").cast("int").alias("s")).agg(F.count("*").alias("n"))
+    shared = docs.sparkSession.sparkContext.broadcast(raised(levels, crowds, CROWDED))  # LEVELS bytes
 
     def windows() -> Callable[[np.ndarray], np.ndarray]:
-        later = order_of(shared)
+        later = Order(shared.value)
         return lambda found: later.window(found, percent)
 
     anew = _again(docs, crowded, windows, "window", "int", words)
