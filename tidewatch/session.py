@@ -27,6 +27,7 @@ def local_session(app_name: str = "tidewatch", cpus: int | str = "*", memory: st
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in REQUIRED_SETTINGS.items():
         builder = builder.config(key, value)
@@ -45,8 +46,9 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 
-    A folder on this machine is made up only where the setting is absent
-    (tests, laptops); a cluster sets ``spark.checkpoint.dir``.
+    A folder on this machine is made up only where the setting is absent and the
+    session runs on this machine alone (tests, laptops); a cluster sets ``spark.checkpoint.dir``
+    and, to have used checkpoints removed, ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
