@@ -53,16 +53,32 @@ def history(spark, tmp_path_factory):
     return path, df
 
 
+def plain_history(rows):
+    return sorted((r.model, str(r.day)[:10], r.degraded, round(r.recent_accuracy or -1, 9)) for r in rows.collect())
+
+
 def test_degradation_state_spans_batches(spark, history):
     path, df = history
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = jobs.event_time(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path), "day", "0 seconds")
     got = jobs.run_to_files(jobs.degradation_stream(stream, "model", "day"), spark)
-    want = monitoring.degradation(df, ["model"], "day").select(got.columns)
-
-    def plain(rows):
-        return sorted((r.model, r.day, r.degraded, round(r.recent_accuracy or -1, 9)) for r in rows.collect())
-
-    assert plain(got) == plain(want)
+    want = monitoring.degradation(df, ["model"], "day").where(F.dayofyear("day") < 30)
+    assert plain_history(got) == plain_history(want)
+
+
+def test_late_batches_are_compared_in_order(spark, history, tmp_path):
+    _, df = history
+    path, folder = str(tmp_path / "late"), str(tmp_path / "job")
+    for lo in (0, 20, 10):  # the middle ten days come last
+        df.where(F.dayofyear("day").between(lo + 1, lo + 10)).coalesce(1).write.mode("append").parquet(path)
+        stream = jobs.event_time(spark.readStream.schema(df.schema).parquet(path), "day", "25 days")
+        got = jobs.run_to_files(jobs.degradation_stream(stream, "model", "day"), spark, folder)
+    want = monitoring.degradation(df, ["model"], "day").where(F.dayofyear("day") < 5)
+    assert plain_history(got) == plain_history(want)
+    df.withColumn("day", F.expr("day + interval 60 days")).coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.event_time(spark.readStream.schema(df.schema).parquet(path), "day", "25 days")
+    got = jobs.run_to_files(jobs.degradation_stream(stream, "model", "day"), spark, folder)
+    want = monitoring.degradation(df, ["model"], "day")
+    assert plain_history(got.where(F.dayofyear("day") <= 30)) == plain_history(want)
 
 
 def test_routing_over_batches(spark, history):

@@ -238,31 +238,48 @@ def join_late_outcomes(
     ).drop("_key")
 
 
-DEGRADED_SCHEMA = "{by} string, {order} timestamp_ntz, accuracy double, recent_accuracy double, degraded boolean"
+DEGRADED_SCHEMA = "{by} string, {order} timestamp, accuracy double, recent_accuracy double, degraded boolean"
+ACCURACY_STATE = "recent array<double>, times array<bigint>, waiting array<double>"
+MICROSECOND = pd.Timedelta(microseconds=1)
 
 
 def degradation_stream(stream: DataFrame, by: str, order: str, drop: float = monitoring.ACCURACY_DROP) -> DataFrame:
-    """Compare each batch of a model with its last ten accuracies, kept as state."""
+    """Compare each batch of a model with its last ten accuracies, in order of event time.
+
+    The stream needs a watermark on ``order`` (see ``event_time``). An accuracy waits in state
+    until the watermark has passed it, so batches that arrive late within the allowed
+    time are compared with the ten before them and not with newer ones. State holds ten
+    accuracies and what waits.
+    """
     keep = monitoring.HISTORY_BATCHES
 
-    def compare(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(order)
-        means, flags = [], []
-        for accuracy in rows["accuracy"]:
+    def compare(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        recent, times, waiting = (list(x) for x in state.get) if state.exists else ([], [], [])
+        if not state.hasTimedOut:
+            for rows in batches:
+                times += ((rows[order] - pd.Timestamp(0)) // MICROSECOND).tolist()
+                waiting += rows["accuracy"].astype(float).tolist()
+        watermark = state.getCurrentWatermarkMs()
+        queue = sorted(zip(times, waiting))
+        ready = [x for x in queue if x[0] < watermark * 1000]
+        later = queue[len(ready) :]
+        out = []
+        for time, accuracy in ready:
             mean = sum(recent) / len(recent) if recent else None
-            means.append(mean)
-            flags.append(bool(recent) and accuracy < mean - drop)
-            recent = (recent + [float(accuracy)])[-keep:]
-        state.update((recent,))
-        rows["recent_accuracy"] = pd.Series(means, index=rows.index, dtype="float64")
-        rows["degraded"] = flags
-        yield rows[[by, order, "accuracy", "recent_accuracy", "degraded"]]
+            out.append((key[0], time, accuracy, mean, mean is not None and accuracy < mean - drop))
+            recent = (recent + [accuracy])[-keep:]
+        state.update((recent, [t for t, _ in later], [a for _, a in later]))
+        if later:
+            state.setTimeoutTimestamp(max(later[0][0] // 1000, watermark) + 1)
+        found = pd.DataFrame(out, columns=[by, order, "accuracy", "recent_accuracy", "degraded"])
+        found[order] = pd.to_datetime(found[order].astype("int64"), unit="us")
+        found["recent_accuracy"] = found["recent_accuracy"].astype("float64")
+        yield found
 
     return stream.select(by, order, "accuracy").groupBy(by).applyInPandasWithState(
         compare,
         DEGRADED_SCHEMA.format(by=by, order=order),
-        "recent array<double>",
+        ACCURACY_STATE,
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
