@@ -80,7 +80,7 @@ def brute_components(rows, percent=85):
 def test_jaccard_join(spark, monkeypatch, seed, block):
     monkeypatch.setattr(jj, "BLOCK_SHINGLES", block)  # small blocks: regions in several parts
     rows = corpus(seed)
-    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, digest string, Root int").repartition(5)
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, _key string, Best_ID int").repartition(5)
     want, groups = brute_components(rows)
     assert Counter(tuple(r) for r in jj.join(docs).collect()) == want
     kept = jj.keep_one(docs)

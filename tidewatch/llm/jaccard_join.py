@@ -47,10 +47,9 @@ from tidewatch.session import materialize
 
 WORDS = 4
 PERCENT = 85
-LEVELS = 1 << 22  # entries of the table that says how common shingles are, 4 MB: it only affects speed
+LEVELS = 1 << 22  # entries of the tables of common shingles and of wanted ids, 4 MB: they only affect speed
 CROWDED = 128  # level from which a shingle is known to crowd a region
 COUNT_SHINGLES = 1 << 22  # shingles a task counts at a time: 16 MB
-BITS = 1 << 22  # of the map that keeps most unwanted texts from being read again: 512 KB
 SMALL = 16  # texts of a region that are paired directly
 PIVOTS = 4  # texts a merged region takes as pivots
 BLOCK_SHINGLES = 1 << 20  # shingles of a block of texts: 8 MB
@@ -121,12 +120,30 @@ def common_levels(docs: DataFrame, words: int = WORDS) -> np.ndarray:
 
 
 def raised(levels: np.ndarray, counted: DataFrame, least: int) -> np.ndarray:
-    """The table with the entries of counted shingles (s, n) set to ``least`` plus a logarithm of n. At most LEVELS rows are read."""
+    """The table with the entries of counted shingles (s, n) set to ``least`` plus a logarithm of n.
+
+    Tasks pack the entries into blocks of bytes, so LEVELS bytes reach the driver at most.
+    """
     entry = F.col("s").bitwiseAND(LEVELS - 1).cast("int").alias("entry")
-    found = counted.groupBy(entry).agg(F.sum("n").alias("n")).toPandas()
+    height = F.least(F.lit(127.0), 4 * F.log2(F.sum("n") + 1)).cast("int").alias("height")
+    blocked = counted.groupBy(entry).agg(height).withColumn("block", F.shiftright("entry", 12)).repartition("block")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            entries, heights, owner = (batch.column(i).to_numpy() for i in range(3))
+            for block in np.unique(owner).tolist():
+                own = owner == block
+                held = blocks.setdefault(block, np.zeros(4096, np.uint8))
+                held[entries[own] & 4095] = heights[own]
+        data = pa.array([x.tobytes() for x in blocks.values()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), data], ["block", "data"])
+
     levels = levels.copy()
-    height = np.minimum(4 * np.log2(found["n"].to_numpy(float) + 1), 127).astype(np.uint8)
-    levels[found["entry"].to_numpy(np.int64)] = least + height
+    for row in blocked.mapInArrow(pack, "block int, data binary").collect():
+        held = np.frombuffer(row.data, np.uint8)
+        at = np.flatnonzero(held)
+        levels[(row.block << 12) + at] = least + held[at]
     return levels
 
 
@@ -260,10 +277,9 @@ def _again(
     A bit map over the hashes of the wanted ids, of fixed size, lets a task skip most
     other texts; the join on the digest is what decides.
     """
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)).cast("int")
-    used = wanted.select(bucket(F.col("first")).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
-    bits = np.zeros(BITS, bool)
-    bits[used] = True
+    bucket = lambda c: F.xxhash64(c).bitwiseAND(LEVELS - 1).cast("int")
+    asked = wanted.select(bucket(F.col("first")).alias("s"), F.lit(1).alias("n"))
+    bits = raised(np.zeros(LEVELS, np.uint8), asked, 0) > 0
     packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,13 +473,13 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     """One document of every component: the smallest id, then the smallest text digest. Texts without words all stay."""
     marks, classes = labelled(docs, words, percent)
     place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key")
+    best_id, best_key, key = (free_name(docs, c) for c in ("best_id", "best_key", "text_key"))
     chosen = (
         marks.where("n > 0").join(classes, "digest").groupBy("root").agg(F.min(place).alias("best"))
-        .select(F.col("best.doc_id").alias("_id"), F.col("best.text_key").alias("_key"))
+        .select(F.col("best.doc_id").alias(best_id), F.col("best.text_key").alias(best_key))
     )
-    key = free_name(docs, "text_key")
     keyed = docs.withColumn(key, F.unhex(F.md5(F.col("text").cast("string"))))
-    same = F.col(f"`{key}`").eqNullSafe(F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    same = F.col(f"`{key}`").eqNullSafe(F.col(best_key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(best_id))
     kept = keyed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", key])
     wordless = keyed.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     return kept.unionByName(wordless).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -149,15 +149,15 @@ def judge(
 
 def keep_good(docs: DataFrame, line_limit: int = LINE_LIMIT, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
     """The documents that pass, all columns as they are. The verdict depends on text and host, so it is joined on these."""
-    key, host = free_name(docs, "line_key"), free_name(docs, "line_host")
+    key, host, good_key, good_host = (free_name(docs, c) for c in ("line_key", "line_host", "good_key", "good_host"))
     marked = docs.withColumn(key, F.md5(F.coalesce("text", F.lit("")))).withColumn(
         host, F.coalesce(F.col("source"), F.lit(""))
     )
     good = (
         judge(marked, [key, host], line_limit, min_left_percent)
         .where("kept")
-        .select(F.col(f"`{key}`").alias("_key"), F.col(f"`{host}`").alias("_host"))
+        .select(F.col(f"`{key}`").alias(good_key), F.col(f"`{host}`").alias(good_host))
         .distinct()
     )
-    same = (F.col(f"`{key}`") == F.col("_key")) & (F.col(f"`{host}`") == F.col("_host"))
+    same = (F.col(f"`{key}`") == F.col(good_key)) & (F.col(f"`{host}`") == F.col(good_host))
     return marked.join(good, same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
