@@ -69,6 +69,7 @@ class PieceTable:
         self.automaton.make_automaton()
         self.apart: dict[tuple[int, int], bool] = {}
         self.built: dict[int, tuple] = {}
+        self.whole: dict[int, bool] = {}
         self.memo = _Words(self)
 
     def merged(self, text: str, keep: int = 1) -> list[int]:
@@ -114,10 +115,18 @@ class PieceTable:
                 left, right = (self.spines(p) for p in parts)
                 found = (None, None) if left[0] is None or right[0] is None else ([*left[0], own], [*right[1], own])
             else:
-                found = None, None  # never made by merging
+                found = None, None  # not made in order of rank, or not at all
             self.built[token] = found
         return found
 
+    def stands(self, token: int) -> bool:
+        """Whether a piece on its own becomes one token."""
+        if self.spines(token)[0] is not None:
+            return True
+        if token not in self.whole:
+            self.whole[token] = self.merged(self.piece[token]) == [token]
+        return self.whole[token]
+
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether merging ``a`` + ``b`` ends in exactly these two tokens.
 
@@ -128,9 +137,11 @@ class PieceTable:
         found = self.apart.get((a, b))
         if found is None:
             x, y = self.spines(a)[1], self.spines(b)[0]
-            found = x is not None and y is not None
+            found = self.stands(a) and self.stands(b)
+            if found and (x is None or y is None):  # pieces out of order of rank, such as runs of spaces
+                found = self.merged(self.piece[a] + self.piece[b]) == [a, b]
             i = j = 0
-            while found:
+            while found and x is not None and y is not None:
                 grow_x = x[i + 1][1] if i + 1 < len(x) else NEVER
                 grow_y = y[j + 1][1] if j + 1 < len(y) else NEVER
                 union = self.token.get(x[i][0] + y[j][0])
@@ -162,13 +173,15 @@ class PieceTable:
                 if fits is None:
                     fits = self.stay_apart(last[start], token)
             else:
-                fits = self.spines(token)[0] is not None
+                fits = self.stands(token)
             if fits:
                 last[end], length[end] = token, size
         return last, length
 
     def _run(self, text: str) -> list[int]:
         last, length = self.prefix_table(text)
+        if not length[-1]:
+            raise ValueError("the vocabulary leaves a prefix without a last token")
         ids, end = [], len(text)
         while end:
             ids.append(last[end])
