@@ -7,7 +7,8 @@ document that keeps too little is rejected.
 
 Documents are told apart by their other lines (the two smallest hashes besides
 the line in question), so copies of one document, exact or nearly so, count once
-and never make their own lines frequent.
+and never make their own lines frequent. Texts that share these two lines as well
+count as copies of each other.
 
 Defined results: a null or empty text has no words and fails the base rules; a
 null host is a host of its own; repeated rows count as one document and each keep
