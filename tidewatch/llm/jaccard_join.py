@@ -49,7 +49,7 @@ WORDS = 4
 PERCENT = 85
 LEVELS = 1 << 22  # entries of the tables of common shingles and of wanted ids, 4 MB: they only affect speed
 CROWDED = 128  # level from which a shingle is known to crowd a region
-COUNT_SHINGLES = 1 << 22  # shingles a task counts at a time: 16 MB
+COUNT_SHINGLES = 1 << 21  # shingles a task counts at a time: 8 MB
 SMALL = 16  # texts of a region that are paired directly
 PIVOTS = 4  # texts a merged region takes as pivots
 BLOCK_SHINGLES = 1 << 20  # shingles of a block of texts: 8 MB

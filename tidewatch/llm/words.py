@@ -16,10 +16,11 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import cached_property
 
 import numpy as np
 
-MEMO_WORDS = 400_000  # entries of the memo, about 80 MB; later pieces are not kept
+MEMO_WORDS = 250_000  # entries of the memo, about 50 MB; later pieces are not kept
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _OUTSIDE = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]")
@@ -46,9 +47,8 @@ class WordIds(dict):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.memo_words = memo_words
@@ -73,6 +73,13 @@ class WordIds(dict):
         self.id_bytes = {r: np.uint32(vocab[t]).tobytes() for t, r in ranks.items() if t in vocab}
         self.merger = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def library(self):
+        """The library's own encoder; a worker that sees no text outside the alphabet never loads it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __missing__(self, piece: str) -> bytes:
         ranks = self.merger.encode_ordinary(piece + _END_MARK if self.word_ends else piece)
         found = b"".join(map(self.id_bytes.__getitem__, ranks))
