@@ -7,8 +7,7 @@ from pyspark.sql.window import Window
 
 from tidewatch.functions import columns as C
 from tidewatch.functions.schema import SUBSCRIBER_FIELDS
-from tidewatch.operators import drift, features, monitoring, quality, scoring
-from tidewatch.operators.joins import lookup_join
+from tidewatch.operators import drift, features, monitoring, scoring
 from tidewatch.plans.catalog import BUSINESS, GAPPY, ORDER_SCORES, PARSED, RAW, SCORED, SUBS, query
 from tidewatch.plans.inputs import (
     NUMBERS,
