@@ -187,6 +187,26 @@ def test_frequent_lines_count_distinct_documents_of_a_host(spark):
     assert all(got[300 + i].kept for i in range(3))
 
 
+def test_documents_of_shared_lines_are_told_apart(spark):
+    def letters(k, n=8):
+        return "".join(chr(97 + k // 26**j % 26) for j in range(n))
+
+    def own(i, words):
+        return " ".join(letters(1000 * i + k) for k in range(words))
+
+    schema = "doc_id long, text string, source string"
+    boiler = "\n".join(f"boiler {own(5000 + k, 4)}" for k in range(60))
+    rows = [(i, f"{boiler}\nmine {own(i, 3)}", "h") for i in range(80)]
+    rows += [(100 + i, f"{boiler}\nmine {own(900, 3)}", "copies") for i in range(80)]
+    got = {r.doc_id: r for r in lr.judge(spark.createDataFrame(rows, schema), ["doc_id"]).collect()}
+    assert all(got[i].n_frequent_lines == 60 and not got[i].kept and not got[i].base_failed for i in range(80))
+    assert all(got[100 + i].n_frequent_lines == 0 and got[100 + i].kept for i in range(80))
+    three = "\n".join(f"boiler plate {letters(k)} {own(6000 + k, 40)}" for k in range(3))
+    rows = [(i, f"{three}\nmine {own(i, 3)}\nalso {own(7000 + i, 2)}", "h") for i in range(20)]
+    for r in lr.judge(spark.createDataFrame(rows, schema), ["doc_id"], 10).collect():
+        assert r.n_frequent_lines == 3 and not r.kept and not r.base_failed
+
+
 def test_free_name(spark):
     df = spark.createDataFrame([(1, 2)], "a int, A_ int")
     assert free_name(df, "a") == "a__" and free_name(df, "b") == "b"

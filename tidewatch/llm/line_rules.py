@@ -5,10 +5,9 @@ with built-in functions; only hashes and counts are shuffled. A line that occurs
 in more than ``line_limit`` distinct documents of one host is removed, and a
 document that keeps too little is rejected.
 
-Documents are told apart by their other lines (the two smallest hashes besides
-the line in question), so copies of one document, exact or nearly so, count once
-and never make their own lines frequent. Texts that share these two lines as well
-count as copies of each other.
+Documents are told apart by a digest of their whole text, so exact copies of one
+document count once and never make their own lines frequent. Texts that differ
+anywhere count as different documents, however many lines they share.
 
 Defined results: a null or empty text has no words and fails the base rules; a
 null host is a host of its own; repeated rows count as one document and each keep
@@ -35,12 +34,12 @@ NORMAL_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789\x09\x0b\x0c\x0d"
 NORMAL_TO = "abcdefghijklmnopqrstuvwxyz000000000\x20\x20\x20\x20"
 
 
-def _line_hash(line: Column) -> Column:
-    return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("bigint")
+def _hash(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def profile(docs: DataFrame, keep: list[Column]) -> DataFrame:
-    """One row per document: its counts, ``lines`` (hash and words of each line with a word)."""
+    """One row per document: its counts, ``_document`` (hash of its text), ``_lines`` (hash and words of each line with a word)."""
     text = docs.select(*keep, F.coalesce("source", F.lit("")).alias("_host"), F.coalesce("text", F.lit("")).alias("_text"))
     words = text.select(
         "*",
@@ -89,25 +88,20 @@ def profile(docs: DataFrame, keep: list[Column]) -> DataFrame:
         F.size("_words").cast("bigint").alias("n_words"),
         F.length(F.translate("_text", SPACES, "")).cast("bigint").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        _hash(F.col("_text")).alias("_document"),
         (F.size("_raw") - F.size(F.array_distinct("_raw"))).cast("bigint").alias("n_dup_lines"),
         F.when(F.col("_sorted").isNull(), F.lit(0)).otherwise(repeated).cast("bigint").alias("n_repeat_words"),
         F.transform(
-            "_normal", lambda x: F.struct(_line_hash(x).alias("h"), F.size(F.split(x, " ")).alias("w"))
+            "_normal", lambda x: F.struct(_hash(x).alias("h"), F.size(F.split(x, " ")).alias("w"))
         ).alias("_lines"),
     )
 
 
 def frequent_lines(profiled: DataFrame, line_limit: int = LINE_LIMIT) -> DataFrame:
     """(host, line hash, documents) of the lines in more than ``line_limit`` documents of the host."""
-    lines = profiled.select(
-        "_host",
-        F.slice(F.array_sort(F.array_distinct(F.col("_lines.h"))), 1, 3).alias("_first"),
-        F.explode(F.array_distinct(F.col("_lines.h"))).alias("_h"),
-    )
-    others = F.filter("_first", lambda x: x != F.col("_h"))
+    lines = profiled.select("_host", "_document", F.explode(F.array_distinct(F.col("_lines.h"))).alias("_h"))
     return (
-        lines.select("_host", "_h", F.get(others, F.lit(0)).alias("_a"), F.get(others, F.lit(1)).alias("_b"))
-        .groupBy("_host", "_h", "_a", "_b")
+        lines.groupBy("_host", "_h", "_document")
         .agg(F.lit(1).alias("_one"))
         .groupBy("_host", "_h")
         .agg(F.count("*").alias("n_documents"))
