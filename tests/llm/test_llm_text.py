@@ -119,6 +119,45 @@ def test_licences(spark):
     assert li.scan(docs.limit(0)).count() == 0
 
 
+def brute_notices(index, words):
+    labels, best = set(), 0.0
+    for t, (label, template, key) in enumerate(li._TEMPLATES):
+        for start in range(-len(template), len(words)):
+            met = [w for i, w in enumerate(template) if 0 <= start + i < len(words) and words[start + i] == w]
+            coverage = sum(index.rarity[w] for w in met) / index.total[t]
+            first = start + template.index(key[0])
+            near = [i for i in range(first - 2, first + 3) if i >= 0 and tuple(words[i : i + len(key)]) == key]
+            if coverage >= li.MIN_COVERAGE and near:
+                labels.add(label)
+                best = max(best, coverage)
+    return labels, best
+
+
+def test_every_notice_of_a_file_is_found():
+    index = li.Index({w: (i * 37) % 900 for i, w in enumerate(sorted(li.LOOKED_UP))}, 1000)
+    notices = {t[0]: t[1] for t in li.TEMPLATES}
+    five = ["cc0", "agpl-3", "mpl-2", "all-rights-reserved", "bsd"]
+    assert index.judge(" x ".join(notices[k] for k in five))[5] == ",".join(sorted(five))
+    stray = " some ".join(w.decode() for w in sorted(li.LOOKED_UP)) + " filler" * 5000
+    for label, notice, _ in li.TEMPLATES:
+        assert label in index.judge(f"{stray} {notice} {stray}")[5].split(","), notice
+    rng = np.random.default_rng(8)
+    every = sorted(li.VOCABULARY) + [b"other"] * 20
+    for _ in range(300):
+        words = []
+        for _ in range(rng.integers(1, 5)):
+            words += [every[i] for i in rng.integers(0, len(every), rng.integers(0, 12))]
+            own = list(li._TEMPLATES[rng.integers(len(li._TEMPLATES))][1])
+            if rng.random() < 0.4:
+                own[rng.integers(len(own))] = b"other"
+            words += own[rng.integers(0, 3) :]
+        got = index.judge(b" ".join(words).decode())
+        labels, best = brute_notices(index, words)
+        base = set(got[4].split(",")) - {""}
+        assert set(got[5].split(",")) - {""} == labels | base
+        assert got[6] == pytest.approx(1.0 if base else best)
+
+
 def test_quality_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet", "/root/testdata/sf0.01/documents.parquet").dropDuplicates(["doc_id"])
     labels = spark.read.parquet(f"{SF}/labels.parquet", "/root/testdata/sf0.01/labels.parquet").dropDuplicates(["doc_id"])

@@ -1,10 +1,11 @@
 """Licence notices by a positional index of rare words.
 
 The words of the licence templates are few; how many documents hold each is
-counted over the whole corpus. A file looks up its licence words of highest inverse
-document frequency, the postings (template, position) of its occurrences are
-intersected by relative position, and a template whose rare words line up is
-verified word by word along that line and by its mandatory key phrase.
+counted over the whole corpus. Every template is posted under the word of highest
+inverse document frequency of its mandatory key phrase, which no file that holds the
+notice can lack. A file looks up these words; where the whole key phrase stands
+around one, the relative positions that it allows are verified word by word. So
+every place of every template is tried, however many licence words a file holds.
 
 Base phrases are found wherever their words stand consecutively.
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import chunks
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-RARE_WORDS = 8  # licence words of a file that are looked up, rarest first
+KEY_SHIFT = 2  # words by which a key phrase may stand off its place in the template
 MIN_COVERAGE = 0.7  # share of a template, weighted by rarity, that must line up
 
 # Phrases with their labels.
@@ -104,11 +105,10 @@ class Index:
         self.rarity = {w: 1.0 + math.log((1 + documents) / (1 + frequency.get(w, 0))) for w in VOCABULARY}
         for w in COMMON & VOCABULARY:
             self.rarity[w] = 0.1
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, words, _) in enumerate(_TEMPLATES):
-            for at, w in enumerate(words):
-                if w in LOOKED_UP:
-                    self.postings[w].append((t, at))
+        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)  # template, place in its key phrase
+        for t, (_, _, key) in enumerate(_TEMPLATES):
+            at = max((i for i, w in enumerate(key) if w in LOOKED_UP), key=lambda i: self.rarity[key[i]])
+            self.postings[key[at]].append((t, at))
         self.total = [sum(self.rarity[w] for w in words) for _, words, _ in _TEMPLATES]
 
     def base(self, words: list[bytes], places: dict[bytes, list[int]]) -> list[tuple[int, str]]:
@@ -123,25 +123,23 @@ class Index:
 
     def notices(self, words: list[bytes], places: dict[bytes, list[int]]) -> tuple[set[str], float]:
         """Labels of the templates that line up, and the best verified coverage."""
-        rare = sorted((w for w in places if w in self.postings), key=lambda w: (-self.rarity[w], w))[:RARE_WORDS]
-        lines: dict[tuple[int, int], float] = defaultdict(float)
-        for w in rare:
-            for at in places[w]:
-                for template, place in self.postings[w]:
-                    lines[template, at - place] += self.rarity[w]
+        lines: set[tuple[int, int]] = set()
+        for w in self.postings.keys() & places.keys():
+            for t, place in self.postings[w]:
+                _, template, key = _TEMPLATES[t]
+                for at in places[w]:
+                    first = at - place
+                    if first >= 0 and tuple(words[first : first + len(key)]) == key:
+                        start = first - template.index(key[0])
+                        lines.update((t, start + k) for k in range(-KEY_SHIFT, KEY_SHIFT + 1))
         labels, best = set(), 0.0
-        for (t, start), _ in lines.items():
-            label, template, key = _TEMPLATES[t]
-            if label in labels:
-                continue
+        for t, start in lines:
+            label, template, _ = _TEMPLATES[t]
             low = max(0, start)
             seen = words[low : start + len(template)]
             met = sum(self.rarity[w] for w, v in zip(template[low - start :], seen) if w == v)
             coverage = met / self.total[t]
-            if coverage < MIN_COVERAGE:
-                continue
-            first = template.index(key[0]) + start
-            if any(tuple(words[i : i + len(key)]) == key for i in range(max(0, first - 2), first + 3)):
+            if coverage >= MIN_COVERAGE:
                 labels.add(label)
                 best = max(best, coverage)
         return labels, best
