@@ -92,6 +92,21 @@ def test_labelers_find_secrets_and_leave_plain_numbers():
     assert wp.masked("a 10.2.3.4 b", [(2, 10, "ip"), (4, 10, "card")]) == "a <IP> b"
 
 
+def test_candidates_cover_whole_tokens():
+    jwt = "eyJ" + "aB3_-xYz." * 200 + "Q"
+    key = "aB3dE6gH" * 40
+    for text, start, end, kind in [
+        (f"token={jwt} end", 6, 6 + len(jwt), "secret"),
+        (f"see {key} end", 4, 4 + len(key), "secret"),
+        ("number " + "7" * 45 + " end", 7, 52, "account"),
+        ("password: correct-horse-battery", 10, 31, "secret"),
+        ("Passphrase = correct-horse-battery", 13, 34, "secret"),
+    ]:
+        assert wp.more_candidates(text, []) == [(start, end, kind)]
+        with_digit = wp.more_candidates(text + " 7", [])
+        assert with_digit == [(start, end, kind)]
+
+
 def brute_licence(text):
     text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)

@@ -58,14 +58,14 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_SECRET_WORDS = ("passw", "pwd", "secret", "token", "key", "credential", "bearer")
+_SECRET_WORDS = ("passw", "passphrase", "pwd", "secret", "token", "key", "credential", "bearer")
 _ASSIGNED = re.compile(
-    r"(?:password|passwd|passphrase|pwd|secret|token|key|credentials?)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([A-Za-z0-9_./+=-]{8,256})",
+    r"(?:password|passwd|passphrase|pwd|secret|token|key|credentials?)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([A-Za-z0-9_./+=-]{8,}+)",
     re.IGNORECASE,
 )
-_LONG_TOKEN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,128}(?![A-Za-z0-9])")
+_LONG_TOKEN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+(?![A-Za-z0-9])")
 _GROUPED = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_NUMBER = re.compile(r"(?<![0-9A-Za-z.+/-])[0-9]{7,30}(?![0-9A-Za-z./-])")
+_NUMBER = re.compile(r"(?<![0-9A-Za-z.+/-])[0-9]{7,}+(?![0-9A-Za-z./-])")
 _STRICT_SECRET = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?:[0-9a-f]{8}){2,8}|eyJ[A-Za-z0-9_.-]{20,}")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
 _WORD = re.compile(r"[A-Za-z]+")
@@ -132,18 +132,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def more_candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Looser spans that keep clear of the base ones and of each other."""
-    if not _DIGIT.search(text):
-        return []
     found = []
     lower = text.lower()
     if any(w in lower for w in _SECRET_WORDS):
         found += [(*m.span(1), "secret") for m in _ASSIGNED.finditer(text)]
-    for m in _LONG_TOKEN.finditer(text):
-        word = m.group()
-        if _DIGIT.search(word) and not word.isdigit():
-            found.append((*m.span(), "account" if _IBAN.fullmatch(word) and _mod97(word) else "secret"))
-    found += [(*m.span(), "account") for m in _GROUPED.finditer(text)]
-    found += [(*m.span(), "account") for m in _NUMBER.finditer(text)]
+    if _DIGIT.search(text):  # none of these does without
+        for m in _LONG_TOKEN.finditer(text):
+            word = m.group()
+            if _DIGIT.search(word) and not word.isdigit():
+                found.append((*m.span(), "account" if _IBAN.fullmatch(word) and _mod97(word) else "secret"))
+        found += [(*m.span(), "account") for m in _GROUPED.finditer(text)]
+        found += [(*m.span(), "account") for m in _NUMBER.finditer(text)]
     clear, ends = [], sorted((a, b) for a, b, _ in taken)
     for a, b, kind in sorted(found, key=lambda s: (s[0], -s[1])):
         if not clear or a >= clear[-1][1]:
