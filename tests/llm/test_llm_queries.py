@@ -63,3 +63,20 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         docs = out
     rows = corpus_pipeline.run(spark, SF).collect()
     assert len(rows) and np.all([r.length > 0 for r in rows])
+
+
+def test_quality_rules_take_frequent_lines_out(spark):
+    def own(i, n):
+        return " ".join("".join(chr(97 + (1000 * i + k) // 26**j % 26) for j in range(6)) for k in range(n))
+
+    text = "\tSmall  PRINT of 2024\n\n{}\r\nsmall print of 1999 \n {} \n"
+    rows = [(i, text.format(own(i, 60), own(500 + i, 5)), "h") for i in range(60)] * 2
+    rows += [(900, "Small print of 2024\n" + own(900, 60), "other"), (901, "Small print of 2024\n" + own(901, 2), "h")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, source string, n_chars long")
+    out = corpus_pipeline.quality_rules(spark, docs, SF)
+    assert out.schema == docs.schema
+    after = out.collect()
+    assert len(after) == 121 and 901 not in {r.doc_id for r in after}
+    for r in after:
+        want = rows[-2][1] if r.doc_id == 900 else f"\n{own(r.doc_id, 60)}\r\n {own(500 + r.doc_id, 5)} \n"
+        assert r.text == want and r.n_chars == len(want)

@@ -116,6 +116,11 @@ def judge(
     min_left_percent: int = MIN_LEFT_PERCENT,
 ) -> DataFrame:
     """``keep`` columns with the counts, base verdict, removed words and final verdict of every row."""
+    return _judged(docs, keep, line_limit, min_left_percent).drop("_gone")
+
+
+def _judged(docs: DataFrame, keep: list[str], line_limit: int, min_left_percent: int) -> DataFrame:
+    """The verdicts, and the hashes of the frequent lines of every row in ``_gone``."""
     keyed = profile(docs, [F.col(c) for c in keep]).withColumn("_row", F.monotonically_increasing_id())
     keyed = materialize(keyed)  # counts and hashes only; fixes the row numbers
     removed = (
@@ -124,7 +129,7 @@ def judge(
         .agg(F.sum("_line.w").alias("_w"), F.count("*").alias("_n"))
         .join(frequent_lines(keyed, line_limit), ["_host", "_h"])
         .groupBy("_row")
-        .agg(F.sum("_w").alias("_w"), F.sum("_n").alias("_n"))
+        .agg(F.sum("_w").alias("_w"), F.sum("_n").alias("_n"), F.collect_list("_h").alias("_gone"))
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     depleted = (F.col("n_removed_words") > 0) & (
@@ -137,22 +142,45 @@ def judge(
             failed.alias("base_failed"),
             F.coalesce("_n", F.lit(0)).cast("bigint").alias("n_frequent_lines"),
             F.coalesce("_w", F.lit(0)).cast("bigint").alias("n_removed_words"),
+            "_gone",
         )
         .withColumn("kept", ~F.col("base_failed") & ~depleted)
     )
 
 
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines whose normalised form has one of the hashes ``gone``; other lines stay as they are."""
+    lines = F.split(text, "\n")
+    normal = F.transform(
+        F.split(F.regexp_replace(F.translate(text, NORMAL_FROM, NORMAL_TO), " +", " "), "\n"), lambda x: F.trim(x)
+    )
+    left = F.filter(
+        F.zip_with(lines, F.transform(normal, _hash), lambda x, h: F.struct(x.alias("x"), h.alias("h"))),
+        lambda s: ~F.array_contains(gone, s["h"]),
+    )
+    return F.when(F.size(gone) > 0, F.array_join(left["x"], "\n")).otherwise(text)
+
+
 def keep_good(docs: DataFrame, line_limit: int = LINE_LIMIT, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
-    """The documents that pass, all columns as they are. The verdict depends on text and host, so it is joined on these."""
-    key, host, good_key, good_host = (free_name(docs, c) for c in ("line_key", "line_host", "good_key", "good_host"))
+    """The documents that pass, without their frequent lines; ``n_chars``, if there, follows the text.
+
+    Verdict and lines depend on text and host, so they are joined on these.
+    """
+    key, host, good_key, good_host, gone, clean = (
+        free_name(docs, c) for c in ("line_key", "line_host", "good_key", "good_host", "gone_lines", "clean")
+    )
     marked = docs.withColumn(key, F.md5(F.coalesce("text", F.lit("")))).withColumn(
         host, F.coalesce(F.col("source"), F.lit(""))
     )
     good = (
-        judge(marked, [key, host], line_limit, min_left_percent)
+        _judged(marked, [key, host], line_limit, min_left_percent)
         .where("kept")
-        .select(F.col(f"`{key}`").alias(good_key), F.col(f"`{host}`").alias(good_host))
-        .distinct()
+        .groupBy(F.col(f"`{key}`").alias(good_key), F.col(f"`{host}`").alias(good_host))
+        .agg(F.coalesce(F.any_value("_gone"), F.array().cast("array<bigint>")).alias(gone))
     )
     same = (F.col(f"`{key}`") == F.col(good_key)) & (F.col(f"`{host}`") == F.col(good_host))
-    return marked.join(good, same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = marked.join(good, same).withColumn(clean, without_lines(F.col("text"), F.col(gone)))
+    changed = {"text": F.col(clean)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.size(gone) > 0, F.length(clean).cast("long")).otherwise(F.col("n_chars"))
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
