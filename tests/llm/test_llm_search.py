@@ -87,6 +87,18 @@ def test_jaccard_join(spark, monkeypatch, seed, block):
     assert kept.columns == docs.columns and kept.count() == groups
 
 
+@pytest.mark.parametrize("seed,block", [(1, 1 << 20), (2, 3000)])
+def test_link_counts(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(jj, "BLOCK_SHINGLES", block)
+    rows = corpus(seed)
+    sets = [shingle_set(t) for _, t in rows]
+    linked = lambda s, t: bool(s) and 100 * len(s & t) >= 85 * len(s | t)
+    want = Counter((d, sum(linked(s, t) for t in sets) - bool(s)) for (d, _), s in zip(rows, sets))
+    got = jj.link_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == want
+    assert len({r.class_id for r in got} - {None}) == len(set(sets) - {frozenset()})
+
+
 def test_jaccard_join_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jj.join(docs).count() == 0 and jj.keep_one(docs).count() == 0

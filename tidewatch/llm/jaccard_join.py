@@ -426,8 +426,8 @@ def _met(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return materialize(possible(pairs, classes, percent)), met.where("member").select("a", "b")
 
 
-def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Signed documents, and (digest, root, component_id) of every class."""
+def _laid_out(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Signed documents, classes, merged regions dealt to tasks, and the sets of their classes."""
     levels = common_levels(docs, words)
     marks = materialize(signed(docs, levels, words, percent))
     classes = materialize(
@@ -450,7 +450,12 @@ def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tup
     more, members = _met(materialize(crowded.select("cid", "n").join(anew, "cid")), percent)
     dealt = materialize(_merged(pairs.unionByName(more), members, classes))
     wanted = classes.select("cid", "first", "digest").join(dealt.select("cid").distinct(), "cid")
-    sets = _again(docs, wanted, lambda: lambda found: found, "set", "long", words)
+    return marks, classes, dealt, _again(docs, wanted, lambda: lambda found: found, "set", "long", words)
+
+
+def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Signed documents, and (digest, root, component_id) of every class."""
+    marks, classes, dealt, sets = _laid_out(docs, words, percent)
     links = _region_links(dealt, sets, percent)
     roots = components(links)
     placed = classes.select("cid", "digest", "first").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
@@ -469,6 +474,57 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     )
 
 
+def counted_links(part: pd.DataFrame, percent: int) -> list[int]:
+    """For every text of one or two blocks (columns cid, block, copies, set) the copies of the texts that it links to.
+
+    All texts are held against all others, by an index of shingles that counts intersections exactly.
+    With two blocks only links across them count.
+    """
+    blocks, copies = part["block"].to_numpy(), part["copies"].to_numpy()
+    sets = [np.asarray(s, np.int64) for s in part["set"]]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    across, out = blocks.min() != blocks.max(), []
+    for at, found in enumerate(sets):
+        lo, hi = (np.searchsorted(values, found, side) for side in ("left", "right"))
+        n = hi - lo
+        places = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(owner[places], minlength=len(sets))
+        linked = 100 * common >= percent * (sizes + sizes[at] - common)
+        linked[at] = False
+        if across:
+            linked &= blocks != blocks[at]
+        out.append(int(copies[linked].sum()))
+    return out
+
+
+def link_counts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, class_id (digest of the set; null without words) and n_links, the other rows that a row links to.
+
+    Every link of different texts is verified, so a group of k near copies costs k * k
+    intersections in its tasks; what they write grows with k alone.
+    """
+    marks, classes, dealt, sets = _laid_out(docs, words, percent)
+    copies = marks.where("n > 0").groupBy("digest").agg(F.count("*").alias("copies"))
+    weighted = materialize(classes.select("cid", "digest").join(copies, "digest"))
+    # Without the pivots that are guests in tasks of other blocks, every pair of texts meets in one task.
+    blocks = dealt.groupBy("g").agg((F.max("q") + 1).alias("blocks"))
+    own = dealt.join(blocks, "g").where(F.col("block") == F.pmod(F.xxhash64(F.lit(1), "cid"), F.col("blocks")))
+    ready = own.select("g", "p", "q", "cid", "block").join(weighted.select("cid", "copies"), "cid").join(sets, "cid")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"cid": part["cid"], "linked": counted_links(part, percent)})
+
+    linked = ready.groupBy("g", "p", "q").applyInPandas(run, "cid long, linked long")
+    summed = weighted.join(linked.groupBy("cid").agg(F.sum("linked").alias("linked")), "cid", "left")
+    counts = summed.select("digest", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return marks.join(counts, "digest", "left").select(
+        "doc_id", F.lower(F.hex("digest")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    )
+
+
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of every component: the smallest id, then the smallest text digest. Texts without words all stay."""
     marks, classes = labelled(docs, words, percent)
