@@ -15,6 +15,7 @@ from tidewatch.llm import (
     line_rules,
     sentencepieces,
     stock_packing,
+    subvector_means,
     token_store,
     url_rules,
     weak_pii,
@@ -213,3 +214,43 @@ FROM d JOIN r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.do
 )
 def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join(documents(spark, folder))
+
+
+def _means_sql(rounds: int = 10) -> str:
+    """The rounds written out one after the other."""
+    parts = [
+        """v AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id,
+         list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), e) - 1 AS c, e FROM v
+  QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id), e) <= 8
+)"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""a{i} AS MATERIALIZED (
+  SELECT v.n, min({{'d': list_sum(list_transform(list_zip(v.e, c{i}.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'c': c}}) AS a
+  FROM v CROSS JOIN c{i} GROUP BY v.n
+)"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""m{i} AS (
+  SELECT a.c AS c, k, sum(e[k]) AS s, count(*) AS m FROM v JOIN a{i} USING (n), range(1, 65) r(k) GROUP BY ALL
+), c{i + 1} AS MATERIALIZED (
+  SELECT c, coalesce(f, e) AS e FROM c{i} LEFT JOIN
+    (SELECT c, list(CAST((s - ((s % m) + m) % m) // m AS BIGINT) ORDER BY k) AS f FROM m{i} GROUP BY c) USING (c)
+)"""
+            )
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance,
+       CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c{rounds}.e, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (n) JOIN c{rounds} ON c = a.c"""
+
+
+@query("op11_subvector_means", _means_sql())
+def op11_subvector_means(spark: SparkSession, folder: str) -> DataFrame:
+    return subvector_means.cluster(table(spark, folder, "embeddings"))
