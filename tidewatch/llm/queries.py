@@ -13,6 +13,7 @@ from tidewatch.llm import (
     kd_search,
     license_index,
     line_rules,
+    lp_best_fit,
     sentencepieces,
     stock_packing,
     subvector_means,
@@ -254,3 +255,8 @@ FROM v JOIN a{rounds} USING (n) JOIN c{rounds} ON c = a.c"""
 @query("op11_subvector_means", _means_sql())
 def op11_subvector_means(spark: SparkSession, folder: str) -> DataFrame:
     return subvector_means.cluster(table(spark, folder, "embeddings"))
+
+
+@query("op12_lp_best_fit")
+def op12_lp_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    return lp_best_fit.pack(documents(spark, folder), tokenizer("word_bpe_49k.json"))

@@ -39,7 +39,7 @@ ROUNDS = 10
 SCALE = 1_024
 SEED = 3
 CHUNK = 4_096  # vectors that share dictionaries; codes fit 16 bits
-EXACT = 2**27  # up to this size of component a squared distance of 64 of them fits a long
+EXACT = 2**61  # up to this sum of squared components a squared distance fits a long
 LONG_MAX = 2**63 - 1
 
 ENCODED = "ids array<long>, width int, sizes array<int>, entries array<long>, codes binary"
@@ -114,7 +114,8 @@ class Chunk:
         """Nearest centroid of every vector and the squared distance from it."""
         middle = np.array(centroids, dtype=object)
         entries = self.entries
-        if max(np.abs(middle).max(), abs(int(entries.min())), abs(int(entries.max()))) <= EXACT:
+        largest = max(np.abs(middle).max(), abs(int(entries.min())), abs(int(entries.max())))
+        if middle.shape[1] * largest**2 <= EXACT:
             middle = middle.astype(np.int64)
         else:
             entries = entries.astype(object)
@@ -134,7 +135,7 @@ class Chunk:
         counts = np.bincount((label[:, None] * size + self.codes).ravel(), minlength=clusters * size)
         counts = counts.reshape(clusters, size, 1)
         entries = self.entries
-        if max(abs(int(entries.min())), abs(int(entries.max()))) > EXACT:
+        if max(abs(int(entries.min())), abs(int(entries.max()))) > LONG_MAX // CHUNK:
             counts, entries = counts.astype(object), entries.astype(object)
         return np.add.reduceat(counts * entries, self.first, axis=1).reshape(clusters, -1)
 
