@@ -15,6 +15,7 @@ from tidewatch.llm import (
     line_rules,
     lp_best_fit,
     sentencepieces,
+    source_divergence,
     stock_packing,
     subvector_means,
     token_store,
@@ -260,3 +261,46 @@ def op11_subvector_means(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_lp_best_fit")
 def op12_lp_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return lp_best_fit.pack(documents(spark, folder), tokenizer("word_bpe_49k.json"))
+
+
+_SHARE = "1 + (1000000000 * CAST({0} + 2 AS HUGEINT)) // ({1} + 2 * terms)"
+
+
+@query(
+    "op13_source_divergence",
+    rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+), t AS (
+  SELECT rid, lang, source, unnest(ts) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= 10
+), size AS (
+  SELECT lang, sum(n) AS total, count(*) AS terms FROM kept GROUP BY lang
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), g AS (
+  SELECT lang, source, coalesce((SELECT sum(n) FROM c WHERE c.lang = s.lang AND c.source = s.source), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) s
+), p AS (
+  SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n, {_SHARE.format("coalesce(c.n, 0)", "g.total")} AS p,
+         {_SHARE.format("kept.n", "size.total")} AS q
+  FROM g JOIN kept USING (lang) JOIN size USING (lang) LEFT JOIN c USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL
+), ranked AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN pairs ON pairs.lang = x.lang AND pairs.source = x.source AND pairs.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM ranked
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM r WHERE part = 'pair' OR rank <= 10""",
+)
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence.audit(documents(spark, folder))
