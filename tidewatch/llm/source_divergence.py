@@ -2,7 +2,7 @@
 
 Terms are counted once per language, source and term (combined in the task before the shuffle), and
 those in too few documents of the language are left out. The kept vocabulary of a language is cut into
-segments by a hash of the term, so that terms times sources stay below ``CELLS``. Inside a
+segments by a hash of the term, as many for each, so that terms times sources of one stay near ``CELLS``. Inside a
 segment terms are reordered by their counts in the most common source, then the next one,
 and so on: equal counts come together. Every source's column is then kept as runs of
 equal counts; for a pair of sources the run boundaries are intersected and the
@@ -18,7 +18,6 @@ item; an empty table gives no row; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,19 +34,20 @@ MIN_DOCUMENTS = 10
 UNIT = 1_000_000_000
 EXTRA = 2
 TOP = 10
-CELLS = 4_000_000  # counts of one segment, about 32 MB
+CELLS = 500_000  # counts of one segment
 HELD_TERMS = 200_000  # counters a task holds before it passes them on
 SAFE = 9_000_000_000  # larger counts times UNIT pass 64 bits
 
 COUNTS = "lang string, source string, term string, n long, docs long"
 PAIRS = "lang string, source string, item string, value long"
 
-_TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+# In UTF-8 every byte of a character beyond ASCII is 0x80 or more: terms are runs of such bytes and letters.
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def terms(text: str) -> list[str]:
-    return _TERM.findall(text.lower() if text.isascii() else text.translate(_LOWER))
+def terms(text: bytes) -> list[bytes]:
+    """Terms of a UTF-8 text, letters A to Z in lower case."""
+    return text.translate(_FOLD).split()
 
 
 def _filled(docs: DataFrame) -> DataFrame:
@@ -57,29 +57,33 @@ def _filled(docs: DataFrame) -> DataFrame:
 def count_terms(docs: DataFrame) -> DataFrame:
     """Occurrences and documents of each term of each group."""
 
-    def batch_of(counts: Counter, documents: Counter) -> pa.RecordBatch:
-        columns = [*zip(*counts)] if counts else [(), (), ()]
-        return pa.RecordBatch.from_arrays(
-            [
-                *[pa.array(c, pa.string()) for c in columns],
+    def flush(groups: dict) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (counts, documents) in groups.items():
+            same = [pa.array([x], pa.string()).take(pa.array(np.zeros(len(counts), np.int32))) for x in (lang, source)]
+            columns = [
+                *same,
+                pa.array(counts.keys(), pa.binary()).cast(pa.string()),
                 pa.array(counts.values(), pa.int64()),
-                pa.array([documents[k] for k in counts], pa.int64()),
-            ],
-            ["lang", "source", "term", "n", "docs"],
-        )
+                pa.array([documents[t] for t in counts], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, documents = Counter(), Counter()
+        groups: dict[tuple, tuple[Counter, Counter]] = {}
+        held = 0
         for batch in chunks(batches):
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found = Counter(terms(text))
-                for term, n in found.items():
-                    counts[lang, source, term] += n
-                    documents[lang, source, term] += 1
-                if len(counts) > HELD_TERMS:
-                    yield batch_of(counts, documents)
-                    counts, documents = Counter(), Counter()
-        yield batch_of(counts, documents)
+            lang, source, text = batch.columns
+            for *group, body in zip(lang.to_pylist(), source.to_pylist(), text.cast(pa.binary()).to_pylist()):
+                counts, documents = groups.setdefault(tuple(group), (Counter(), Counter()))
+                found = terms(body)
+                held -= len(counts)
+                counts.update(found)
+                documents.update(set(found))
+                held += len(counts)
+                if held > HELD_TERMS:
+                    yield from flush(groups)
+                    groups, held = {}, 0
+        yield from flush(groups)
 
     partial = _filled(docs).mapInArrow(run, COUNTS)
     return partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -164,15 +168,15 @@ def divergence(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def pair_values(kept: DataFrame, totals: DataFrame, cells: int = CELLS) -> DataFrame:
     """``(lang, source, item, value)`` of every ordered pair of sources of a language."""
-    sized = totals.groupBy("lang").agg(
-        F.expr(f"1 + (max(kept_terms) * count(*)) div {cells}").alias("segments")
+    sized = totals.groupBy("lang").agg((F.max("kept_terms") * F.count("*")).alias("cells"))
+    segments = 1 + (sized.agg(F.max("cells")).first()[0] or 0) // cells
+    rows = kept.select(
+        "lang", F.pmod(F.xxhash64("term"), F.lit(segments)).cast("long").alias("segment"), "source", "term", "n"
     )
-    segment = F.pmod(F.xxhash64("term"), F.col("segments")).alias("segment")
-    rows = kept.join(sized, "lang").select("lang", segment, "source", "term", "n")
     # Every segment needs all sources of its language, those without a term in it too.
-    heads = totals.join(sized, "lang").select(
+    heads = totals.select(
         "lang",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("segments") - 1)).alias("segment"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(segments - 1).cast("long"))).alias("segment"),
         "source", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"), "total", "kept_terms",
     )
 
