@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import divide_or_zero
 from tidewatch.functions.probability import chi_square_p_value, ks_p_value
-from tidewatch.operators.ordered import moments, quantiles_of, running_totals, unpivot_numeric, value_table
+from tidewatch.operators.ordered import Selection, running_totals, unpivot_numeric
 from tidewatch.operators.quality import describe_numeric, spread_quantiles, value_counts
 
 P_VALUE_LIMIT = 0.05
@@ -64,9 +64,8 @@ def reference_stats(df: DataFrame, numeric: Sequence[str], categorical: Sequence
 
 def baseline_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean, sample std, min, max and five quantiles per column."""
-    values = value_table(df, columns)
-    points = spread_quantiles(quantiles_of(values, list(BASELINE_PROBS.values())), BASELINE_PROBS)
-    return moments(values).drop("count").join(points, "column")
+    chosen = Selection(df, columns, list(BASELINE_PROBS.values()))
+    return chosen.moments().drop("count").join(spread_quantiles(chosen.quantiles(), BASELINE_PROBS), "column")
 
 
 def default_baselines(spark: SparkSession) -> DataFrame:

@@ -1,22 +1,25 @@
 """Running sums, ranks and exact quantiles that never sort a whole column in one task.
 
 A window without a fine PARTITION BY sends all rows to one task. Everything
-that needs a global order here (rank statistics, ROC curves, quantiles, batch
-numbers) goes through :func:`running_totals`: rows are cut into value ranges,
+that needs a whole order here (rank statistics, ROC curves, batch numbers) goes through :func:`running_totals`: rows are cut into value ranges,
 each range is summed on its own, and the range totals (a few thousand rows at
 most) supply the offsets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewatch.session import materialize
+
 MIN_SLOTS = 16
 MAX_SLOTS = 4096
+SMALL_BRACKET = 100_000  # so many distinct values are summed in one task; more are cut into ranges
 
 
 def range_slots(spark: SparkSession) -> int:
@@ -122,41 +125,134 @@ def nan_to_null(value: Column) -> Column:
     return F.nanvl(value, F.lit(None).cast("double"))
 
 
-def value_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, value, n)`` of the non-missing numbers, combined map-side."""
-    return (
-        unpivot_numeric(df, columns)
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("n"))
-    )
-
+class Selection:
+    """Exact quantiles and moments of numeric columns by bracket and refine, in two scans.
 
-def moments(values: DataFrame) -> DataFrame:
-    """``(column, count, mean, std, min, max)`` from a value table, with the sample deviation.
+    The first scan takes the moments and a mergeable sketch, whose guaranteed error gives a bracket
+    around each wanted rank. The second one counts: values outside all brackets are one row
+    a gap, values inside are counted one by one. Only these few are shuffled and ranked. If
+    a rank falls into a gap all the same, the gap becomes a bracket and the scan is repeated.
 
-    Reads the same shuffle as the quantiles of the table, so the source is scanned once.
+    The driver holds one row a column and a few counts a bracket; nothing it holds grows with the rows.
     """
-    n, value = F.col("n"), F.col("value")
-    first = values.groupBy("column").agg(
-        F.sum(n).alias("count"),
-        (F.sum(value * n) / F.sum(n)).alias("mean"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-    )
-    spread = (
-        values.join(F.broadcast(first), "column")  # one row per column
-        .groupBy("column")
-        .agg(F.sum(n * F.pow(value - F.col("mean"), F.lit(2.0))).alias("squares"))
-    )
-    return first.join(F.broadcast(spread), "column").select(
-        "column",
-        "count",
-        "mean",
-        F.when(F.col("count") > 1, F.sqrt(F.col("squares") / (F.col("count") - 1))).alias("std"),
-        "min",
-        "max",
-    )
+
+    def __init__(self, df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = 2_000) -> None:
+        self.spark, self.columns = df.sparkSession, list(columns)
+        self.probs = sorted({float(p) for p in probs})
+        self.clean = df.select(*[nan_to_null(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)])
+        margin = 2 / accuracy  # twice the sketch's own error
+        edges = [min(1.0, max(0.0, p + d)) for p in self.probs for d in (-margin, margin)]
+        found = []
+        for i in range(len(self.columns)):
+            v = F.col(f"v{i}")
+            sketch = [F.percentile_approx(v, edges, F.lit(accuracy)).alias("edges")] if edges else []
+            parts = [F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std")]
+            found.append(F.struct(*parts, F.min(v).alias("min"), F.max(v).alias("max"), *sketch).alias(f"v{i}"))
+        self.stats = list(self.clean.agg(*found).first()) if found else []
+        self.brackets = [self._first_brackets(s) if s["count"] and edges else [] for s in self.stats]
+        self.counted = self.wanted = None
+        while any(self.brackets) and self.wanted is None:
+            self._count()
+
+    def _first_brackets(self, stats) -> list[tuple[float, float]]:
+        spans = []
+        for j, p in enumerate(self.probs):
+            low, high = stats["edges"][2 * j], stats["edges"][2 * j + 1]
+            spans.append((stats["min"] if p <= 0 else low, stats["max"] if p >= 1 else high))
+        return _merged(spans)
+
+    def _count(self) -> None:
+        """Counts by bracket and gap; leaves ``wanted`` empty and wider brackets if a rank fell into a gap."""
+        width = 2 * len(self.probs) + 1  # gaps and brackets of a column take turns
+        cells = []
+        for i, spans in enumerate(self.brackets):
+            v = F.col(f"v{i}")
+            # Even places are gaps, odd ones brackets.
+            place = sum(((v >= lo).cast("int") + (v > hi).cast("int") for lo, hi in spans), F.lit(0))
+            if spans:
+                cells.append(
+                    F.struct(
+                        (place + i * width).alias("column"), v.isNotNull().alias("_there"),
+                        F.when(place % 2 == 1, v).alias("value"),
+                    )
+                )
+        longform = self.clean.select(F.inline(F.array(*cells))).where("_there")
+        self.counted = materialize(longform.groupBy("column", "value").agg(F.count("*").alias("n")))
+        totals = self.counted.groupBy("column").agg(F.sum("n").alias("n"), F.count("value").alias("values")).collect()
+        self.largest = max(r["values"] for r in totals)
+        of_place = {r["column"]: r["n"] for r in totals}
+        wanted, missed = [], False
+        for i, stats in enumerate(self.stats):
+            before, bounds = 0, []
+            for place in range(width):
+                n = of_place.get(i * width + place, 0)
+                bounds.append((before, before + n))
+                before += n
+            for prob in self.probs if self.brackets[i] else ():
+                position = prob * (stats["count"] - 1)
+                for rank in {math.floor(position), math.ceil(position)}:
+                    place = next(k for k, (a, b) in enumerate(bounds) if a <= rank < b)
+                    if place % 2 == 0:
+                        spans = self.brackets[i]
+                        low = spans[place // 2 - 1][1] if place else stats["min"]
+                        high = spans[place // 2][0] if place // 2 < len(spans) else stats["max"]
+                        self.brackets[i] = _merged([*spans, (low, high)])
+                        missed = True
+                        break
+                    name = self.columns[i]
+                    share = position - math.floor(position)
+                    wanted.append((i * width + place, name, prob, rank - bounds[place][0], share, rank == math.floor(position)))
+                else:
+                    continue
+                break  # the places of this column have moved
+        if not missed:
+            self.wanted = wanted
+
+    def moments(self) -> DataFrame:
+        """``(column, count, mean, std, min, max)`` with the sample deviation; no row for a column without values."""
+        rows = [(c, *s[:5]) for c, s in zip(self.columns, self.stats) if s["count"]]
+        schema = "column string, count long, mean double, std double, min double, max double"
+        return self.spark.createDataFrame(rows, schema)
+
+    def quantiles(self) -> DataFrame:
+        """``(column, prob, value)`` with linear interpolation; no row for a column without values."""
+        if not self.wanted:
+            return self.spark.createDataFrame([], "column string, prob double, value double")
+        schema = "column int, name string, prob double, rank long, part double, lower boolean"
+        wanted = self.spark.createDataFrame(self.wanted, schema)
+        inside = self.counted.where(F.col("value").isNotNull())
+        if self.largest <= SMALL_BRACKET:
+            inside = inside.withColumn("run_n", F.sum("n").over(Window.partitionBy("column").orderBy("value")))
+        else:
+            inside = running_totals(inside, "value", ["n"], by=["column"])
+        rank = F.col("rank")
+        return (
+            inside.join(F.broadcast(wanted), "column")  # two rows a column and quantile
+            .where((F.col("run_n") - F.col("n") <= rank) & (rank < F.col("run_n")))
+            .groupBy(F.col("name").alias("column"), "prob")
+            .agg(
+                F.max("part").alias("part"),
+                F.max(F.when(F.col("lower"), F.col("value"))).alias("low"),
+                F.max(F.when(~F.col("lower"), F.col("value"))).alias("high"),
+            )
+            .select(
+                "column", "prob",
+                # A rank that is whole has no higher neighbour.
+                F.when(F.col("high").isNull() | (F.col("high") == F.col("low")), F.col("low"))
+                .otherwise(F.col("low") + F.col("part") * (F.col("high") - F.col("low"))).alias("value"),
+            )
+        )
+
+
+def _merged(spans: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Disjoint spans in order; those that touch become one."""
+    out: list[tuple[float, float]] = []
+    for low, high in sorted(spans):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
 
 
 def quantiles(
@@ -164,12 +260,11 @@ def quantiles(
 ) -> DataFrame:
     """Quantiles with linear interpolation, one row per ``(column, prob)``.
 
-    Exact: values are counted (combined map-side), the distinct values ranked
-    range by range, and the rows around each position kept. ``approx=True``
-    uses Spark's mergeable sketch instead and shuffles no values.
+    Exact ones come from a :class:`Selection`. ``approx=True`` reads Spark's mergeable sketch
+    alone, in one scan.
     """
     if not approx:
-        return quantiles_of(value_table(df, columns), probs)
+        return Selection(df, columns, probs).quantiles()
     clean = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
     picked = clean.agg(*[F.percentile_approx(c, list(probs), F.lit(10_000)).alias(c) for c in columns])
     rows = [
@@ -180,43 +275,6 @@ def quantiles(
     return picked.select(F.inline(F.array(*rows)))
 
 
-def quantiles_of(values: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """Exact quantiles of a value table."""
-    # A value covers the 0-based ranks run_n - n .. run_n - 1; position p lies between
-    # the ranks floor(p) and ceil(p).
-    first, after = F.col("run_n") - F.col("n"), F.col("run_n")
-    at = [F.lit(float(p)) * (F.col("all_n") - 1) for p in probs]
-    hits = F.filter(
-        F.array(
-            *[
-                F.when(
-                    (p > first - 1) & (p < after),
-                    F.struct(
-                        F.lit(float(prob)).alias("prob"),
-                        (p - F.floor(p)).alias("part"),
-                        F.when(p >= first, F.col("value")).alias("low"),
-                        F.when(p <= after - 1, F.col("value")).alias("high"),
-                    ),
-                )
-                for prob, p in zip(probs, at)
-            ]
-        ),
-        lambda h: h.isNotNull(),
-    )
-    # Most values cover no wanted rank: they are dropped before the rows multiply.
-    wanted = F.lit(False)
-    for p in at:
-        wanted = wanted | ((p > first - 1) & (p < after))
-    return (
-        running_totals(values, "value", ["n"], by=["column"])
-        .where(wanted)
-        .select("column", F.inline(hits))
-        .groupBy("column", "prob")
-        .agg(F.max("part").alias("part"), F.max("low").alias("low"), F.max("high").alias("high"))
-        .select("column", "prob", (F.col("low") + F.col("part") * (F.col("high") - F.col("low"))).alias("value"))
-    )
-
-
 def quantile_row(df: DataFrame, columns: Sequence[str], prob: float, approx: bool = False) -> DataFrame:
     """The same quantile of several columns as one wide row ``q_<column>``."""
     return quantiles(df, columns, [prob], approx).agg(

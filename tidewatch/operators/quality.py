@@ -11,14 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidewatch.operators.ordered import (
-    moments,
-    nan_to_null,
-    quantiles,
-    quantiles_of,
-    unpivot_numeric,
-    value_table,
-)
+from tidewatch.operators.ordered import Selection, nan_to_null, quantiles, unpivot_numeric
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
@@ -124,12 +117,12 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False)
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, sample std, min, quartiles, max per column, from one scan."""
-    values = value_table(df, columns)
+    """count, mean, sample std, min, quartiles, max per column."""
+    chosen = Selection(df, columns, list(QUARTILES.values()))
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    points = spread_quantiles(quantiles_of(values, list(QUARTILES.values())), QUARTILES)
+    points = spread_quantiles(chosen.quantiles(), QUARTILES)
     return (
-        names.join(moments(values), "column", "left")  # empty columns keep a row
+        names.join(chosen.moments(), "column", "left")  # empty columns keep a row
         .join(points, "column", "left")
         .select("column", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min", "q25", "q50", "q75", "max")
     )
