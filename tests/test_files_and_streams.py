@@ -65,6 +65,13 @@ def test_degradation_state_spans_batches(spark, history):
     assert plain_history(got) == plain_history(want)
 
 
+def test_a_closed_source_lets_its_newest_rows_out(spark, history, tmp_path):
+    path, df = history
+    compare = lambda s: jobs.degradation_stream(jobs.event_time(s, "day", "3 days"), "model", "day")
+    got = jobs.run_closed(path, "day", compare, spark, str(tmp_path / "closed"))
+    assert plain_history(got) == plain_history(monitoring.degradation(df, ["model"], "day"))
+
+
 def test_late_batches_are_compared_in_order(spark, history, tmp_path):
     _, df = history
     path, folder = str(tmp_path / "late"), str(tmp_path / "job")

@@ -154,18 +154,19 @@ def _(spark, folder):
 @query(
     "s7_degradation_stream",
     f"""WITH {ORDER_SCORES}, {PERFORMANCE} SELECT model_version, strftime(batch_month, '%Y-%m-%d %H:%M:%S') AS batch_month,
-    round(accuracy, 6) AS accuracy, round(recent, 6) AS recent_accuracy, degraded FROM degr
-    WHERE batch_month < (SELECT max(batch_month) FROM degr)""",
+    round(accuracy, 6) AS accuracy, round(recent, 6) AS recent_accuracy, degraded FROM degr""",
 )
 def _(spark, folder):
-    # The newest month still waits when the job ends: only the watermark of a later one closes it.
     history = batch_performance(
         scored_orders(spark, folder), ["model_version", "batch_month"], "p", "actual"
     ).withColumn("batch_month", F.col("batch_month").cast("timestamp_ntz"))
     path = scratch_path(spark, "history")
     history.write.parquet(path)
-    stream = jobs.event_time(spark.readStream.schema(history.schema).parquet(path), "batch_month", "0 seconds")
-    return jobs.run_to_files(jobs.degradation_stream(stream, "model_version", "batch_month"), spark)
+
+    def compare(stream):
+        return jobs.degradation_stream(jobs.event_time(stream, "batch_month", "0 seconds"), "model_version", "batch_month")
+
+    return jobs.run_closed(path, "batch_month", compare, spark)
 
 
 @query(

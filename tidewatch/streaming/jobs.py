@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.functions import columns as C
 from tidewatch.functions.schema import Field
@@ -239,47 +239,97 @@ def join_late_outcomes(
 
 
 DEGRADED_SCHEMA = "{by} string, {order} timestamp, accuracy double, recent_accuracy double, degraded boolean"
-ACCURACY_STATE = "recent array<double>, times array<bigint>, waiting array<double>"
 MICROSECOND = pd.Timedelta(microseconds=1)
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def degradation_stream(stream: DataFrame, by: str, order: str, drop: float = monitoring.ACCURACY_DROP) -> DataFrame:
-    """Compare each batch of a model with its last ten accuracies, in order of event time.
+class Degradation(StatefulProcessor):
+    """Compares the accuracies of one model with the ten before them, in order of event time.
 
-    The stream needs a watermark on ``order`` (see ``event_time``). An accuracy waits in state
-    until the watermark has passed it, so batches that arrive late within the allowed
-    time are compared with the ten before them and not with newer ones. State holds ten
-    accuracies and what waits.
+    Two lists are kept: what waits for the watermark, and the newest accuracies that have passed it. A
+    timer for each event time wakes the model once the watermark has passed it.
     """
-    keep = monitoring.HISTORY_BATCHES
-
-    def compare(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent, times, waiting = (list(x) for x in state.get) if state.exists else ([], [], [])
-        if not state.hasTimedOut:
-            for rows in batches:
-                times += ((rows[order] - pd.Timestamp(0)) // MICROSECOND).tolist()
-                waiting += rows["accuracy"].astype(float).tolist()
-        watermark = state.getCurrentWatermarkMs()
-        queue = sorted(zip(times, waiting))
-        ready = [x for x in queue if x[0] < watermark * 1000]
-        later = queue[len(ready) :]
-        out = []
+
+    def __init__(self, by: str, order: str, drop: float) -> None:
+        self.by, self.order, self.drop = by, order, drop
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "time bigint, accuracy double")
+        self.recent = handle.getListState("recent", "accuracy double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            times = ((part[self.order] - pd.Timestamp(0)) // MICROSECOND).tolist()
+            self.waiting.appendList(list(zip(times, part["accuracy"].astype(float).tolist())))
+            for time in set(times):
+                self.handle.registerTimer(time // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        queue = sorted(tuple(r) for r in self.waiting.get())
+        ready = [x for x in queue if x[0] < passed]
+        if not ready:
+            return  # an earlier timer of the same watermark has done it
+        recent, out = [r[0] for r in self.recent.get()], []
         for time, accuracy in ready:
             mean = sum(recent) / len(recent) if recent else None
-            out.append((key[0], time, accuracy, mean, mean is not None and accuracy < mean - drop))
-            recent = (recent + [accuracy])[-keep:]
-        state.update((recent, [t for t, _ in later], [a for _, a in later]))
-        if later:
-            state.setTimeoutTimestamp(max(later[0][0] // 1000, watermark) + 1)
-        found = pd.DataFrame(out, columns=[by, order, "accuracy", "recent_accuracy", "degraded"])
-        found[order] = pd.to_datetime(found[order].astype("int64"), unit="us")
+            out.append((key[0], time, accuracy, mean, mean is not None and accuracy < mean - self.drop))
+            recent = (recent + [accuracy])[-monitoring.HISTORY_BATCHES :]
+        self.recent.put([(a,) for a in recent])
+        self.waiting.clear()
+        if len(ready) < len(queue):
+            self.waiting.put(queue[len(ready) :])
+        found = pd.DataFrame(out, columns=[self.by, self.order, "accuracy", "recent_accuracy", "degraded"])
+        found[self.order] = pd.to_datetime(found[self.order].astype("int64"), unit="us")
         found["recent_accuracy"] = found["recent_accuracy"].astype("float64")
         yield found
 
-    return stream.select(by, order, "accuracy").groupBy(by).applyInPandasWithState(
-        compare,
-        DEGRADED_SCHEMA.format(by=by, order=order),
-        ACCURACY_STATE,
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
+    def close(self) -> None:
+        pass
+
+
+def degradation_stream(stream: DataFrame, by: str, order: str, drop: float = monitoring.ACCURACY_DROP) -> DataFrame:
+    """Compare each batch of a model with its last ten accuracies, in order of event time.
+
+    The stream needs a watermark on ``order`` (see ``event_time``). An accuracy waits in state
+    until the watermark has passed it, so batches that arrive late within the allowed
+    time are compared with the ten before them and not with newer ones. State lives in RocksDB
+    and holds ten accuracies and what waits; ``run_closed`` lets the newest ones out of a bounded source.
+    """
+    stream.sparkSession.conf.set(STATE_PROVIDER, ROCKSDB)  # the only store with lists and timers
+    return stream.select(by, order, "accuracy").groupBy(by).transformWithStateInPandas(
+        Degradation(by, order, drop), DEGRADED_SCHEMA.format(by=by, order=order), "append", "eventTime"
     )
+
+
+def run_closed(
+    path: str, order: str, build: Callable[[DataFrame], DataFrame], spark: SparkSession, folder: str | None = None
+) -> DataFrame:
+    """Run over a folder of files that will not grow any more, and let out what waits for the watermark.
+
+    The source is read to its end first. Then a row without a key, later than all others, comes through a
+    second folder, and the job goes on from its checkpoint: the watermark passes every real row,
+    the added one itself stays in state.
+    """
+    folder = folder or scratch_path(spark, "closed")
+    ends = f"{folder}/end"
+    known = spark.read.parquet(path)
+    known.limit(0).write.mode("overwrite").parquet(ends)
+
+    def job() -> DataFrame:
+        files = spark.readStream.schema(known.schema)
+        # Joined before the watermark is set, so that one watermark covers both.
+        return run_to_files(build(files.parquet(path).unionByName(files.parquet(ends))), spark, folder)
+
+    job()
+    last = known.agg(F.max(order).alias(order)).where(F.col(order).isNotNull())
+    last.select(
+        *[
+            (F.col(order) + F.expr("INTERVAL 400 DAYS") if f.name == order else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in known.schema.fields
+        ]
+    ).write.mode("overwrite").parquet(ends)
+    return job()
