@@ -2,11 +2,12 @@ import datetime as dt
 import json
 
 import pytest
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import functions as F
 
 from tidewatch.functions.schema import NUMERIC, Field
-from tidewatch.operators import drift, monitoring
+from tidewatch.operators import drift, modeling, monitoring
+from tidewatch.operators.registry import ModelRegistry
 from tidewatch.operators.scoring import score_linear
 from tidewatch.session import materialize, scratch_path, shared_folder
 from tidewatch.sources import files, prediction_log
@@ -151,3 +152,36 @@ def test_monitored_batches_are_compared_with_earlier_ones(spark, tmp_path):
     assert abs(got[3].degradation_amount - 0.4) < 1e-9
     kinds = {(r.batch_id, r.type) for r in spark.read.parquet(f"{alerts}/*").collect()}
     assert (3, "PERFORMANCE_DEGRADATION") in kinds and (2, "PERFORMANCE_DEGRADATION") not in kinds
+
+
+def test_a_new_champion_takes_over_between_batches(spark, tmp_path):
+    fields = [Field("x", NUMERIC, low=0, high=10)]
+    store = ModelRegistry(spark, str(tmp_path / "registry"))
+    row = spark.range(1).select(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("created"))
+
+    def model(cut):
+        rows = spark.range(40).select((F.col("id") / 4).alias("x"), (F.col("id") / 4 > cut).cast("int").alias("label"))
+        pre = modeling.fit_preprocessor(rows, ["x"], [])
+        return modeling.assemble(pre, modeling.logistic(40).fit(pre.transform(rows)))
+
+    source, folder = str(tmp_path / "source"), str(tmp_path / "job")
+    requests = spark.createDataFrame([(1, "1"), (2, "9"), (3, "11"), (4, None), (5, "many")], "id int, x string")
+
+    def serve():
+        requests.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(requests.schema).parquet(source)
+        return jobs.score_with_champion(stream, spark, store, fields, "x", folder)
+
+    with pytest.raises(StreamingQueryException, match="no champion"):
+        serve()
+    store.register_model(model(5), row, "v1", "2024-01-01 00:00:00")
+    stream = spark.readStream.schema(requests.schema).parquet(source)
+    jobs.score_with_champion(stream, spark, store, fields, "x", folder)
+    store.register_model(model(8), row, "v2", "2024-01-02 00:00:00")
+    scored, rejected = serve()
+    got = {(r.model_version, r.id): r.prediction for r in spark.read.parquet(scored).collect()}
+    assert got == {("v1", 1): 0, ("v1", 2): 1, ("v2", 1): 0, ("v2", 2): 1}
+    ps = {(r.model_version, r.id): r.churn_probability for r in spark.read.parquet(scored).collect()}
+    assert ps["v1", 2] != ps["v2", 2]
+    reasons = {r.id: r.reasons for r in spark.read.parquet(rejected).where("batch = 1").collect()}
+    assert reasons == {3: ["x: above maximum"], 4: ["x: null"], 5: ["x: not numeric"]}

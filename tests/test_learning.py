@@ -149,6 +149,26 @@ def test_models(spark, labelled, tmp_path):
     assert len(folds) == 3 and folds[0].min_score <= folds[0].mean_score <= folds[0].max_score
 
 
+def test_first_trees_are_the_shorter_fit_and_stages_score_as_separate_fits(spark):
+    rows = spark.range(400).select(
+        "id", (F.hash("id") % 100 / 50.0).alias("a"), (F.hash(F.col("id") + 7) % 100 / 50.0).alias("b")
+    )
+    noisy = F.col("a") + F.col("b") + (F.hash(F.col("id") * 3) % 10) / 20.0 > 0
+    rows = modeling.VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows.withColumn("label", noisy.cast("int")))
+    rows = rows.coalesce(1).cache()
+    trees = modeling.boosted()
+    trees.setParams(subsamplingRate=0.8, maxDepth=2)
+    long, short = trees.fit(rows, {trees.maxIter: 6}), trees.fit(rows, {trees.maxIter: 3})
+    scores = lambda m: [r.p for r in m.transform(rows).orderBy("id").select(vector_to_array("probability").alias("p")).collect()]
+    assert scores(modeling.first_trees(long, 3)) == scores(short) != scores(long)
+    grid = [{trees.maxIter: n, trees.maxDepth: d} for n in (2, 4) for d in (1, 2)]
+    staged = modeling.tune_staged(trees, grid, rows, "label", "id", folds=2)
+    separate = modeling.grid_results(modeling.tune(trees, grid, rows, "label", "id", folds=2), spark)
+    for a, b in zip(staged.collect(), separate.collect()):
+        assert a.parameters == b.parameters and a.fit_seconds > 0
+        assert (a.mean_score, a.std_score) == pytest.approx((b.mean_score, b.std_score))
+
+
 def test_default_grid():
     assert len(modeling.default_grid(modeling.boosted())) == 36
 

@@ -223,9 +223,7 @@ def _(spark, folder):
     return validation.batch_rules(parsed_subscribers(spark, folder))
 
 
-@query(
-    "b10_valid_rejected",
-    f"""WITH {PARSED}, r AS (SELECT *, list_filter([
+ROUTED = f"""{PARSED}, r AS (SELECT *, list_filter([
       CASE WHEN tenure IS NULL THEN 'tenure: null' END, CASE WHEN tenure < 0 THEN 'tenure: below minimum' END,
       CASE WHEN tenure > 100 THEN 'tenure: above maximum' END,
       CASE WHEN "MonthlyCharges" IS NULL THEN 'MonthlyCharges: null' END,
@@ -234,7 +232,12 @@ def _(spark, folder):
       CASE WHEN "TotalCharges" IS NULL THEN 'TotalCharges: null' END,
       CASE WHEN "TotalCharges" < 0 THEN 'TotalCharges: below minimum' END,
       CASE WHEN "TotalCharges" > 10000 THEN 'TotalCharges: above maximum' END], lambda x: x IS NOT NULL) AS reasons
-      FROM parsed)
+      FROM parsed)"""
+
+
+@query(
+    "b10_valid_rejected",
+    f"""WITH {ROUTED}
     SELECT customer_id, CASE WHEN len(reasons) = 0 THEN 'valid' ELSE 'rejected' END AS route,
       array_to_string(reasons, '; ') AS reasons FROM r""",
 )

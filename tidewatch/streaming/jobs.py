@@ -11,13 +11,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.functions import columns as C
 from tidewatch.functions.schema import Field
-from tidewatch.operators import drift, monitoring
+from tidewatch.operators import drift, modeling, monitoring
+from tidewatch.operators.registry import ModelRegistry
 from tidewatch.operators.scoring import add_bands
 from tidewatch.operators.validation import split_requests
 from tidewatch.session import materialize, scratch_path, use_utc
@@ -96,6 +98,45 @@ def route_valid_rejected(
     return valid_path, rejected_path
 
 
+def score_with_champion(
+    stream: DataFrame,
+    spark: SparkSession,
+    registry: ModelRegistry,
+    fields: Sequence[Field],
+    monthly: str,
+    folder: str | None = None,
+) -> tuple[str, str]:
+    """Check requests as they arrive and score the valid ones with the champion of the moment.
+
+    The registry is asked at the start of every micro-batch, so a new champion takes over with the next
+    batch and without a restart; each row says which version scored it. Requests that
+    break a limit, or lack a number, go to the second folder with their reasons; text numbers are parsed.
+    Returns the folders of scored and of rejected rows.
+    """
+    folder = folder or scratch_path(spark, "served")
+    scored_path, rejected_path = f"{folder}/scored", f"{folder}/rejected"
+    loaded: dict[str, PipelineModel] = {}
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        champion = registry.champion().select("version", "model_path").head()
+        if champion is None:
+            raise ValueError("no champion is set")
+        if champion.model_path not in loaded:
+            loaded.clear()  # one version in memory at a time
+            loaded[champion.model_path] = PipelineModel.load(champion.model_path)
+        batch.persist()
+        valid, rejected = split_requests(batch, fields)
+        model = loaded[champion.model_path]
+        scored = score_stream(valid, lambda rows: modeling.score(model, rows, fields), "churn_probability", monthly)
+        scored = scored.withColumn("model_version", F.lit(champion.version))
+        scored.write.mode("overwrite").parquet(f"{scored_path}/batch={batch_id}")
+        rejected.write.mode("overwrite").parquet(f"{rejected_path}/batch={batch_id}")
+        batch.unpersist()
+
+    run_batches(stream, folder, write)
+    return scored_path, rejected_path
+
+
 def _window_aggregates(p: str) -> list:
     prob = F.col(p)
     return [
