@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from tidewatch.llm import jaccard_join, line_rules, weak_pii
-from tidewatch.llm.queries import ORACLES, QUERIES
+from tidewatch.llm.queries import ORACLES, QUERIES, line_rules_sql
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,7 +58,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             kept = {r.doc_id for r in line_rules.judge(docs, ["doc_id"]).where("kept").collect()}
             assert set(after) == kept
         if name == "near_duplicates":
-            roots = {r.doc_id: r.component_id for r in jaccard_join.join(docs).collect()}
+            roots = {r.doc_id: r.component_id for r in jaccard_join.join(docs, words=5, percent=80).collect()}
             assert set(after) == {d for d, c in roots.items() if d == c}
         docs = out
     rows = corpus_pipeline.run(spark, SF).collect()
@@ -80,3 +80,18 @@ def test_quality_rules_take_frequent_lines_out(spark):
     for r in after:
         want = rows[-2][1] if r.doc_id == 900 else f"\n{own(r.doc_id, 60)}\r\n {own(500 + r.doc_id, 5)} \n"
         assert r.text == want and r.n_chars == len(want)
+
+
+def test_line_rules_match_sql_where_lines_are_removed(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    for limit in (0, 2):
+        df = line_rules.judge(spark.read.parquet(path), ["doc_id"], line_limit=limit)
+        cursor = con.execute(line_rules_sql(limit))
+        names = [d[0] for d in cursor.description]
+        got = sorted(tuple(r[c] for c in names) for r in df.collect())
+        assert got == sorted(cursor.fetchall())
+        assert any(r[names.index("n_frequent_lines")] > 0 for r in got)
+        if limit == 0:  # all lines count as frequent: whole texts are depleted
+            assert any(not r[names.index("kept")] and not r[names.index("base_failed")] for r in got)

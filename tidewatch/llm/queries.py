@@ -81,9 +81,9 @@ def op3_url_rules(spark: SparkSession, folder: str) -> DataFrame:
 _SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
-@query(
-    "op9_line_rules",
-    rf"""
+def line_rules_sql(limit: int = line_rules.LINE_LIMIT) -> str:
+    """The line rules with another limit, for tests on small tables."""
+    return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents
 ), w AS (
@@ -99,17 +99,13 @@ WITH d AS (
 ), r AS (
   SELECT rid, count(DISTINCT i + k) AS n_repeat FROM g, (VALUES (0), (1), (2)) s(k) WHERE n > 1 GROUP BY rid
 ), h AS (
-  SELECT rid, host, list_transform(norm, lambda x: substr(md5(x), 1, 15)) AS hs,
+  SELECT rid, host, md5(t) AS doc, list_transform(norm, lambda x: md5(x)) AS hs,
          list_transform(norm, lambda x: len(string_split(x, ' '))) AS ln
   FROM w
 ), lines AS (
-  SELECT rid, host, unnest(hs) AS x, unnest(ln) AS n,
-         list_slice(list_sort(list_distinct(hs)), 1, 3) AS head
-  FROM h
-), families AS (
-  SELECT DISTINCT host, x, list_slice(list_filter(head, lambda y: y <> x), 1, 2) AS others FROM lines
+  SELECT rid, host, doc, unnest(hs) AS x, unnest(ln) AS n FROM h
 ), frequent AS (
-  SELECT host, x FROM families GROUP BY host, x HAVING count(*) > {line_rules.LINE_LIMIT}
+  SELECT host, x FROM lines GROUP BY host, x HAVING count(DISTINCT doc) > {limit}
 ), gone AS (
   SELECT rid, sum(n) AS words, count(*) AS n_lines FROM lines JOIN frequent USING (host, x) GROUP BY rid
 ), out AS (
@@ -125,8 +121,10 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
        AND NOT (n_removed_words > 0 AND 100 * (n_words - n_removed_words) < {line_rules.MIN_LEFT_PERCENT} * n_words)
          AS kept
-FROM out""",
-)
+FROM out"""
+
+
+@query("op9_line_rules", line_rules_sql())
 def op9_line_rules(spark: SparkSession, folder: str) -> DataFrame:
     return line_rules.judge(documents(spark, folder), ["doc_id"])
 
