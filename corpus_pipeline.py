@@ -7,7 +7,7 @@ read again for the next stage. All stages but the last return the columns of
 
 1. ``quality_classifier`` drops documents that the additive model scores below its threshold.
 2. ``quality_rules`` drops documents that fail the word rules or whose lines are mostly shared.
-3. ``near_duplicates`` keeps one document of every component of similar ones.
+3. ``near_duplicates`` keeps one document of every component of similar ones (five words, 0.8 or more).
 4. ``personal_data`` masks personal data and secrets in the texts.
 5. ``packing`` cuts the documents into pieces and packs them into sequences.
 """
@@ -33,7 +33,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, words=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
