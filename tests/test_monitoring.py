@@ -150,3 +150,41 @@ def test_a_failing_check_is_reported(spark):
     assert (rows["b"].severity, rows["b"].message) == ("error", "Check failed: RuntimeError: no connection")
     status = monitoring.overall_status(monitoring.health_check(spark, {"a": fine, "b": broken})).first()
     assert status.overall_status == "unhealthy"
+
+
+def test_long_history_of_any_spacing_equals_the_plain_window(spark, monkeypatch):
+    monkeypatch.setattr(monitoring, "CHUNK", 40)
+    df = spark.range(500).select(
+        F.when(F.col("id") % 10 == 0, F.lit(None)).otherwise(F.lit("m")).alias("model"),
+        (F.col("id") * F.col("id") * 20 + F.hash("id") % 7).alias("at"),
+        (F.pmod(F.hash(F.col("id") + 1), F.lit(100)) / 100).alias("accuracy"),
+    )
+    rows = lambda d: sorted(
+        (str(r.model), r.at, r.accuracy, round(r.recent_accuracy or -1, 9), r.degraded) for r in d.collect()
+    )
+    long = monitoring.degradation(df, ["model"], "at", long=True)
+    assert rows(long) == rows(monitoring.degradation(df, ["model"], "at"))
+    assert long.columns == [*df.columns, "recent_accuracy", "degraded", "degradation_amount"]
+
+
+def test_rolling_stats_by_time_bucket_equal_the_plain_window(spark):
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    log = spark.range(400).select(
+        F.lit("one").alias("m"),
+        (start + F.make_dt_interval(secs=F.pmod(F.hash("id"), F.lit(400_000)).cast("decimal(18,6)"))).alias("t"),
+        (F.col("id") % 9).alias("batch_size"),
+        F.struct((F.col("id") % 5 / 4).alias("positive_rate")).alias("prediction_stats"),
+    )
+    got = sorted(tuple(r) for r in monitoring.rolling_stats(log, ["m"], "t", 6).collect())
+    seen = [(r.t, r.batch_size, r.prediction_stats.positive_rate) for r in log.collect()]
+    assert len(got) == 400
+    for m, t, total, count, rate in got:
+        near = [x for x in seen if 0 <= (t - x[0]).total_seconds() < 6 * 3600]
+        assert (total, count) == (sum(x[1] for x in near), len(near))
+        assert rate == pytest.approx(sum(x[2] for x in near) / len(near))
+
+
+def test_newest_rows_of_equal_time_are_the_same_each_time(spark):
+    df = spark.createDataFrame([("a", 1, i) for i in range(50)], "g string, t int, v int")
+    for parts in (1, 7):
+        assert {r.v for r in monitoring.newest_per_group(df.repartition(parts), ["g"], "t", 3).collect()} == {47, 48, 49}

@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidewatch.functions.columns import HIGH_RISK, MEDIUM_RISK, divide_or_zero, hard_label
@@ -105,34 +106,48 @@ def batch_performance(df: DataFrame, by: Sequence[str], p: str, actual: str) ->
     return df.groupBy(*by).agg(F.count("*").alias("n"), *threshold_performance(F.col(p), F.col(actual)))
 
 
+def with_halo(df: DataFrame, bucket: Column, carried: Column) -> DataFrame:
+    """Rows with ``_bucket`` and ``_own``; those ``carried`` stand once more, not owned, in the bucket after theirs."""
+    own = F.struct(bucket.alias("bucket"), F.lit(True).alias("own"))
+    again = F.struct((bucket + 1).alias("bucket"), F.lit(False).alias("own"))
+    places = F.when(carried, F.array(own, again)).otherwise(F.array(own))
+    return df.withColumn("_place", F.explode(places)).select(
+        *df.columns, F.col("_place.bucket").alias("_bucket"), F.col("_place.own").alias("_own")
+    )
+
+
 def degradation(
-    history: DataFrame, by: Sequence[str], order: str, drop: float = ACCURACY_DROP, dense: bool = False
+    history: DataFrame,
+    by: Sequence[str],
+    order: str,
+    drop: float = ACCURACY_DROP,
+    dense: bool = False,
+    long: bool = False,
 ) -> DataFrame:
     """Compare each batch's accuracy with the mean of the previous ten; the first is never degraded.
 
-    ``dense=True`` says that ``order`` counts 1, 2, 3… within ``by``: the
-    history is then cut into chunks that carry the last ten batches of the
-    chunk before, so that a very long history is not one task.
+    ``dense=True`` says that ``order`` counts 1, 2, 3… within ``by``; ``long=True`` numbers batches of any
+    spacing first, range by range. Either way the history is cut into chunks that carry
+    the last ten batches of the chunk before, so that a very long history is not one task.
     """
     by = list(by)
-    if dense:
-        chunk = F.floor(F.col(order) / CHUNK)
-        tail = F.col(order) % CHUNK >= CHUNK - HISTORY_BATCHES
-        placed = history.withColumn(
-            "_place",
-            F.explode(
-                F.when(
-                    tail,
-                    F.array(
-                        F.struct(chunk.alias("chunk"), F.lit(True).alias("own")),
-                        F.struct((chunk + 1).alias("chunk"), F.lit(False).alias("own")),
-                    ),
-                ).otherwise(F.array(F.struct(chunk.alias("chunk"), F.lit(True).alias("own"))))
-            ),
-        ).select(*history.columns, F.col("_place.chunk").alias("_chunk"), F.col("_place.own").alias("_own"))
-        groups = [*by, "_chunk"]
+    number = F.col(order)
+    if long:
+        key = [F.struct(*by).alias("_key")] if by else []  # a struct compares null keys as equal
+        counts = history.groupBy(*key, F.col(order).alias("_at")).agg(F.count("*").alias("_n"))
+        numbers = running_totals(counts, "_at", ["_n"], ["_key"] if by else []).withColumnRenamed("run__n", "_number")
+        same = F.col(order) == F.col("_at")
+        if by:
+            same = same & (F.struct(*by) == F.col("_key"))
+        columns, number = history.columns, F.col("_number")
+        history = history.join(numbers, same).select(*columns, "_number")
+    if dense or long:
+        tail = number % CHUNK >= CHUNK - HISTORY_BATCHES
+        placed, groups = with_halo(history, F.floor(number / CHUNK), tail), [*by, "_bucket"]
     else:
         placed, groups = history.withColumn("_own", F.lit(True)), by
+    if long:
+        history = history.drop("_number")
     previous = Window.partitionBy(*groups).orderBy(order).rowsBetween(-HISTORY_BATCHES, -1)
     recent = F.avg("accuracy").over(previous)
     return (
@@ -159,8 +174,11 @@ def newest(df: DataFrame, ts: str, n: int, *tie: str) -> DataFrame:
     return df.orderBy(F.col(ts).desc(), *[F.col(c).desc() for c in tie]).limit(n)
 
 
-def newest_per_group(df: DataFrame, by: Sequence[str], ts: str, n: int) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy(F.col(ts).desc())
+def newest_per_group(df: DataFrame, by: Sequence[str], ts: str, n: int, *tie: str) -> DataFrame:
+    """The newest n rows of each group; rows of equal time by ``tie``, or else by all their sortable columns."""
+    plain = (T.AtomicType, T.NullType)
+    tie = tie or tuple(f.name for f in df.schema.fields if isinstance(f.dataType, plain) and f.name not in {*by, ts})
+    order = Window.partitionBy(*by).orderBy(F.col(ts).desc(), *[F.col(c).desc() for c in tie])
     return df.withColumn("_row", F.row_number().over(order)).where(F.col("_row") <= n).drop("_row")
 
 
@@ -208,16 +226,21 @@ def recent_stats(log: DataFrame, asof: Column, hours: int = ALERT_HOURS) -> Data
 
 
 def rolling_stats(log: DataFrame, by: Sequence[str], ts: str, hours: int = 24) -> DataFrame:
-    """For every log row, totals over the hours before it (inclusive)."""
-    seconds = F.col(ts).cast("timestamp").cast("long")
-    span = Window.partitionBy(*by).orderBy(seconds).rangeBetween(-hours * 3600 + 1, 0)
-    return log.select(
+    """For every log row, totals over the hours before it (inclusive), bucket by bucket of time."""
+    width = hours * 3600
+    timed = log.withColumn("_seconds", F.col(ts).cast("timestamp").cast("long"))
+    at = F.col("_seconds")
+    # A bucket is as long as the window, so a row looks back into the bucket before its own at most.
+    placed = with_halo(timed, F.floor(at / width), F.pmod(at, F.lit(width)) > 0)
+    span = Window.partitionBy(*by, "_bucket").orderBy("_seconds").rangeBetween(-width + 1, 0)
+    return placed.select(
+        "_own",
         *by,
         ts,
         F.sum("batch_size").over(span).alias("total_predictions"),
         F.count("*").over(span).alias("batch_count"),
         F.avg("prediction_stats.positive_rate").over(span).alias("average_positive_rate"),
-    )
+    ).where("_own").drop("_own")
 
 
 # Health checks: every check is a one-row table (check, passed, message, severity).

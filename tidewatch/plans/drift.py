@@ -660,6 +660,27 @@ TREND = """CASE WHEN c < 2 THEN 'insufficient_data' WHEN b > a * 1.1e0 THEN 'inc
   THEN 'decreasing' ELSE 'stable' END"""
 
 
+@query(
+    "w1b_degradation_long",
+    f"""WITH {ORDER_SCORES}, {PERFORMANCE} SELECT model_version, strftime(batch_month, '%Y-%m-%d') AS batch_month,
+    round(accuracy, 6) AS accuracy, round(recent, 6) AS recent_accuracy, degraded,
+    round(CASE WHEN degraded THEN recent - accuracy ELSE 0e0 END, 6) AS degradation_amount FROM degr""",
+)
+def _(spark, folder):
+    return monitoring.degradation(_performance(spark, folder), ["model_version"], "batch_month", long=True).select(
+        "model_version", "batch_month", "accuracy", "recent_accuracy", "degraded", "degradation_amount"
+    )
+
+
+RECENT = f"""{LOG},
+recent AS (SELECT *, row_number() OVER (ORDER BY ts, model_version) AS i, count(*) OVER () AS c FROM log
+  WHERE ts > {LAST} - INTERVAL 720 HOUR AND ts <= {LAST}),
+halves AS (SELECT count(*) AS c, avg(CASE WHEN i <= floor(c / 2) THEN batch_size END) AS a,
+  avg(CASE WHEN i > floor(c / 2) THEN batch_size END) AS b FROM recent)"""
+TREND = """CASE WHEN c < 2 THEN 'insufficient_data' WHEN b > a * 1.1e0 THEN 'increasing' WHEN b < a * 0.9e0
+  THEN 'decreasing' ELSE 'stable' END"""
+
+
 @query(
     "w2_recent_stats",
     f"""WITH {RECENT} SELECT CAST(720 AS BIGINT) AS time_window_hours,
