@@ -149,6 +149,26 @@ def test_models(spark, labelled, tmp_path):
     assert len(folds) == 3 and folds[0].min_score <= folds[0].mean_score <= folds[0].max_score
 
 
+def test_a_category_of_very_many_levels_is_hashed(spark, tmp_path):
+    rows = spark.range(120_000).select(
+        (F.col("id") % 7).cast("double").alias("x"),
+        F.concat(F.lit("level "), (F.col("id") % 100_000).cast("string")).alias("c"),
+        F.when(F.col("id") % 3 > 0, F.lit("a")).otherwise(F.lit("b")).alias("d"),
+        (F.col("id") % 2).cast("int").alias("label"),
+    )
+    pre = modeling.fit_preprocessor(rows, ["x"], ["c", "d"])
+    size = modeling.HASH_WIDTH + 2
+    assert len(modeling.feature_names(pre)) == size and modeling.feature_names(pre)[-1] == "d_b"
+    fitted = modeling.assemble(pre, modeling.logistic(120_000).setMaxIter(3).fit(pre.transform(rows)))
+    loaded = modeling.load_pipeline(modeling.save_pipeline(fitted, str(tmp_path / "model")))
+    some = spark.createDataFrame([(1.0, "level 5", "a"), (1.0, "never seen", "b"), (1.0, None, "b")], "x double, c string, d string")
+    vectors = [r.features for r in loaded.transform(some).select("features").collect()]
+    assert all(v.size == size for v in vectors)
+    hot = [[i for i in v.indices if 0 < i <= modeling.HASH_WIDTH and v[int(i)]] for v in vectors]
+    assert [len(h) for h in hot] == [1, 1, 0]
+    assert modeling.score(loaded, some).count() == 3
+
+
 def test_first_trees_are_the_shorter_fit_and_stages_score_as_separate_fits(spark):
     rows = spark.range(400).select(
         "id", (F.hash("id") % 100 / 50.0).alias("a"), (F.hash(F.col("id") + 7) % 100 / 50.0).alias("b")

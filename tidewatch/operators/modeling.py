@@ -18,6 +18,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
     ElementwiseProduct,
+    FeatureHasher,
     OneHotEncoder,
     StandardScaler,
     StringIndexer,
@@ -38,7 +39,8 @@ from tidewatch.operators.evaluation import ranking_metrics
 from tidewatch.operators.features import stratified_folds
 
 MAX_TREE_DEPTH = 30  # Spark's own limit
-MAX_LEVELS = 10_000  # a category's levels become model metadata
+MAX_LEVELS = 10_000  # a category's levels become model metadata; beyond, they are hashed
+HASH_WIDTH = 1 << 18  # slots of a hashed category
 
 # The tuning grid of the boosted trees.
 TREE_COUNTS = [100, 200]
@@ -47,13 +49,23 @@ STEP_SIZES = [0.01, 0.1, 0.2]
 ROW_SHARES = [0.8, 1.0]
 
 
-def fit_preprocessor(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> PipelineModel:
+def fit_preprocessor(
+    train: DataFrame,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    max_levels: int = MAX_LEVELS,
+    hash_width: int = HASH_WIDTH,
+) -> PipelineModel:
     """Scaled numbers and one-hot categories in one ``features`` vector.
 
     Numbers are scaled by the population deviation. The first sorted level of
     each category is dropped and an unknown level becomes all zeros: levels are
     indexed in descending order, so the first one is last, next to the slot for
     unknown values, and both slots are sliced away.
+
+    A category of more than ``max_levels`` levels needs no table of them: its values are hashed into
+    ``hash_width`` slots of a sparse vector. Levels may then share a slot, an unknown one falls into
+    the slot of its hash, and a null stays all zeros.
     """
     rows = train.count()
     # Spark divides by the sample deviation; this turns it into the population one.
@@ -67,13 +79,15 @@ def fit_preprocessor(train: DataFrame, numeric: Sequence[str], categorical: Sequ
     ]
     parts = ["_standard"]
     for c in categorical:
+        if train.select(c).distinct().limit(max_levels + 1).count() > max_levels:
+            stages.append(
+                FeatureHasher(inputCols=[c], categoricalCols=[c], outputCol=f"_flags_{c}", numFeatures=hash_width)
+            )
+            parts.append(f"_flags_{c}")
+            continue
         indexer = StringIndexer(
             inputCol=c, outputCol=f"_index_{c}", handleInvalid="keep", stringOrderType="alphabetDesc"
-        )
-        levels = train.select(c).distinct().limit(MAX_LEVELS + 1).count()
-        if levels > MAX_LEVELS:
-            raise ValueError(f"{c} has more than {MAX_LEVELS} levels; encode it by target means instead")
-        indexer = indexer.fit(train)
+        ).fit(train)
         kept = list(range(len(indexer.labels) - 1))
         stages += [indexer, OneHotEncoder(inputCol=f"_index_{c}", outputCol=f"_hot_{c}", dropLast=True)]
         if kept:
@@ -89,6 +103,8 @@ def feature_names(preprocessor: PipelineModel) -> list[str]:
     for stage in preprocessor.stages:
         if isinstance(stage, VectorAssembler) and stage.getOutputCol() == "_numbers":
             names += stage.getInputCols()
+        elif isinstance(stage, FeatureHasher):
+            names += [f"{stage.getInputCols()[0]}#{i}" for i in range(stage.getNumFeatures())]
         elif hasattr(stage, "labels"):
             names += [f"{stage.getInputCol()}_{level}" for level in stage.labels[:-1]]
     return names
