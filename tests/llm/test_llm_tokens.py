@@ -155,3 +155,16 @@ def test_plan_meets_demand_with_little_waste():
         assert sum(t for _, t in plan) <= 1.05 * least + 2
     value, pattern = pk.best_pattern(np.array([3.0, 5.0, 9.0]), np.array([2, 3, 5]), 11)
     assert value == 19.0 and (pattern * [2, 3, 5]).sum() <= 11  # 5 + 3 + 3
+
+
+def test_a_text_with_a_gap_in_the_table_goes_through_the_library(monkeypatch):
+    pieces = sp.PieceTable(tokenizer("piece_bpe_32k.model"))
+    fine = pieces.encoded_always("plain words")
+    assert fine[2] is False
+
+    def gap(text):
+        raise sp.PrefixGap(text)
+
+    monkeypatch.setattr(pieces, "_run", gap)
+    pieces.memo.clear()
+    assert pieces.encoded_always("plain words") == (*fine[:2], True)

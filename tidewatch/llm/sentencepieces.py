@@ -13,7 +13,9 @@ A text falls into words in front of which the vocabulary never merges; words are
 kept in a bounded memo. Characters outside the vocabulary become byte pieces.
 
 Defined results: null counts as empty and has no ids; an empty text decodes to an
-empty text; repeated rows and any extra columns make no difference.
+empty text; very long texts are encoded whole; repeated rows and any extra columns make no
+difference; an empty table gives no row. A text in which the table leaves a gap is encoded by
+the library and marked ``by_library``.
 """
 
 from __future__ import annotations
@@ -35,7 +37,11 @@ MEMO_WORDS = 400_000  # about 100 MB a worker; words beyond are worked out again
 MEMO_PAIRS = 300_000
 NEVER = float("inf")
 
-OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, by_library boolean"
+
+
+class PrefixGap(ValueError):
+    """The vocabulary leaves a prefix without a last token."""
 
 
 class PieceTable:
@@ -181,7 +187,7 @@ class PieceTable:
     def _run(self, text: str) -> list[int]:
         last, length = self.prefix_table(text)
         if not length[-1]:
-            raise ValueError("the vocabulary leaves a prefix without a last token")
+            raise PrefixGap(text)
         ids, end = [], len(text)
         while end:
             ids.append(last[end])
@@ -213,6 +219,15 @@ class PieceTable:
         return list(chain.from_iterable([p[0] for p in parts])), ",".join([p[1] for p in parts])
 
 
+    def encoded_always(self, text: str) -> tuple[list[int], str, bool]:
+        """As ``encoded``, and whether the library had to encode the text as the table leaves a gap in it."""
+        try:
+            return *self.encoded(text), False
+        except PrefixGap:
+            ids = self.library.encode(text)
+            return ids, ",".join(map(str, ids)), True
+
+
 class _Words(dict):
     """Bounded memo of the words after one space."""
 
@@ -247,7 +262,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(path)
         for batch in chunks(batches):
-            ids = [table.encoded(t or "")[0] for t in batch.column(1).to_pylist()]
+            ids = [table.encoded_always(t or "")[0] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return _input(docs).mapInArrow(run, "doc_id long, ids array<int>")
@@ -260,13 +275,14 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         table = piece_table(path)
         decode = table.library.decode
         for batch in chunks(batches):
-            rows: list[tuple[int, str, str]] = []
+            rows: list[tuple[int, str, str, bool]] = []
             for text in batch.column(1).to_pylist():
-                ids, digits = table.encoded(text or "")
-                rows.append((len(ids), _sha(digits), _sha(decode(ids))))
-            n, a, b = zip(*rows)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids, digits, gap = table.encoded_always(text or "")
+                rows.append((len(ids), _sha(digits), _sha(decode(ids)), gap))
+            n, a, b, gaps = zip(*rows)
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array(gaps)]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "by_library"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return _input(docs).mapInArrow(run, OUT)
 
