@@ -11,7 +11,7 @@ components take no part; vectors meet only vectors of their own length; rows equ
 in id and components count once; rows with the query's id are its own, and an id
 with several vectors is one query that asks with each; ties go to the smaller id; a query with fewer candidates gets all of them; scores are exact
 (past 2^53 in Python integers, and beyond 64 bits they are cut to the ends of the
-range). A null id takes no part.
+range). A null id takes no part. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

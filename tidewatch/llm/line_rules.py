@@ -11,7 +11,8 @@ anywhere count as different documents, however many lines they share.
 
 Defined results: a null or empty text has no words and fails the base rules; a
 null host is a host of its own; repeated rows count as one document and each keep
-their verdict; an empty table gives an empty result; other columns are ignored.
+their verdict; very long texts are read whole; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations

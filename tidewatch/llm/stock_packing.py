@@ -12,7 +12,7 @@ Ranks come from counts per class and bucket, so a length that a third of all
 documents share spreads over all buckets.
 
 Defined results: a null text counts as empty and holds the end id alone; repeated
-rows are packed each on its own; ties in rank are ordered by id and checksum; an empty
+rows are packed each on its own; very long texts are cut into full sequences and one rest; ties in rank are ordered by id and checksum; an empty
 table gives no piece; other columns are ignored.
 """
 

@@ -16,7 +16,8 @@ Spark's committer, so a lost executor only costs its own tasks.
 
 Defined results: a null text counts as empty; every document ends with ``end_id``; null
 document ids sort first; documents with equal ids are ordered by the hash of
-their text; an empty table writes no shard; other columns are ignored.
+their text; very long texts are encoded whole; an empty table writes no shard; other columns are ignored.
+The shard is the unit between tasks: one task writes and reads it, its blocks can be decoded apart.
 """
 
 from __future__ import annotations

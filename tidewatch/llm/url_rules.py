@@ -10,7 +10,7 @@ wins. Only built-in functions run.
 Defined results: a null URL or one without ``://`` has an empty host and path and
 no rule; repeated rows each keep their row; of equally long rules the one with the
 longer host wins, then ``block``; rules with a null part never fit. Extra columns
-of the input are not looked at.
+of the input are not looked at. A URL of any length is read whole; an empty table gives no row.
 """
 
 from __future__ import annotations
