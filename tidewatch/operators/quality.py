@@ -122,7 +122,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     points = spread_quantiles(chosen.quantiles(), QUARTILES)
     return (
-        names.join(chosen.moments(), "column", "left")  # empty columns keep a row
+        names.join(F.broadcast(chosen.moments()), "column", "left")  # one row a column; empty columns keep theirs
         .join(points, "column", "left")
         .select("column", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min", "q25", "q50", "q75", "max")
     )
