@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,26 @@ def test_kernel_density_integrates_to_one(spark):
     assert len(rows) == 1000 and abs(sum(r.density for r in rows) * step - 1) < 0.01
 
 
+@pytest.mark.parametrize("power", [1, 4])
+def test_kernel_density_equals_the_direct_sum(spark, power):
+    df = spark.range(0, 5000).select(F.pow(F.pmod(F.xxhash64("id"), F.lit(9973)) / 100.0, F.lit(power)).alias("x"))
+    values = np.array([r.x for r in df.collect()])
+    h = values.std(ddof=1) * len(values) ** -0.2
+    rows = quality.kernel_density(df, "x", 200).orderBy("point").collect()
+    z = (np.array([r.x for r in rows])[:, None] - values[None, :]) / h
+    want = np.exp(-0.5 * z * z).sum(axis=1) / (len(values) * h * np.sqrt(2 * np.pi))
+    assert np.allclose([r.density for r in rows], want, rtol=0, atol=1e-10 * want.max())
+    plan = quality.kernel_density(df, "x")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan
+
+
+def test_kernel_density_without_spread(spark):
+    empty = spark.createDataFrame([(None,), (NAN,)], "x double")
+    assert quality.kernel_density(empty, "x").count() == 0
+    same = spark.createDataFrame([(3.0,), (3.0,)], "x double")
+    assert {r.density for r in quality.kernel_density(same, "x", 10).collect()} == {None}
+
+
 def test_narrowest_types(spark):
     df = spark.createDataFrame([(1, 300, 2**40, "a"), (100, -5, 1, "a"), (7, 7, 7, "a")], "a bigint, b bigint, c bigint, s string")
     assert by_column(quality.narrowest_types(df), "to_type") == {
@@ -75,6 +96,36 @@ def test_correlation_is_pairwise(spark):
     assert rows[("a", "b")] == pytest.approx(1.0) and rows[("a", "b")] == rows[("b", "a")]
 
 
+def test_gram_correlation_of_many_columns(spark):
+    def cell(i):
+        value = F.pmod(F.xxhash64("id", F.lit(i % 40)), F.lit(1000)) + 1e6 * (i % 3) + (F.col("id") % (i + 2))
+        return F.when(F.pmod(F.xxhash64("id", F.lit(-i)), F.lit(10)) > 1, value).cast("double").alias(f"c{i}")
+
+    df = spark.range(0, 2000, 1, 4).select(*[cell(i) for i in range(300)])
+    names = df.columns
+    table = df.toPandas()
+    want = table.corr().to_numpy()
+    rows = quality.correlation(df, names).collect()
+    got = {(r["row"], r["column"]): r.correlation for r in rows}
+    assert len(rows) == len(got) == 300 * 300
+    assert np.allclose([[got[a, b] for b in names] for a in names], want, rtol=0, atol=1e-9)
+    few = names[:12]
+    coded = {(r["row"], r["column"]): r.correlation for r in quality.correlation(df, few).collect()}
+    assert all(coded[p] == pytest.approx(got[p], abs=1e-9) for p in coded)
+    plan = quality.gram_correlation(df, names)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (0, 2000") == 1
+
+
+def test_gram_correlation_edges(spark):
+    rows = [(1.0, 5.0, None, 1.0), (2.0, 5.0, None, float("inf")), (4.0, 5.0, 7.0, 2.0), (NAN, 5.0, 8.0, 3.0)]
+    df = spark.createDataFrame(rows, "a double, same double, c double, d double")
+    got = {(r["row"], r["column"]): r.correlation for r in quality.gram_correlation(df, df.columns).collect()}
+    assert got["a", "a"] == 1.0 and got["a", "same"] is None and got["a", "c"] is None
+    assert got["d", "a"] != got["d", "a"] and got["c", "d"] == pytest.approx(1.0)
+    empty = quality.gram_correlation(df.where("a > 9"), df.columns).collect()
+    assert len(empty) == 16 and {r.correlation for r in empty} == {None}
+
+
 FIELDS = [
     Field("id", STRING, required=False),
     Field("n", NUMERIC, low=0, high=10),

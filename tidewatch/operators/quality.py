@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,11 @@ from pyspark.sql.window import Window
 from tidewatch.operators.ordered import Selection, nan_to_null, quantiles, unpivot_numeric
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+CODED_COLUMNS = 16  # up to here a correlation matrix is one generated aggregate
+ORIGIN_ROWS = 100  # rows that say where the values lie
+GRAM_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy", "bad"]
+KERNEL_TERMS = 12
+KERNEL_REACH = 9  # bandwidths; the kernel is below 3e-18 beyond
 
 
 def columns_of(df: DataFrame, kind: type[T.DataType]) -> list[str]:
@@ -179,7 +185,13 @@ def outlier_rows(df: DataFrame, key: str, columns: Sequence[str], width: float =
 
 
 def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson matrix in long form, pairwise complete, one pass."""
+    """Pearson matrix in long form, pairwise complete, one pass.
+
+    Up to ``CODED_COLUMNS`` columns are one generated aggregate; more go through :func:`gram_correlation`,
+    whose plan does not grow with the pairs.
+    """
+    if len(columns) > CODED_COLUMNS:
+        return gram_correlation(df, columns)
     clean = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     wide = clean.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
@@ -194,6 +206,75 @@ def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
+def gram_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same matrix for many columns from block sums: one scan, a few matrix products a batch.
+
+    With values X (0 where missing) and presence M, the products M'M, X'M, (X^2)'M and X'X hold
+    count, sums, squares and cross products of every pair over the rows that have both. Tasks
+    add them up over their batches; what is shuffled is one row a task and pair. Values are
+    taken from a row near the start of the table, so that far-off means cost no digits.
+
+    A pair without common rows, or with a constant side over them, is null; a pair that meets an infinite value is NaN.
+    """
+    names = list(columns)
+    clean = df.select(*[nan_to_null(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(names)])
+    # Any finite origin is right; it only saves digits.
+    near = clean.limit(ORIGIN_ROWS).agg(
+        *[F.avg(F.when(F.abs(f"v{i}") != float("inf"), F.col(f"v{i}"))).alias(f"v{i}") for i in range(len(names))]
+    )
+    origin = np.array([v if v is not None else 0.0 for v in near.first()])
+    upper = np.triu_indices(len(names))
+
+    def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
+        for batch in batches:
+            raw = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            endless = np.isinf(raw)
+            seen = (~np.isnan(raw)).astype(float)
+            x = np.where((seen == 1) & ~endless, raw - origin, 0.0)
+            squares = x * x
+            parts = [seen.T @ seen, x.T @ seen, seen.T @ x, squares.T @ seen, seen.T @ squares, x.T @ x]
+            bad = np.zeros_like(parts[0])
+            if endless.any():
+                bad = endless.T.astype(float) @ seen
+                bad = bad + bad.T
+            parts = np.stack([p[upper] for p in [*parts, bad]])
+            sums = parts if sums is None else sums + parts
+        if sums is not None:
+            arrays = [pa.array(upper[0], pa.int32()), pa.array(upper[1], pa.int32()), *[pa.array(p) for p in sums]]
+            yield pa.RecordBatch.from_arrays(arrays, ["i", "j", *GRAM_SUMS])
+
+    schema = "i int, j int, " + ", ".join(f"{s} double" for s in GRAM_SUMS)
+    total = clean.mapInArrow(partial_sums, schema).groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in GRAM_SUMS])
+    n = F.col("n")
+    # What is left of squares that cancel is rounding, not spread.
+    dx = F.col("sxx") - F.col("sx") * F.col("sx") / n
+    dy = F.col("syy") - F.col("sy") * F.col("sy") / n
+    spread = (dx > 1e-12 * F.col("sxx")) & (dy > 1e-12 * F.col("syy"))
+    value = (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(dx * dy)
+    found = (
+        F.when(F.col("bad") > 0, F.lit(float("nan")))
+        .when((n > 0) & spread, F.least(F.greatest(value, F.lit(-1.0)), F.lit(1.0)))
+    )
+    label = F.array(*[F.lit(c) for c in names])
+    a, b = F.get(label, F.col("i")), F.get(label, F.col("j"))
+    cells = F.array_distinct(
+        F.array(F.struct(F.col("i"), F.col("j")), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    )
+    grid = _pair_grid(df, len(names)).join(total, ["i", "j"], "left")
+    return grid.select(F.inline(cells), found.alias("correlation")).select(
+        a.alias("row"), b.alias("column"), "correlation"
+    )
+
+
+def _pair_grid(df: DataFrame, width: int) -> DataFrame:
+    """``(i, j)`` with i <= j: pairs of columns, so that an empty table keeps its cells."""
+    last = F.lit(width - 1)
+    return df.sparkSession.range(width).select(
+        F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.col("id").cast("int"), last)).alias("j")
+    )
+
+
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFrame:
     """Equal-width density histogram; the last bin includes the maximum, empty bins are kept."""
     longform = unpivot_numeric(df, columns).where(F.col("value").isNotNull())
@@ -228,49 +309,73 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFram
 def kernel_density(df: DataFrame, column: str, points: int = 1000) -> DataFrame:
     """Gaussian kernel density on an even grid half a range beyond the data, Scott bandwidth.
 
-    Equal values are counted first; each task adds its values into one vector
-    of ``points`` sums, so only ``points`` rows per task are shuffled.
+    Values fall into bins half a bandwidth wide, and a bin keeps the moments of its values about
+    its middle, added map-side. The kernel of a whole bin follows from these by its Hermite series; with
+    ``KERNEL_TERMS`` terms the rest is below 1e-11 of the kernel's height. Only bins and grid
+    points within ``KERNEL_REACH`` bandwidths meet, a few thousand pairs however many rows there are.
+
+    A column without values has no grid; without a deviation (one value, or equal ones) the density is null.
     """
     values = df.select(nan_to_null(F.col(column).cast("double")).alias("value")).where(F.col("value").isNotNull())
-    spread = values.agg(
-        F.min("value").alias("lo"),
-        F.max("value").alias("hi"),
-        F.stddev_samp("value").alias("std"),
-        F.count("*").alias("total"),
-    ).select(
-        (F.col("lo") - 0.5 * (F.col("hi") - F.col("lo"))).alias("start"),
-        (2 * (F.col("hi") - F.col("lo")) / (points - 1)).alias("step"),
-        (F.col("std") * F.pow(F.col("total").cast("double"), F.lit(-0.2))).alias("bandwidth"),
-        "total",
+    spread = (
+        values.agg(
+            F.min("value").alias("lo"),
+            F.max("value").alias("hi"),
+            F.stddev_samp("value").alias("std"),
+            F.count("*").alias("total"),
+        )
+        .where(F.col("total") > 0)
+        .select(
+            "lo",
+            (F.col("lo") - 0.5 * (F.col("hi") - F.col("lo"))).alias("start"),
+            (2 * (F.col("hi") - F.col("lo")) / (points - 1)).alias("step"),
+            F.nullif(F.col("std") * F.pow(F.col("total").cast("double"), F.lit(-0.2)), F.lit(0.0)).alias("bandwidth"),
+            "total",
+        )
     )
-    counts = values.groupBy("value").agg(F.count("*").alias("n"))
-
-    def partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, grid = None, None
-        for batch in batches:
-            if batch.empty:
-                continue
-            first = batch.iloc[0]
-            if sums is None:
-                sums, grid = np.zeros(points), first["start"] + first["step"] * np.arange(points)
-            for lo in range(0, len(batch), 512):
-                part = batch.iloc[lo : lo + 512]
-                z = (grid[None, :] - part["value"].to_numpy()[:, None]) / first["bandwidth"]
-                sums += part["n"].to_numpy(dtype=float) @ np.exp(-0.5 * z * z)
-        if sums is not None:
-            yield pd.DataFrame({"point": np.arange(points, dtype="int64"), "kernel_sum": sums})
-
-    summed = (
-        counts.join(F.broadcast(spread))  # one row
-        .select("value", "n", "start", "step", "bandwidth")
-        .mapInPandas(partial_sums, "point bigint, kernel_sum double")
-        .groupBy("point")
-        .agg(F.sum("kernel_sum").alias("kernel_sum"))
+    spread = F.broadcast(spread)  # one row
+    scaled = (F.col("value") - F.col("lo")) * 2 / F.col("bandwidth")
+    offset = (F.col("value") - F.col("lo")) / F.col("bandwidth") - (F.col("bin") + 0.5) / 2
+    moments = (
+        values.join(spread)
+        .where(F.col("bandwidth").isNotNull())
+        .select("value", "lo", "bandwidth", F.floor(scaled).alias("bin"))
+        .select("bin", offset.alias("z"))
+        .groupBy("bin")
+        .agg(*[F.sum(F.pow("z", F.lit(float(j)))).alias(f"m{j}") for j in range(KERNEL_TERMS)])
+    )
+    series = F.array(*[F.col(f"m{j}") / F.lit(float(math.factorial(j))) for j in range(KERNEL_TERMS)])
+    middle = F.col("lo") + (F.col("bin") + 0.5) / 2 * F.col("bandwidth")
+    first = F.ceil((F.col("middle") - KERNEL_REACH * F.col("bandwidth") - F.col("start")) / F.col("step"))
+    last = F.floor((F.col("middle") + KERNEL_REACH * F.col("bandwidth") - F.col("start")) / F.col("step"))
+    near = (
+        moments.join(spread)
+        .select("start", "step", "bandwidth", series.alias("series"), middle.alias("middle"))
+        .select("*", F.greatest(first, F.lit(0)).alias("first"), F.least(last, F.lit(points - 1)).alias("last"))
+        .where(F.col("first") <= F.col("last"))
+        .withColumn("point", F.explode(F.sequence("first", "last")))
+        .withColumn("u", (F.col("start") + F.col("point") * F.col("step") - F.col("middle")) / F.col("bandwidth"))
+    )
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("before"), F.lit(1.0).alias("now"), F.lit(0.0).alias("j"))
+    hermite = F.aggregate(
+        "series",
+        zero,
+        lambda s, m: F.struct(
+            (s["sum"] + m * s["now"]).alias("sum"),
+            s["now"].alias("before"),
+            (F.col("u") * s["now"] - s["j"] * s["before"]).alias("now"),
+            (s["j"] + 1.0).alias("j"),
+        ),
+        lambda s: s["sum"],
     )
-    return summed.join(F.broadcast(spread)).select(
+    summed = near.groupBy("point").agg(F.sum(F.exp(-0.5 * F.col("u") * F.col("u")) * hermite).alias("kernel_sum"))
+    grid = spread.withColumn("point", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(points - 1).cast("bigint"))))
+    return grid.join(summed, "point", "left").select(
         "point",
         (F.col("start") + F.col("point") * F.col("step")).alias("x"),
-        (F.col("kernel_sum") / (F.col("total") * F.col("bandwidth") * F.sqrt(2 * F.pi()))).alias("density"),
+        (
+            F.coalesce("kernel_sum", F.lit(0.0)) / (F.col("total") * F.col("bandwidth") * F.sqrt(2 * F.pi()))
+        ).alias("density"),
     )
 
 

@@ -762,6 +762,22 @@ def _(spark, folder):
     return quality.correlation(gappy_lineitem(spark, folder), MEASURES)
 
 
+WIDTH = 64
+
+
+@query(
+    "d23b_wide_correlation",
+    f"""WITH v AS (SELECT vec_id, unnest(range({WIDTH})) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings
+      WHERE len(embedding) = {WIDTH})
+    SELECT 'c' || a.i AS "row", 'c' || b.i AS "column", round(corr(a.x, b.x), 6) AS correlation
+    FROM v a JOIN v b USING (vec_id) GROUP BY a.i, b.i""",
+)
+def _(spark, folder):
+    wide = table(spark, folder, "embeddings").where(F.size("embedding") == WIDTH)
+    wide = wide.select(*[F.get("embedding", F.lit(i)).alias(f"c{i}") for i in range(WIDTH)])
+    return quality.correlation(wide, wide.columns)
+
+
 @query(
     "d24_histogram",
     """WITH b AS (SELECT min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 30 AS w,
