@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import columns as C
 from tidewatch.functions.schema import REQUEST_FIELDS, SUBSCRIBER_FIELDS
-from tidewatch.operators import cleaning, features, impact, quality, scoring, validation
+from tidewatch.operators import cleaning, features, impact, profiles, quality, scoring, validation
 from tidewatch.plans.catalog import BUSINESS, GAPPY, PARSED, RAW, SCORED, SUBS, query, sql_number
 from tidewatch.plans.inputs import (
     NUMBERS,
@@ -15,6 +15,7 @@ from tidewatch.plans.inputs import (
     parsed_subscribers,
     scored_subscribers,
 )
+from tidewatch.session import scratch_path
 from tidewatch.sources import files
 from tidewatch.sources.tables import ASOF, raw_subscribers, subscribers, table
 
@@ -496,6 +497,51 @@ def _(spark, folder):
     return quality.top_values(orders, ["o_orderstatus", "o_orderpriority", "o_custkey"])
 
 
+ORDER_COLUMNS = ("o_orderstatus", "o_orderpriority", "o_custkey")
+
+
+def stored_order_profiles(spark, folder):
+    """Monthly profiles of the orders, written and read back, and the orders with their month."""
+    orders = table(spark, folder, "orders").withColumn("month", F.date_format("o_orderdate", "yyyyMM").cast("int"))
+    path = scratch_path(spark, "profiles")
+    profiles.save_profile(profiles.profile(orders, "month", ORDER_COLUMNS), path)
+    return profiles.load_profile(spark, path), orders
+
+
+@query(
+    "d4b_distinct_from_profiles",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) - count({c}) AS BIGINT) AS n_missing,
+        CAST(count(DISTINCT {c}) AS BIGINT) AS n_distinct, true AS within_bound FROM orders"""
+        for c in ORDER_COLUMNS
+    ),
+)
+def _(spark, folder):
+    """The merged sketches against exact counts: within five standard errors."""
+    stored, orders = stored_order_profiles(spark, folder)
+    merged = profiles.merged_profile(stored).select("column", "n_rows", "n_missing", F.col("n_distinct").alias("estimate"))
+    exact = quality.distinct_counts(orders, ORDER_COLUMNS)
+    return merged.join(exact, "column").select(
+        "column", "n_rows", "n_missing", "n_distinct",
+        (F.abs(F.col("estimate") - F.col("n_distinct")) <= 0.04 * F.col("n_distinct")).alias("within_bound"),
+    )
+
+
+@query(
+    "d6b_top_from_profiles",
+    " UNION ALL ".join(
+        f"""(SELECT "column", value, CAST(n AS BIGINT) AS n, CAST(rank AS BIGINT) AS rank FROM (
+          SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS value, count(*) AS n,
+            row_number() OVER (ORDER BY count(*) DESC, CAST({c} AS VARCHAR)) AS rank
+          FROM orders WHERE {c} IS NOT NULL AND o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY {c}) t WHERE rank <= 5)"""
+        for c in ORDER_COLUMNS
+    ),
+)
+def _(spark, folder):
+    stored, orders = stored_order_profiles(spark, folder)
+    return profiles.top_values(stored.where("part >= 199801"), orders.where("month >= 199801"), ORDER_COLUMNS)
+
+
 @query(
     "d7_completeness",
     f"""WITH {GAPPY}, m AS (SELECT count(*) AS n, 4 * count(*) - count(l_discount) - count(l_tax) - count(l_returnflag)

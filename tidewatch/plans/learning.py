@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tidewatch.functions.schema import REQUEST_FIELDS
-from tidewatch.operators import features, modeling, neighbours, validation
+from tidewatch.operators import features, hashing, modeling, neighbours, validation
 from tidewatch.operators.registry import ModelRegistry
 from tidewatch.plans.catalog import QUERIES, SCORED, SUBS, query
 from tidewatch.plans.cleaning import ROUTED
@@ -121,6 +121,22 @@ def _(spark, folder):
     )
 
 
+@query(
+    "c8b_hashed_neighbours",
+    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+    d AS (SELECT a.vec_id, b.vec_id AS neighbour, list_distance(a.v, b.v) AS distance
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS rank FROM d)
+    SELECT vec_id, CAST(rank AS BIGINT) AS rank, neighbour, round(distance, 6) AS distance FROM r WHERE rank <= 5""",
+)
+def _(spark, folder):
+    """Hash tables over wide vectors. Tables of a single bucket, as on small data, give the exact neighbours."""
+    near = hashing.hashed_neighbours(table(spark, folder, "embeddings"), "vec_id", F.col("embedding"), 5)
+    return near.select("vec_id", F.posexplode("neighbours").alias("rank", "n")).select(
+        "vec_id", (F.col("rank") + 1).alias("rank"), F.col("n.id").alias("neighbour"), F.col("n.distance").alias("distance")
+    )
+
+
 @query(
     "m6_oversampled",
     f"""WITH {SUBS}, n AS (SELECT count(*) FILTER ("Churn" = 0) AS a, count(*) FILTER ("Churn" = 1) AS b FROM subs)
