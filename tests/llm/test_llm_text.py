@@ -136,25 +136,58 @@ def test_licences(spark):
 
 def brute_notices(index, words):
     labels, best = set(), 0.0
-    for t, (label, template, key) in enumerate(li._TEMPLATES):
-        for start in range(-len(template), len(words)):
-            met = [w for i, w in enumerate(template) if 0 <= start + i < len(words) and words[start + i] == w]
+    for t, template in enumerate(li._TEMPLATES):
+        for start in range(-len(template.words), len(words)):
+            met = [w for i, w in enumerate(template.words) if 0 <= start + i < len(words) and words[start + i] == w]
             coverage = sum(index.rarity[w] for w in met) / index.total[t]
-            first = start + template.index(key[0])
-            near = [i for i in range(first - 2, first + 3) if i >= 0 and tuple(words[i : i + len(key)]) == key]
+            near = all(
+                any(tuple(words[i : i + len(key)]) == key for i in range(start + at - 2, start + at + 3) if i >= 0)
+                for at, key in template.keys
+            )
             if coverage >= li.MIN_COVERAGE and near:
-                labels.add(label)
+                labels.add(template.label)
                 best = max(best, coverage)
     return labels, best
 
 
+@pytest.mark.parametrize(("text", "label"), [
+    ("Mozilla Public License Version 2.0", "mpl-2"),
+    ("// SPDX-License-Identifier: GPL-3.0-only", "gpl-3"),
+    ("# SPDX-License-Identifier: LGPL-3.0-or-later", "lgpl-3"),
+    ("Boost Software License 1.0", "boost"),
+    ("Redistribution and use in source or binary form, with or without modification, are permitted", "bsd"),
+    ("it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of "
+     "the License, or (at your option) any later version.", "gpl-3"),
+    ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 "
+     "of the License, or (at your option) any later version.", "lgpl,lgpl-3"),
+    ("the license of the boost software", ""),
+])
+def test_usual_notices(text, label):
+    index = li.Index({w: 5 for w in li.LOOKED_UP}, 1000)
+    assert index.judge(text)[5] == label
+    assert index.judge(f"{'some words before ' * 50} {text} {'and after ' * 50}")[5] == label
+
+
+def test_postings_are_intersected():
+    """Far more starts are named than are compared, and every template has words that are not common."""
+    index = li.Index({w: 5 for w in li.LOOKED_UP}, 1000)
+    assert len(li._TEMPLATES) >= 60 and sum(map(len, index.postings.values())) > 400
+    for t, template in enumerate(li._TEMPLATES):
+        common = sum(index.rarity[w] for w in template.words if w in li.COMMON)
+        assert common < li.MIN_COVERAGE * index.total[t]
+    text = "license software " * 500 + li.TEMPLATES[0][1] + " license software" * 500
+    words = li.words_of(text)
+    starts = index.starts(words, li.VOCABULARY.intersection(words))
+    assert {t: s for t, s in starts.items() if s} == {0: [1000]}
+
+
 def test_every_notice_of_a_file_is_found():
     index = li.Index({w: (i * 37) % 900 for i, w in enumerate(sorted(li.LOOKED_UP))}, 1000)
     notices = {t[0]: t[1] for t in li.TEMPLATES}
     five = ["cc0", "agpl-3", "mpl-2", "all-rights-reserved", "bsd"]
     assert index.judge(" x ".join(notices[k] for k in five))[5] == ",".join(sorted(five))
     stray = " some ".join(w.decode() for w in sorted(li.LOOKED_UP)) + " filler" * 5000
-    for label, notice, _ in li.TEMPLATES:
+    for label, notice, *_ in li.TEMPLATES:
         assert label in index.judge(f"{stray} {notice} {stray}")[5].split(","), notice
     rng = np.random.default_rng(8)
     every = sorted(li.VOCABULARY) + [b"other"] * 20
@@ -162,7 +195,7 @@ def test_every_notice_of_a_file_is_found():
         words = []
         for _ in range(rng.integers(1, 5)):
             words += [every[i] for i in rng.integers(0, len(every), rng.integers(0, 12))]
-            own = list(li._TEMPLATES[rng.integers(len(li._TEMPLATES))][1])
+            own = list(li._TEMPLATES[rng.integers(len(li._TEMPLATES))].words)
             if rng.random() < 0.4:
                 own[rng.integers(len(own))] = b"other"
             words += own[rng.integers(0, 3) :]
