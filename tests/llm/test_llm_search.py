@@ -190,3 +190,17 @@ def test_url_rules(spark):
     assert got == Counter((i, *brute_rule(u, usable)) for i, u in enumerate(urls) for _ in range(2))
     assert {r.verdict for r in ur.judge(pages, rules.limit(0)).collect()} == {"allow"}
     assert ur.judge(pages.limit(0), rules).count() == 0
+
+
+def test_shards_stream_over_small_batches(spark):
+    """A shard's rows and queries may spread over many Arrow batches; every query still meets the whole shard."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-9, 9, 4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {tuple(r) for r in kd.top_k(df, F.col("vec_id") % 5 == 0).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        parts = {tuple(r) for r in kd.top_k(df, F.col("vec_id") % 5 == 0, shard_rows=50, query_rows=2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert parts == whole and len(whole) == 300

@@ -4,14 +4,16 @@ Vectors are dealt to shards of bounded size. Each shard builds a KD-tree of
 median splits with tight bounding boxes; a query goes best-first by the largest
 inner product that a box can hold, and stops when no open box can beat its kth
 score. First every query searches the shard it lies in; the kth score found there
-travels with it to the other shards, where most boxes are closed from the start.
+travels with it to the other shards, where most boxes are closed from the start. There
+the rows of a shard come first and build its tree once; the queries stream through it after them, so
+a vector is sent once and a task holds one shard and a block of queries.
 
 Defined results: vectors that are null, empty or hold null, NaN or infinite
 components take no part; vectors meet only vectors of their own length; rows equal
 in id and components count once; rows with the query's id are its own, and an id
 with several vectors is one query that asks with each; ties go to the smaller id; a query with fewer candidates gets all of them; scores are exact
 (past 2^53 in Python integers, and beyond 64 bits they are cut to the ends of the
-range). A null id takes no part. Other columns are ignored, whatever their names.
+range). A null id takes no part; an empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from tidewatch.session import materialize
 
 SHARD_ROWS = 16_384
-QUERY_ROWS = 1_024  # queries that meet a shard in one task
+QUERY_ROWS = 1_024  # queries whose bounds are worked out together, by one matrix product over all boxes
+MOST_PARTS = 10_000  # tasks of the second step; beyond, a task takes several shards one after the other
 LEAF_ROWS = 64
 OUT = "query_id long, vec_id long, score long"
 LEAST, MOST = -(2**63) + 1, 2**63 - 1  # ends of the scores; no score is below LEAST
@@ -117,9 +120,12 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(np.maximum(a.astype(object) @ b.T.astype(object), LEAST), MOST)
 
 
-def _found(tree: Tree, part: pd.DataFrame, k: int) -> pd.DataFrame:
-    queries = np.stack([np.asarray(v, np.int64) for v in part["v"]])
-    rows = list(tree.search(part["id"].to_numpy(), queries, k, part["known"].to_numpy()))
+def _found(tree: Tree, part: pd.DataFrame, k: int, query_rows: int = QUERY_ROWS) -> pd.DataFrame:
+    rows: list[tuple[int, int, int]] = []
+    for at in range(0, len(part), query_rows):
+        block = part.iloc[at : at + query_rows]
+        queries = np.stack([np.asarray(v, np.int64) for v in block["v"]])
+        rows += tree.search(block["id"].to_numpy(), queries, k, block["known"].to_numpy())
     return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"], dtype=object).astype("int64")
 
 
@@ -149,42 +155,49 @@ def top_k(
         .agg(F.max("ask").alias("ask"))
     )
     rows = materialize(rows)
-    counted = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.count_if("ask").alias("asked"))
-    shape = counted.agg(F.max("n").alias("n"), F.max("asked").alias("asked")).first()
-    shards = max(1, -(-(shape.n or 0) // shard_rows))
-    blocks = max(1, -(-(shape.asked or 0) // query_rows))
+    counted = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"))
+    shards = max(1, -(-(counted.agg(F.max("n")).first()[0] or 0) // shard_rows))
     placed = rows.select(
         "id", "v", "ask", F.size("v").alias("dim"),
         F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"),
-        F.pmod(F.xxhash64("v", "id"), F.lit(blocks)).cast("int").alias("block"),
     )
-    asked = placed.where("ask")
 
     def at_home(part: pd.DataFrame) -> pd.DataFrame:
         own = part[part["ask"]].assign(known=LEAST)
-        return _found(_tree(part), own, k) if len(own) else pd.DataFrame([], columns=["query_id", "vec_id", "score"])
+        return _found(_tree(part), own, k, query_rows) if len(own) else pd.DataFrame([], columns=["query_id", "vec_id", "score"])
 
     home = materialize(placed.groupBy("dim", "shard").applyInPandas(at_home, OUT))
     kth = home.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
     if shards > 1:
-        travelling = asked.join(kth.withColumnRenamed("query_id", "id"), "id", "left").select(
-            "id", "v", "dim", "block", F.col("shard").alias("home"),
+        travelling = placed.where("ask").join(kth.withColumnRenamed("query_id", "id"), "id", "left").select(
+            "id", "v", "dim", F.col("shard").alias("home"), "ask",
             F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(LEAST)).alias("known"),
         )
         everywhere = travelling.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(
             "shard <> home"
         )
-        renewed = placed.select(*[F.col(c).alias(c) for c in ("id", "v", "dim", "shard")])
-        for_each_block = renewed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-        def away(key: tuple, queries: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-            if not len(queries) or not len(part):
-                return pd.DataFrame([], columns=["query_id", "vec_id", "score"])
-            return _found(_tree(part), queries, k)
+        columns = ["dim", "shard", "ask", "id", "v", "known"]
+        held = placed.select("dim", "shard", F.lit(False).alias("ask"), "id", "v", F.lit(LEAST).alias("known"))
+        # False sorts first: the rows of a shard stand before its queries.
+        streams = (
+            held.unionByName(everywhere.select(*columns))
+            .repartition(min(MOST_PARTS, 3 * shards), "dim", "shard")
+            .sortWithinPartitions("dim", "shard", "ask")
+        )
 
-        keys = ["dim", "shard", "block"]
-        others = everywhere.groupBy(*keys).cogroup(for_each_block.groupBy(*keys)).applyInPandas(away, OUT)
-        home = home.unionByName(others)
+        def away(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            here, parts, tree = None, [], None
+            for batch in batches:
+                for (dim, shard, ask), part in batch.groupby(["dim", "shard", "ask"]):
+                    if here != (dim, shard):
+                        here, parts, tree = (dim, shard), [], None
+                    if not ask:
+                        parts.append(part)
+                    elif parts:
+                        tree = tree or _tree(pd.concat(parts))
+                        yield _found(tree, part, k, query_rows)
+
+        home = home.unionByName(streams.mapInPandas(away, OUT))
     # At most k rows of a query come from each shard; the aggregate keeps them apart from all others.
     best = home.groupBy("query_id").agg(
         F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best")
