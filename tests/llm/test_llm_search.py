@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,56 @@ def test_link_counts(spark, monkeypatch, seed, block):
     assert len({r.class_id for r in got} - {None}) == len(set(sets) - {frozenset()})
 
 
+def clusters(seed, groups=6, copies=40):
+    """Sets of near copies; some of neighbouring groups share half of their shingles."""
+    rng = np.random.default_rng(seed)
+    sets = []
+    for _ in range(groups):
+        base = rng.integers(0, 1 << 40, 120)
+        if sets and rng.random() < 0.5:
+            base[:60] = sets[-1][:60]
+        for _ in range(copies):
+            changed = base.copy()
+            at = rng.integers(0, 120, rng.integers(0, 25))
+            changed[at] = rng.integers(0, 1 << 40, len(at))
+            sets.append(np.unique(changed))
+    return sets
+
+
+def links_of(sets):
+    sets = [set(s.tolist()) for s in sets]
+    return [(i, k) for i, s in enumerate(sets) for k in range(len(sets)) if i != k and 100 * len(s & sets[k]) >= 85 * len(s | sets[k])]
+
+
+def test_voronoi_cells_of_a_task_hold_all_partners():
+    sets = clusters(3)
+    ids = np.arange(len(sets), dtype=np.int64) * 7919
+    held = jj.Held.of(pd.DataFrame({"set": sets}))
+    found = list(jj.cells_of(held, ids, np.ones(len(ids), bool), 85, lambda *_: None))
+    assert len(found) > 3 and sum(len(h.rows) for h, _ in found) < 2 * len(sets)
+    lives = {int(h.rows[i]): set(h.rows.tolist()) for h, home in found for i in np.flatnonzero(home)}
+    assert sum(int(home.sum()) for _, home in found) == len(lives) == len(sets)
+    assert all(k in lives[i] for i, k in links_of(sets))
+
+
+def test_voronoi_cells_of_a_region_hold_all_partners(spark, monkeypatch):
+    monkeypatch.setattr(jj, "BLOCK_SHINGLES", 6000)
+    sets = clusters(4)
+    rows = [("g", i, len(s)) for i, s in enumerate(sets)] + [("small", 1000, 3)]
+    found = spark.createDataFrame(rows, "g string, cid long, n long")
+    held = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "cid long, set array<long>")
+    cells = jj._cells(found, lambda: held, 85).collect()
+    members, lives = defaultdict(set), {}
+    for r in cells:
+        members[r.g].add(r.cid)
+        if r.home:
+            assert r.cid not in lives
+            lives[r.cid] = r.g
+    assert len(members) > 3 and members["small"] == {1000} and set(lives) == {r[1] for r in rows}
+    assert len(cells) < 2 * len(rows) and len(cells) == sum(map(len, members.values()))
+    assert all(k in members[lives[i]] for i, k in links_of(sets))
+
+
 def test_jaccard_join_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jj.join(docs).count() == 0 and jj.keep_one(docs).count() == 0

@@ -12,14 +12,22 @@ inequality a partner within eps can only lie in regions of the first
 these: linked texts meet in the region of their first common shingle. Any order is
 exact; a table of fixed size that says how common shingles are only keeps regions small.
 
-Recursion. Small regions hand out their pairs, of which only those stay whose windows leave a
+Small regions hand out their pairs, of which only those stay whose windows leave a
 link possible. The texts of larger regions are copied once more, now in an order that
 puts the pivots of these regions last. What is still large then is filled by near copies.
-Pairs and large regions that overlap are merged; each merged region takes a few of its
-texts as pivots of a second level. Texts within eps of a pivot are one component and need
-no further test among themselves; only the texts beyond are joined, exactly, against the
-whole region in blocks of bounded size. Links that join nothing new are not written, so
-no pairs of a group of near copies are.
+Pairs and large regions that overlap are merged.
+
+Recursion. A merged region takes texts of its own as pivots. Each text x lies at home in the
+Voronoi cell of its nearest pivot and is a guest in the cell of pivot q where
+d(x, q) - min d(x, p) <= 2 eps: for linked x and y, y at home with p, the triangle inequality gives
+d(x, p) <= d(y, p) + eps <= d(y, q) + eps <= d(x, q) + 2 eps for every q, so x is in y's cell.
+The argument needs no more than that linked texts differ by eps at most in each d(., p), which a constant
+meets too: a further cell stands at the distance FAR and takes the texts far from all pivots. Cells are cut
+again with new pivots while this lowers the sum of the squares of what they hold; what it doesn't
+lower are near copies of each other. Regions above a block are cut so by Spark, blocks inside
+their tasks; a cell above a block that can't be cut goes in pairs of blocks. Texts within eps of a
+pivot are linked to it, and a cell tests no pairs within the largest component known to it. Links that
+join nothing new are not written, so no pairs of a group of near copies are.
 
 Shingles are compared by 64-bit hashes, sets by 128-bit digests of these.
 
@@ -33,6 +41,7 @@ each keep their row; an empty table gives an empty result; other columns pass th
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,7 +60,9 @@ LEVELS = 1 << 22  # entries of the tables of common shingles and of wanted ids,
 CROWDED = 128  # level from which a shingle is known to crowd a region
 COUNT_SHINGLES = 1 << 21  # shingles a task counts at a time: 8 MB
 SMALL = 16  # texts of a region that are paired directly
-PIVOTS = 4  # texts a merged region takes as pivots
+PIVOTS = 16  # texts that a region takes as pivots at most
+FAR = 0.5  # distance at which the cell of texts far from all pivots stands
+WORTH = 0.75  # cells are kept where the squares of what they hold sum to this share of the whole's
 BLOCK_SHINGLES = 1 << 20  # shingles of a block of texts: 8 MB
 
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -333,85 +344,189 @@ class Forest:
         return a != b
 
 
+class Held:
+    """Sets of some texts (rows of a task) and where each shingle occurs, in order of shingles."""
+
+    def __init__(self, rows: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, values: np.ndarray, owner: np.ndarray) -> None:
+        self.rows, self.sets, self.sizes, self.values, self.owner = rows, sets, sizes, values, owner
+
+    @classmethod
+    def of(cls, part: pd.DataFrame) -> Held:
+        sets = [np.asarray(s, np.int64) for s in part["set"]]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(values, kind="stable")
+        return cls(np.arange(len(sets)), sets, sizes, values[order], owner[order])
+
+    def common(self, at: int) -> np.ndarray:
+        """Size of the intersection with every text, by the places of the shingles of one."""
+        lo, hi = (np.searchsorted(self.values, self.sets[at], side) for side in ("left", "right"))
+        n = hi - lo
+        places = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.owner[places], minlength=len(self.sets))
+
+    def linked(self, at: int, percent: int, common: np.ndarray | None = None) -> np.ndarray:
+        """Texts within eps of one, itself included."""
+        common = self.common(at) if common is None else common
+        return np.flatnonzero(100 * common >= percent * (self.sizes + self.sizes[at] - common))
+
+    def only(self, inside: np.ndarray) -> Held:
+        kept = inside[self.owner]
+        renumbered = np.cumsum(inside) - 1
+        sets = [self.sets[i] for i in np.flatnonzero(inside)]
+        return Held(self.rows[inside], sets, self.sizes[inside], self.values[kept], renumbered[self.owner[kept]])
+
+
+def cells_of(
+    held: Held, ids: np.ndarray, home: np.ndarray, percent: int, near: Callable[[Held, int, np.ndarray], None]
+) -> Iterator[tuple[Held, np.ndarray]]:
+    """Voronoi cells of a task's texts, and which texts are at home in them.
+
+    Some texts are pivots, further than FAR from each other; ``near`` is told who lies within eps of each. Texts of a cell are cut again while
+    that lowers the sum of the squares of what the cells hold to ``WORTH`` of the whole.
+    """
+    waiting = [(held, home, 0)]
+    while waiting:
+        held, home, level = waiting.pop()
+        m = len(held.rows)
+        if m <= SMALL:
+            yield held, home
+            continue
+        number = ids[held.rows].view(np.uint64) + np.uint64(level)
+        gaps = np.full((1, m), FAR, np.float32)
+        for at in np.argsort(_mix(number * _C[0]), kind="stable")[: min(PIVOTS, math.isqrt(m))].tolist():
+            if len(gaps) > 1 and gaps[1:, at].min() <= FAR:
+                continue  # an earlier pivot stands for it
+            common = held.common(at)
+            near(held, at, held.linked(at, percent, common))
+            gap = 1 - common / (held.sizes + held.sizes[at] - common)
+            gaps = np.concatenate([gaps, gap[None].astype(np.float32)])
+        nearest = gaps.argmin(0)
+        inside = gaps <= gaps.min(0) + reach(percent)
+        weight = held.sizes.astype(float)
+        inside &= np.array([(nearest == i).any() for i in range(len(gaps))])[:, None]
+        if ((inside @ weight) ** 2).sum() > WORTH * weight.sum() ** 2:
+            yield held, home
+            continue
+        for i in np.flatnonzero(inside.any(1)).tolist():
+            waiting.append((held.only(inside[i]), (home & (nearest == i))[inside[i]], level + 1))
+
+
 def region_links(part: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Links that join the texts of one or two blocks of a merged region (columns cid, pivot, block, set).
+    """Links that join the texts of one or two blocks of a region (columns cid, block, set), cell by cell.
 
-    Every text is held against the pivots first. The largest component that this gives
-    needs no test within itself; all other texts are held against all texts, by an index of
-    shingles that counts intersections exactly. With two blocks these are links across them.
+    Texts within eps of a pivot are linked to it. In a cell the largest component that is known needs no
+    test within itself; all other texts are held against all texts of the cell. With two blocks these are
+    links across them.
     """
     ids, blocks = part["cid"].to_numpy(), part["block"].to_numpy()
-    sets = [np.asarray(s, np.int64) for s in part["set"]]
-    sizes = np.array([len(s) for s in sets], np.int64)
-    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
+    across = blocks.min() != blocks.max()
     forest, links = Forest(), []
 
-    def linked(at: int) -> np.ndarray:
-        """Rows within eps of a row, itself included."""
-        lo, hi = (np.searchsorted(values, sets[at], side) for side in ("left", "right"))
-        n = hi - lo
-        places = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        common = np.bincount(owner[places], minlength=len(sets))
-        return np.flatnonzero(100 * common >= percent * (sizes + sizes[at] - common))
-
-    for at in np.flatnonzero(part["pivot"].to_numpy()).tolist():
-        for other in linked(at).tolist():
-            if forest.join(int(ids[at]), int(ids[other])):
-                links.append((int(ids[at]), int(ids[other])))
-    roots = np.array([forest.root(int(i)) for i in ids])
-    found, n = np.unique(roots, return_counts=True)
-    across = blocks.min() != blocks.max()
-    for at in np.flatnonzero(roots != found[n.argmax()]).tolist():
-        for other in linked(at).tolist():
-            if not (across and blocks[at] == blocks[other]) and forest.join(int(ids[at]), int(ids[other])):
-                links.append((int(ids[at]), int(ids[other])))
+    def near(held: Held, at: int, others: np.ndarray) -> None:
+        one = int(ids[held.rows[at]])
+        for other in ids[held.rows[others]].tolist():
+            if forest.join(one, other):
+                links.append((one, other))
+
+    for held, _ in cells_of(Held.of(part), ids, np.ones(len(ids), bool), percent, near):
+        roots = np.array([forest.root(i) for i in ids[held.rows].tolist()])
+        found, n = np.unique(roots, return_counts=True)
+        for at in np.flatnonzero(roots != found[n.argmax()]).tolist():
+            others = held.linked(at, percent)
+            if across:
+                others = others[blocks[held.rows[others]] != blocks[held.rows[at]]]
+            near(held, at, others)
     return links
 
 
-def _merged(pairs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs and large regions (a of region b) merged where they overlap, and dealt to tasks that see two blocks at most.
+def reach(percent: int) -> float:
+    """Twice eps, and a little more for rounding: that only copies more."""
+    return 2 * (1 - percent / 100) + 1e-6
 
-    Rows g, p, q, cid, pivot, block. A text of block k goes to the tasks (k, j) of all blocks j, a
-    pivot to every task of its region.
-    """
+
+def _regions_of(pairs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs and large regions (a of region b) merged where they overlap: g, cid, n."""
     pivot = members.groupBy("b").agg(F.min("a").alias("low"))
     overlaps = members.join(pivot, "b").where("a <> low").select("a", F.col("low").alias("b")).distinct()
     merged = materialize(components(pairs.unionByName(overlaps)))
     texts = merged.select(F.col("node").alias("cid"), F.col("root").alias("g")).unionByName(
         merged.select(F.col("root").alias("cid"), F.col("root").alias("g")).distinct()
     )
-    sized = materialize(texts.join(classes.select("cid", "n"), "cid"))
-    blocks = sized.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
-    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("cid"), "cid"))
-    pivots = sized.select("g", "cid", rank.alias("k")).where(F.col("k") <= PIVOTS).select("cid", F.lit(True).alias("pivot"))
-    dealt = (
-        sized.join(blocks, "g")
-        .join(pivots, "cid", "left")
-        .select(
-            "g", "cid", F.coalesce("pivot", F.lit(False)).alias("pivot"), "blocks",
-            F.pmod(F.xxhash64(F.lit(1), "cid"), F.col("blocks")).alias("block"),
-        )
+    return materialize(texts.join(classes.select("cid", "n"), "cid").select(F.col("g").cast("string").alias("g"), "cid", "n"))
+
+
+def cut_once(wide: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Texts of regions (g, cid, n, home, parts) in the cells of pivots drawn from the region: whole, and g, cid, n, home of the cell.
+
+    Pivots are further than FAR from each other. A pivot holds at most a share of a block, so the pivots of a region fit in one row. Regions
+    stand in ``parts`` parts, each with its own copy of that row.
+    """
+    part = lambda c: F.pmod(F.xxhash64(F.lit(2), c), F.col("parts"))
+    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("g", "cid"), "cid"))
+    drawn = wide.where(F.col("n") <= BLOCK_SHINGLES // PIVOTS).select("g", "cid", "parts", rank.alias("k")).where(F.col("k") <= PIVOTS)
+    common = lambda p, q: F.size(F.array_intersect(p["set"], q["set"]))
+    close = lambda p, q: common(p, q) >= (1 - FAR) * (F.size(p["set"]) + F.size(q["set"]) - common(p, q))
+    row = F.sort_array(F.collect_list(F.struct("k", "set"))).alias("drawn")
+    thin = F.aggregate(
+        "drawn", F.slice("drawn", 1, 1), lambda kept, p: F.when(F.exists(kept, lambda q: close(p, q)), kept).otherwise(F.concat(kept, F.array(p)))
     )
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    tasks = dealt.select("*", upto(F.col("blocks")).alias("j")).select(
-        "*", F.least("block", "j").alias("p"), F.greatest("block", "j").alias("q")
+    pivots = (
+        drawn.join(sets, "cid").groupBy("g", "parts").agg(row)
+        .select("g", thin.alias("pivots"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     )
-    own = tasks.select("g", "p", "q", "cid", "pivot", "block")
-    # Pivots of regions with more than two blocks also go where their own block doesn't.
-    more = (
-        dealt.where(F.col("pivot") & (F.col("blocks") > 1))
-        .select("*", upto(F.col("blocks")).alias("p"))
-        .select("*", F.explode(F.sequence("p", F.col("blocks") - 1)).alias("q"))
-        .where("p <> block and q <> block")
-        .select("g", "p", "q", "cid", "pivot", F.col("p").alias("block"))
+    met = F.transform("pivots", lambda p: F.struct(F.size(F.array_intersect("set", p["set"])).alias("i"), F.size(p["set"]).alias("m")))
+    gaps = F.concat(F.transform(met, lambda x: 1 - x["i"] / (F.col("n") + x["m"] - x["i"])), F.array(F.lit(FAR)))
+    # Pivots come before the far cell and in their order where gaps are equal.
+    return (
+        wide.withColumn("part", part("cid")).join(sets, "cid").join(pivots, ["g", "part"])
+        .select("g", "cid", "n", "home", gaps.alias("gaps"))
+        .select("g", "cid", "n", "home", "gaps", F.array_min("gaps").alias("least"))
+        .select("g", "cid", "n", "home", "least", F.array_position("gaps", F.col("least")).alias("own"), F.posexplode("gaps"))
+        .where(F.col("col") <= F.col("least") + reach(percent))
+        .select(
+            F.col("g").alias("whole"), F.concat_ws(".", "g", "pos").alias("g"), "cid", "n",
+            (F.col("home") & (F.col("pos") + 1 == F.col("own"))).alias("home"),
+        )
     )
-    return own.unionByName(more)
+
+
+def _cells(found: DataFrame, sets: Callable[[], DataFrame], percent: int) -> DataFrame:
+    """Regions of more than a block cut into Voronoi cells, and these again while it pays: g, cid, n, home."""
+    going, done = found.withColumn("home", F.lit(True)), []
+    while True:
+        sizes = going.groupBy("g").agg(F.sum("n").alias("size"))
+        above = materialize(sizes.where(F.col("size") > BLOCK_SHINGLES).withColumn("parts", F.ceil(F.col("size") / BLOCK_SHINGLES)))
+        done.append(going.join(above, "g", "left_anti"))
+        if above.isEmpty():
+            break
+        wide = going.join(above.select("g", "parts"), "g")
+        cut = materialize(cut_once(wide, sets(), percent))
+        cells = cut.groupBy("whole", "g").agg(F.sum("n").cast("double").alias("held"), F.max("home").alias("lived_in")).where("lived_in")
+        cost = cells.groupBy("whole").agg(F.sum(F.col("held") * F.col("held")).alias("cost"))
+        paid = materialize(
+            cost.join(above.withColumnRenamed("g", "whole"), "whole")
+            .where(F.col("cost") <= WORTH * F.col("size") * F.col("size"))
+            .select("whole")
+        )
+        done.append(wide.join(paid, wide["g"] == paid["whole"], "left_anti").drop("parts"))
+        going = materialize(cut.join(paid, "whole").join(cells.select("g"), "g", "left_semi").select("g", "cid", "n", "home"))
+    whole = done[0]
+    for more in done[1:]:
+        whole = whole.unionByName(more.select(*whole.columns))
+    return whole
+
+
+def _dealt(cells: DataFrame) -> DataFrame:
+    """Cells dealt to tasks (g, p, q) that see two blocks at most: a text of block k goes to the tasks (k, j) of all blocks j."""
+    blocks = cells.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    dealt = cells.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "cid"), F.col("blocks")))
+    tasks = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
+    return tasks.select("g", F.least("block", "j").alias("p"), F.greatest("block", "j").alias("q"), "cid", "block", "home")
 
 
 def _region_links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within the merged regions."""
+    """Links within the cells."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(region_links(part, percent), columns=["a", "b"], dtype="int64")
@@ -427,7 +542,7 @@ def _met(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _laid_out(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Signed documents, classes, merged regions dealt to tasks, and the sets of their classes."""
+    """Signed documents, classes, cells dealt to tasks, and the sets of their classes."""
     levels = common_levels(docs, words)
     marks = materialize(signed(docs, levels, words, percent))
     classes = materialize(
@@ -448,9 +563,18 @@ def _laid_out(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
 
     anew = _again(docs, crowded, windows, "window", "int", words)
     more, members = _met(materialize(crowded.select("cid", "n").join(anew, "cid")), percent)
-    dealt = materialize(_merged(pairs.unionByName(more), members, classes))
-    wanted = classes.select("cid", "first", "digest").join(dealt.select("cid").distinct(), "cid")
-    return marks, classes, dealt, _again(docs, wanted, lambda: lambda found: found, "set", "long", words)
+    found = _regions_of(pairs.unionByName(more), members, classes)
+    wanted = classes.select("cid", "first", "digest").join(found.select("cid").distinct(), "cid")
+    sets = _again(docs, wanted, lambda: lambda found: found, "set", "long", words)
+    kept: list[DataFrame] = []
+
+    def written_sets() -> DataFrame:
+        if not kept:
+            kept.append(materialize(sets))
+        return kept[0]
+
+    dealt = materialize(_dealt(_cells(found, written_sets, percent)))
+    return marks, classes, dealt, kept[0] if kept else sets
 
 
 def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -474,29 +598,20 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     )
 
 
-def counted_links(part: pd.DataFrame, percent: int) -> list[int]:
-    """For every text of one or two blocks (columns cid, block, copies, set) the copies of the texts that it links to.
+def counted_links(part: pd.DataFrame, percent: int) -> np.ndarray:
+    """For every text at home in one or two blocks (columns cid, block, home, copies, set) the copies of the texts that it links to.
 
-    All texts are held against all others, by an index of shingles that counts intersections exactly.
+    All its partners are in the cell where it is at home, so it is held against that one alone.
     With two blocks only links across them count.
     """
-    blocks, copies = part["block"].to_numpy(), part["copies"].to_numpy()
-    sets = [np.asarray(s, np.int64) for s in part["set"]]
-    sizes = np.array([len(s) for s in sets], np.int64)
-    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    across, out = blocks.min() != blocks.max(), []
-    for at, found in enumerate(sets):
-        lo, hi = (np.searchsorted(values, found, side) for side in ("left", "right"))
-        n = hi - lo
-        places = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        common = np.bincount(owner[places], minlength=len(sets))
-        linked = 100 * common >= percent * (sizes + sizes[at] - common)
-        linked[at] = False
-        if across:
-            linked &= blocks != blocks[at]
-        out.append(int(copies[linked].sum()))
+    ids, blocks, copies = part["cid"].to_numpy(), part["block"].to_numpy(), part["copies"].to_numpy()
+    across, out = blocks.min() != blocks.max(), np.zeros(len(ids), np.int64)
+    for held, home in cells_of(Held.of(part), ids, part["home"].to_numpy(bool), percent, lambda *_: None):
+        for at in np.flatnonzero(home).tolist():
+            others = held.rows[held.linked(at, percent)]
+            row = held.rows[at]
+            others = others[blocks[others] != blocks[row]] if across else others[others != row]
+            out[row] = copies[others].sum()
     return out
 
 
@@ -509,10 +624,7 @@ def link_counts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     marks, classes, dealt, sets = _laid_out(docs, words, percent)
     copies = marks.where("n > 0").groupBy("digest").agg(F.count("*").alias("copies"))
     weighted = materialize(classes.select("cid", "digest").join(copies, "digest"))
-    # Without the pivots that are guests in tasks of other blocks, every pair of texts meets in one task.
-    blocks = dealt.groupBy("g").agg((F.max("q") + 1).alias("blocks"))
-    own = dealt.join(blocks, "g").where(F.col("block") == F.pmod(F.xxhash64(F.lit(1), "cid"), F.col("blocks")))
-    ready = own.select("g", "p", "q", "cid", "block").join(weighted.select("cid", "copies"), "cid").join(sets, "cid")
+    ready = dealt.join(weighted.select("cid", "copies"), "cid").join(sets, "cid")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"cid": part["cid"], "linked": counted_links(part, percent)})
