@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tidewatch.operators import features, joins, modeling, neighbours
@@ -149,6 +149,35 @@ def test_models(spark, labelled, tmp_path):
     assert len(folds) == 3 and folds[0].min_score <= folds[0].mean_score <= folds[0].max_score
 
 
+def test_forest_keeps_node_ids_and_does_not_depend_on_the_given_tasks(spark, labelled):
+    estimator = modeling.forest(trees=3)
+    assert estimator.getCacheNodeIds()
+    ready = modeling.fit_preprocessor(labelled, ["a"], ["c"]).transform(labelled)
+    dealt = [modeling.spread(rows, "id", rows_per_task=50) for rows in (ready.coalesce(1), ready.repartition(7))]
+    assert [rows.rdd.getNumPartitions() for rows in dealt] == [6, 6]
+    one, other = (estimator.fit(rows).toDebugString.split("\n", 1)[1] for rows in dealt)
+    assert one == other
+    assert modeling.spread(ready, "id") is ready
+
+
+def test_metrics_score_the_rows_once(spark, labelled):
+    class Model:
+        def transform(self, rows):
+            return rows.withColumn("probability", array_to_vector(F.array(1 - noted("a"), noted("a")))).withColumn(
+                "prediction", F.col("label").cast("double")
+            )
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def noted(a):
+        calls.add(1)
+        return 1 / (1 + 2.718281828 ** -a)
+
+    assert modeling.test_metrics(Model(), labelled).first().recall == 1.0
+    assert calls.value <= 2 * labelled.count()  # twice in the one expression
+
+
 def test_a_category_of_very_many_levels_is_hashed(spark, tmp_path):
     rows = spark.range(120_000).select(
         (F.col("id") % 7).cast("double").alias("x"),
