@@ -218,6 +218,15 @@ def test_first_trees_are_the_shorter_fit_and_stages_score_as_separate_fits(spark
         assert (a.mean_score, a.std_score) == pytest.approx((b.mean_score, b.std_score))
 
 
+def test_folds_of_a_search_have_tasks_by_their_rows(spark, labelled, monkeypatch):
+    rows = modeling.fit_preprocessor(labelled, ["a"], ["c"]).transform(labelled.repartition(7))
+    folded = modeling._folded(rows, "label", "id", 3)
+    assert folded.persist().rdd.getNumPartitions() == 1 and folded.count() == 300
+    folded.unpersist()
+    monkeypatch.setattr(modeling, "ROWS_PER_TASK", 50)
+    assert modeling._folded(rows, "label", "id", 3).rdd.getNumPartitions() == 6
+
+
 def test_default_grid():
     assert len(modeling.default_grid(modeling.boosted())) == 36
 
