@@ -71,3 +71,24 @@ def test_probes_hold_the_own_bucket():
     own = one.cells.locate(x @ one.directions)
     assert len(rows) == 6_000 and (buckets.reshape(-1, 3)[:, 0] == own).all()
     assert all(len(set(b)) == 3 for b in buckets.reshape(-1, 3).tolist())
+
+
+def test_vectors_are_kept_once_and_met_as_keys(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(600, 16)).astype("float32")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k bigint, v array<float>")
+    kept = []
+
+    def noted(rows):
+        rows = plain(rows)
+        kept.append(rows.count() if "v" in rows.columns else 0)
+        return rows
+
+    plain = hashing.materialize
+    monkeypatch.setattr(hashing, "materialize", noted)
+    slim = hashing.hashed_neighbours(df, "k", F.col("v"), 3, bucket_points=100, vectors=False)
+    got = {r.k: [(n.id, n.distance) for n in r.neighbours] for r in slim.collect()}
+    assert max(kept) == 600 and "v" not in slim.schema["neighbours"].dataType.elementType.names
+    wide = hashing.hashed_neighbours(df, "k", F.col("v").cast("array<double>"), 3, bucket_points=100)
+    full = {r.k: r.neighbours for r in wide.collect()}
+    assert got == {k: [(n.id, n.distance) for n in near] for k, near in full.items()} and len(got) == 600
+    assert all(n.v == x[n.id].astype(float).tolist() for n in full[7])
