@@ -1,4 +1,5 @@
 import hashlib
+import threading
 
 import numpy as np
 import pandas as pd
@@ -7,6 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tidewatch.operators import features, joins, modeling, neighbours
+from tidewatch.plans import learning
 
 
 def test_split_is_exact(spark):
@@ -251,3 +253,32 @@ def test_cells_divide_points_on_a_hot_plane():
     assert sizes.sum() == 20_000 and sizes.max() <= 2 * 20_000 / 64
     same = neighbours.Cells(np.ones((100, 2)), 3)
     assert len(np.unique(same.locate(np.ones((5, 2))))) == 1
+
+
+def test_models_of_several_kinds_share_one_preparation_and_fit_side_by_side(spark, monkeypatch):
+    monkeypatch.setattr(learning, "_SAVED", {})
+    prepared, met, prepare = [], threading.Barrier(2, timeout=60), learning._prepared
+    monkeypatch.setattr(learning, "_prepared", lambda *a: prepared.append(a) or prepare(*a))
+
+    class Met:
+        def __init__(self, estimator):
+            self.estimator = estimator
+
+        def fit(self, rows):
+            met.wait()  # broken unless the other kind is being fitted at the same time
+            return self.estimator.fit(rows)
+
+    small = {"logistic": modeling.logistic, "forest": lambda rows: modeling.forest(2)}
+    monkeypatch.setattr(learning, "_estimator", lambda kind, rows: Met(small[kind](rows)))
+    models = dict(learning._pipelines(spark, "/root/testdata/sf0.001", list(small)))
+    assert [type(models[kind].stages[-1]).__name__ for kind in small] == [
+        "LogisticRegressionModel",
+        "RandomForestClassificationModel",
+    ]
+    dict(learning._pipelines(spark, "/root/testdata/sf0.001", list(small)))
+    assert len(prepared) == 1
+
+
+def test_a_forest_of_few_rows_is_grown_in_a_few_tasks():
+    tasks = [-(-rows // modeling.forest_rows_per_task(rows)) for rows in (0, 1, 12_000, 72_000, 720_000)]
+    assert tasks == [0, 1, 4, 4, 36]
