@@ -282,3 +282,25 @@ def test_models_of_several_kinds_share_one_preparation_and_fit_side_by_side(spar
 def test_a_forest_of_few_rows_is_grown_in_a_few_tasks():
     tasks = [-(-rows // modeling.forest_rows_per_task(rows)) for rows in (0, 1, 12_000, 72_000, 720_000)]
     assert tasks == [0, 1, 4, 4, 36]
+
+
+def test_the_first_champion_serves_while_the_second_is_fitted_and_models_are_loaded_once(spark, monkeypatch):
+    monkeypatch.setattr(learning, "_SAVED", {})
+    served, loads, serve, load = threading.Event(), [], learning.jobs.score_with_champion, modeling.load_pipeline
+
+    def noted(*a):
+        paths = serve(*a)
+        served.set()
+        return paths
+
+    class Late:
+        def fit(self, rows):
+            assert served.wait(60)
+            return modeling.forest(2).fit(rows)
+
+    monkeypatch.setattr(learning.jobs, "score_with_champion", noted)
+    monkeypatch.setattr(modeling, "load_pipeline", lambda path: loads.append(path) or load(path))
+    monkeypatch.setattr(learning, "_estimator", lambda kind, rows: Late() if kind == "forest" else modeling.logistic(rows))
+    rows = learning.QUERIES["s1b_champion_stream"](spark, "/root/testdata/sf0.01").collect()
+    assert {r.route for r in rows} == {"v1", "v2", "rejected"} and sum(r.n for r in rows) == 1496
+    assert [r.n_different for r in rows] == [0, 0, 0] and len(loads) == 2
