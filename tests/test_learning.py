@@ -280,8 +280,8 @@ def test_models_of_several_kinds_share_one_preparation_and_fit_side_by_side(spar
 
 
 def test_a_forest_of_few_rows_is_grown_in_a_few_tasks():
-    tasks = [-(-rows // modeling.forest_rows_per_task(rows)) for rows in (0, 1, 12_000, 72_000, 720_000)]
-    assert tasks == [0, 1, 4, 4, 36]
+    tasks = [-(-rows // modeling.forest_rows_per_task(rows)) for rows in (0, 1, 1_200, 12_000, 72_000, 720_000)]
+    assert tasks == [0, 1, 1, 4, 4, 36]
 
 
 def test_the_first_champion_serves_while_the_second_is_fitted_and_models_are_loaded_once(spark, monkeypatch):
