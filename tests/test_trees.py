@@ -1,3 +1,6 @@
+from multiprocessing.pool import ThreadPool
+from threading import Barrier
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -109,3 +112,32 @@ def test_the_registered_search_and_refit_grow_all_rounds(spark, monkeypatch):
     monkeypatch.setattr(modeling, "boosted", lambda rounds=100: asked.append(rounds) or boosted(rounds))
     learning.QUERIES["m12_export_champion"](spark, "/root/testdata/sf0.001").collect()
     assert f'"maxIter":"{asked[0]}"' in best.parameters
+
+
+def test_fits_that_share_an_input_run_side_by_side_and_make_it_once(spark, monkeypatch):
+    monkeypatch.setattr(learning, "_SAVED", {})
+    made, met = [], Barrier(2, timeout=60)
+
+    def slow(path):
+        made.append(path)
+
+    def fit(name):
+        met.wait()  # broken unless both run at the same time
+        return learning._once(spark, "nowhere", "shared", slow)
+
+    with ThreadPool(2) as pool:
+        assert len(set(pool.map(fit, ["a", "b"]))) == 1 and len(made) == 1
+
+
+def test_folds_and_kinds_are_fitted_side_by_side(spark, points):
+    met = Barrier(2, timeout=60)
+
+    class Met:
+        def fit(self, rows):
+            met.wait()  # broken unless another fit runs at the same time
+            return modeling.logistic(1_500).fit(rows)
+
+    scores = modeling.cross_validate(Met(), points, "label", "id", 2).collect()
+    assert [r.fold for r in sorted(scores)] == [0, 1] and all(0.5 < r.score < 1 for r in scores)
+    rows, fitted = modeling.compare_models({"a": Met(), "b": Met()}, points, points)
+    assert sorted(r.model for r in rows.collect()) == ["a", "b"] == list(fitted)
