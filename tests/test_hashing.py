@@ -92,3 +92,32 @@ def test_vectors_are_kept_once_and_met_as_keys(spark, monkeypatch):
     full = {r.k: r.neighbours for r in wide.collect()}
     assert got == {k: [(n.id, n.distance) for n in near] for k, near in full.items()} and len(got) == 600
     assert all(n.v == x[n.id].astype(float).tolist() for n in full[7])
+
+
+def test_few_buckets_are_searched_whole_and_once(vectors, monkeypatch):
+    """Two buckets used to be searched by each of eight tables, eight buckets by half by each."""
+    df, x = vectors
+    visits = []
+    monkeypatch.setattr(hashing, "Table", lambda number, *a, make=hashing.Table: visits.append(number) or make(number, *a))
+    rows = df.where("k < 1500")
+    found = hashing.hashed_neighbours(rows, "k", F.col("v"), 3, bucket_points=200).where("k % 10 = 0").collect()
+    assert visits == [0] and len(found) == 150
+    assert all([n.id for n in r.neighbours] == brute_force(x[:1500], r.k, 3)[0] for r in found)
+    visits.clear()
+    some = hashing.hashed_neighbours(rows, "k", F.col("v"), 3, tables=2, probes=2, bucket_points=100).where("k % 10 = 0").collect()
+    hits = sum(len({n.id for n in r.neighbours} & set(brute_force(x[:1500], r.k, 3)[0])) for r in some)
+    assert visits == [0, 1] and len(some) == 150 and hits / 450 >= 0.6
+
+
+def test_closest_is_exact_where_the_matrix_product_rounds():
+    rng = np.random.default_rng(5)
+    x = 1e6 + rng.integers(0, 3, size=(300, 8)) * 1e-3  # the product's rounding is far above these distances
+    block = hashing.pd.DataFrame({"v": list(x), "ids": [[i] for i in range(300)]})
+    got = hashing._closest(x[:40], np.arange(40), block, 4)
+    for row in range(40):
+        d2 = np.zeros(300)
+        for axis in range(8):
+            d2 += (x[row, axis] - x[:, axis]) ** 2
+        want = sorted((d, i) for i, d in enumerate(d2))[:4]
+        mine = got[got.qid == row]
+        assert list(zip(mine.d2, mine.id)) == want
