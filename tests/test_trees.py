@@ -141,3 +141,16 @@ def test_folds_and_kinds_are_fitted_side_by_side(spark, points):
     assert [r.fold for r in sorted(scores)] == [0, 1] and all(0.5 < r.score < 1 for r in scores)
     rows, fitted = modeling.compare_models({"a": Met(), "b": Met()}, points, points)
     assert sorted(r.model for r in rows.collect()) == ["a", "b"] == list(fitted)
+
+
+def test_a_fit_makes_its_rows_once(spark, points):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def noted(label):
+        made.add(1)
+        return label
+
+    costly = points.withColumn("label", noted("label"))
+    assert trees.Forest(numTrees=3, seed=1).fit(costly).getNumTrees == 3
+    assert made.value == points.count()
